@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pefloom.llm import chat, decontaminate, toxicity, urlfilter
+from pefloom.llm import chat, decontaminate, pii, toxicity, urlfilter
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, st
 QUERIES = {
     "op1_chat": _on(chat.op1_chat, "conversations"),
     "op6_toxicity": _on(toxicity.op6_toxicity, "documents", "labels"),
+    "op2_pii": _on(pii.op2_pii, "documents"),
     "op7_urlfilter": _on(urlfilter.op7_urlfilter, "pages"),
     "op10_decontaminate": _on(decontaminate.op10_decontaminate, "documents", "benchmark"),
 }
