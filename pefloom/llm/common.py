@@ -5,11 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MASK = 0x7FFFFFFFFFFFFFFF
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; only where it is unset, as in tests, one of this machine."""
@@ -60,15 +58,16 @@ def link_buckets(members: DataFrame, near: Callable[[str, str], F.Column], verif
     a large group of alike texts costs its size, not its square. Then all pairs of a bucket that are still in different
     components follow, so no link between components is lost; links inside a component would change nothing.
     """
-    pack = lambda p: F.struct(F.col("id"), *payload).alias(p)
-    first = members.groupBy("bucket").agg(F.min(F.struct("id", *payload)).alias("b"), F.count("*").alias("n")).where("n > 1")
-    star = members.select("bucket", pack("a")).join(first, "bucket").where("a.id <> b.id").where(near("a", "b"))
+    own = Window.partitionBy("bucket")
+    shared = members.withColumns({"n": F.count("*").over(own), "b": F.min(F.struct("id", *payload)).over(own)}).where("n > 1")
+    shared = cut(shared.select("bucket", "id", *payload, "b"))  # few rows: most buckets have one member
+    pack = lambda p: F.struct("id", *payload).alias(p)
+    star = shared.select(pack("a"), "b").where("a.id <> b.id").where(near("a", "b"))
     edges = cut(verify(star.select(F.col("b.id").alias("a"), F.col("a.id").alias("b")).distinct()))
     roots = connected_components(edges)
-    open_ = with_root(members.join(first.select("bucket"), "bucket", "left_semi"), roots)
-    mixed = open_.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    rest = open_.join(mixed, "bucket", "left_semi")
-    pack = lambda p: F.struct("id", "root", *payload).alias(p)
-    pairs = rest.select("bucket", pack("a")).join(rest.select("bucket", pack("b")), "bucket").where("a.id < b.id AND a.root <> b.root").where(near("a", "b"))
+    open_ = with_root(shared.drop("b"), roots)
+    mixed = open_.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi")
+    rest = mixed.select("bucket", F.struct("id", "root", *payload).alias("a"))
+    pairs = rest.join(rest.withColumnRenamed("a", "b"), "bucket").where("a.id < b.id AND a.root <> b.root").where(near("a", "b"))
     more = cut(verify(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()))
-    return connected_components(edges.union(more))
+    return roots if more.isEmpty() else connected_components(edges.union(more))
