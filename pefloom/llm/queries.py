@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pefloom.llm import chat, decontaminate, linededup, pii, toxicity, urlfilter
+from pefloom.llm import chat, decontaminate, linededup, mix, pii, toxicity, urlfilter
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_chat": _on(chat.op1_chat, "conversations"),
     "op6_toxicity": _on(toxicity.op6_toxicity, "documents", "labels"),
     "op2_pii": _on(pii.op2_pii, "documents"),
+    "op3_mix": _on(mix.op3_mix, "documents"),
     "op5_linededup": _on(linededup.op5_linededup, "documents"),
     "op7_urlfilter": _on(urlfilter.op7_urlfilter, "pages"),
     "op10_decontaminate": _on(decontaminate.op10_decontaminate, "documents", "benchmark"),
