@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pefloom.llm import chat, decontaminate, linededup, mix, pii, toxicity, urlfilter
+from pefloom.llm import chat, decontaminate, linededup, mix, neardup, pii, toxicity, urlfilter
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ QUERIES = {
     "op3_mix": _on(mix.op3_mix, "documents"),
     "op5_linededup": _on(linededup.op5_linededup, "documents"),
     "op7_urlfilter": _on(urlfilter.op7_urlfilter, "pages"),
+    "op9_neardup": _on(neardup.op9_neardup, "documents"),
     "op10_decontaminate": _on(decontaminate.op10_decontaminate, "documents", "benchmark"),
 }
 
