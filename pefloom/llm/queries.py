@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pefloom.llm import chat, decontaminate, linededup, mix, neardup, pii, toxicity, urlfilter
+from pefloom.llm import chat, decontaminate, linededup, mix, neardup, pii, toxicity, urlfilter, vectorjoin
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ QUERIES = {
     "op3_mix": _on(mix.op3_mix, "documents"),
     "op5_linededup": _on(linededup.op5_linededup, "documents"),
     "op7_urlfilter": _on(urlfilter.op7_urlfilter, "pages"),
+    "op8_vectorjoin": _on(vectorjoin.op8_vectorjoin, "embeddings"),
     "op9_neardup": _on(neardup.op9_neardup, "documents"),
     "op10_decontaminate": _on(decontaminate.op10_decontaminate, "documents", "benchmark"),
 }
@@ -39,6 +40,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op8_vectorjoin": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, c AS component_id, e.vec_id = c AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON e.vec_id = r.a LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) p ON e.vec_id = p.a""",
     "op10_decontaminate": r"""
 WITH items AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
