@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pefloom.llm import chat, decontaminate, linededup, mix, neardup, pii, toxicity, urlfilter, vectorjoin
+from pefloom.llm import chat, decontaminate, linededup, mix, neardup, pii, quality, toxicity, urlfilter, vectorjoin
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_toxicity": _on(toxicity.op6_toxicity, "documents", "labels"),
     "op2_pii": _on(pii.op2_pii, "documents"),
     "op3_mix": _on(mix.op3_mix, "documents"),
+    "op4_quality": _on(quality.op4_quality, "documents", "labels"),
     "op5_linededup": _on(linededup.op5_linededup, "documents"),
     "op7_urlfilter": _on(urlfilter.op7_urlfilter, "pages"),
     "op8_vectorjoin": _on(vectorjoin.op8_vectorjoin, "embeddings"),
