@@ -1,27 +1,15 @@
-"""What several operators share: cutting lineage in the shared folder, connected components, links within buckets."""
+"""What several operators share: connected components and links within buckets."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pefloom.plans.lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; only where it is unset, as in tests, one of this machine."""
-    sc = spark.sparkContext
-    if (d := sc.getCheckpointDir()) is None:
-        d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pefloom-")
-        sc.setCheckpointDir(d)
-    return d
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, without its lineage: it outlives executors and is computed once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["connected_components", "cut", "link_buckets", "shared_dir", "with_root"]
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
