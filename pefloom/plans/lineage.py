@@ -17,6 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, without its lineage: it outlives executors and is computed once."""
+    """``df`` written to the shared folder, without its lineage: it outlives executors and is computed once.
+
+    The driver then collects its garbage, so that Spark's cleaner drops the shuffle files that only the lineage needed.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
