@@ -1,13 +1,12 @@
 """Fuzzy line dedup in DataFrame functions alone: SimHash of normalised lines, pigeonhole blocks, edit similarity, components.
 
-A line is what stands between line feeds. Normalised, it is lower-cased, with one space for each run of other characters than
-letters and digits. Lines that normalise to nothing are kept and never compared. Two lines are linked if they normalise alike, or
+A line is what stands between line feeds. Normalised, it is its words: lower-cased, what stands between spaces, without punctuation at the ends. Lines that normalise to nothing are kept and never compared. Two lines are linked if they normalise alike, or
 if their 64-bit SimHashes over words differ in at most ``BITS_APART`` bits and the edit similarity of the normalised lines (1 - Levenshtein
 distance / longer length) is at least ``SIMILAR``. Of each connected group only the first occurrence, by (doc_id, line number), stays.
 
 With five blocks of bits, three differing bits leave two blocks alike: each line has ten keys, one for each pair of blocks, so every
 pair within reach meets under some key. Buckets are held against one member first (``link_buckets``), so a large group of
-alike lines costs its size. Vote counts for the 64 bits are summed in 32 longs of two 31-bit lanes.
+alike lines costs its size. Vote counts for the 64 bits are summed in lanes packed into longs.
 
 Null texts have no lines and stay null. Rows with the same doc_id and text share their decisions, so repeated rows all keep an
 occurrence that is kept; rows with one doc_id and several texts are told apart by the text. Null doc_ids come first. Ties on
@@ -28,31 +27,47 @@ BITS_APART = 3
 SIMILAR = 0.8
 #: (first bit, bits) of each block.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-LANES = 1 | 1 << 31
-#: Up to so many ids of lines to be compared are sent to all tasks (8 bytes each); more are joined by a shuffle.
+#: Vote counts: so many lanes of so many bits in a long.
+LANES, WIDTH = 2, 31
+#: What doesn't belong to a word at its ends. Fixed values.
+MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Up to so many ids of documents whose lines are to be compared are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SEND_IDS = 2_000_000
 
 
-def normalised(line: str = "line") -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def tokens_of(line: str) -> Column:
+    return F.split(F.lower(F.col(line)), " ", -1)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_h, line_no, norm, h1, h2) of all lines that normalise to something; h1 and h2 stand for the normalised line."""
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    named = lines.select("doc_id", "doc_h", "line_no", normalised().alias("norm")).where("norm <> ''")
-    return named.withColumns({"h1": F.xxhash64(F.lit(1), "norm"), "h2": F.xxhash64(F.lit(2), "norm")})
+def bare(token: Column) -> Column:
+    """A token without marks and control characters at its ends."""
+    return F.btrim(token, F.lit(MARKS + "\t\r\f\v"))
+
+
+def words_of(line: str) -> Column:
+    """The words of a line: what stands between spaces, lower-cased and bare, where anything is left."""
+    return F.filter(F.transform(tokens_of(line), bare), lambda w: w != "")
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """(h1, sim) of the distinct lines: a bit is set where more than half of the line's words have it set in their hash."""
-    distinct = lines.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-    votes = distinct.select("h1", "h2", F.explode(F.split("norm", " ")).alias("word")).select("h1", "h2", F.xxhash64("word").alias("w"))
-    two = lambda k: f"(shiftrightunsigned(w, {2 * k}) & 3 | shiftleft(shiftrightunsigned(w, {2 * k}) & 3, 30)) & {LANES}L"
-    summed = votes.groupBy("h1", "h2").agg(F.count("*").alias("n"), *(F.sum(F.expr(two(k))).alias(f"s{k}") for k in range(32)))
-    over = lambda k: f"(shiftrightunsigned(s{k} + need, 30) & {LANES}L)"
-    bits = [f"shiftleft(({over(k)} | shiftrightunsigned({over(k)}, 30)) & 3, {2 * k})" for k in range(32)]
-    return summed.withColumn("need", F.expr(f"{LANES}L * (1073741823L - n div 2)")).select("h1", F.expr(" | ".join(bits)).alias("sim"))
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_h, line_no, h1, h2, sim) of all lines with words: h1 and h2 stand for the words and their places among the line's
+    tokens, and in sim a bit is set where more than half of the words' hashes have it.
+
+    Words are summed up in the tasks that read them; a line leaves them as one row.
+    """
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    own = ["row", "doc_id", "doc_h", "line_no"]
+    words = lines.withColumn("row", F.monotonically_increasing_id()).select(*own, F.posexplode(tokens_of("line")).alias("at", "token"))
+    words = words.withColumn("word", bare(F.col("token"))).where("word <> ''").select(*own, "at", F.xxhash64("word").alias("w"))
+    placed = words.select(*own, "w", F.xxhash64("at", "w").alias("p1"), F.xxhash64("w", "at").alias("p2"))
+    mask, low = sum(1 << i * WIDTH for i in range(LANES)), (1 << LANES) - 1
+    spread = [f"((shiftrightunsigned(w, {LANES * k}) & {low}L) * {sum(1 << i * (WIDTH - 1) for i in range(LANES))}L) & {mask}L" for k in range(64 // LANES)]
+    summed = placed.groupBy(*own).agg(F.count("*").alias("n"), F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)))
+    # the top bit of a lane is set where its count passes half of the words
+    summed = summed.withColumn("need", F.expr(f"{mask}L * ({(1 << WIDTH - 1) - 1}L - n div 2)"))
+    over = [f"(shiftrightunsigned(s{k} + need, {WIDTH - 1}) & {mask}L)" for k in range(64 // LANES)]
+    bits = [f"shiftleft(({' | '.join(f'shiftrightunsigned({x}, {i * (WIDTH - 1)})' for i in range(LANES))}) & {low}L, {LANES * k})" for k, x in enumerate(over)]
+    return summed.select("doc_id", "doc_h", "line_no", "h1", "h2", F.expr(" | ".join(bits)).alias("sim"))
 
 
 def keys(sim: str = "sim") -> Column:
@@ -65,43 +80,64 @@ def near(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= BITS_APART
 
 
-def line_groups(lines: DataFrame) -> DataFrame:
-    """(id, root) of the lines, by h1, that are linked to others than themselves."""
-    members = simhashes(lines).select(F.explode(keys()).alias("bucket"), F.col("h1").alias("id"), "sim")
+def alike(pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose word arrays x and y, joined by spaces, have an edit similarity of ``SIMILAR`` or more.
+
+    Common words at the start and the end don't change the distance and go first; each word keeps a space behind it. The
+    distance function gives -1 beyond its bound.
+    """
+    size = lambda w: F.expr(f"size({w}) + aggregate({w}, 0, (n, s) -> n + length(s)) - 1")
+    shared = "array_position(zip_with({0}, {1}, (p, q) -> NOT (p <=> q)), true) - 1"  # -1: equal
+    cut_off = lambda w, n: F.expr(f"IF({n} < 0, slice({w}, 1, 0), slice({w}, CAST({n} AS INT) + 1, size({w})))")
+    sized = pairs.withColumns({"nx": size("x"), "ny": size("y")}).withColumn("most", F.expr(f"CAST(floor({1 - SIMILAR:.6f} * greatest(nx, ny) + 1e-9) AS INT)")).where("abs(nx - ny) <= most")
+    ends = sized.withColumn("head", F.expr(shared.format("x", "y"))).withColumns({"x": F.reverse(cut_off("x", "head")), "y": F.reverse(cut_off("y", "head"))})
+    mid = ends.withColumn("tail", F.expr(f"IF(size(x) = 0 OR size(y) = 0, 0, {shared.format('x', 'y')})")).withColumns({"x": F.reverse(cut_off("x", "tail")), "y": F.reverse(cut_off("y", "tail"))})
+    spaced = lambda w: F.expr(f"array_join(transform({w}, s -> concat(s, ' ')), '')")
+    return mid.where(F.levenshtein(spaced("x"), spaced("y")) <= F.col("most"))
+
+
+def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, root) of the lines, by h1, that are linked to others than themselves; ``lines`` are the hashed lines of ``docs``."""
+    distinct = lines.groupBy("h1").agg(F.first("sim").alias("sim"))
+    members = distinct.select(F.explode(keys()).alias("bucket"), F.col("h1").alias("id"), "sim")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         if pairs.isEmpty():
             return pairs
+        # one occurrence of each line that is to be compared, and its words from that document
         ids = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-        ids = F.broadcast(ids) if pairs.count() <= SEND_IDS // 2 else ids
-        texts = cut(lines.select("h1", "norm").join(ids, "h1", "left_semi").groupBy("h1").agg(F.first("norm").alias("norm")))
-        both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("y")), "b")
-        # the distance is -1 beyond the bound, and lengths that differ by more are out at once
-        most = F.floor((1 - SIMILAR) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
-        near_by = F.expr(f"levenshtein(x, y, CAST(floor({1 - SIMILAR:.6f} * greatest(length(x), length(y)) + 1e-9) AS INT)) >= 0")
-        return both.where(F.abs(F.length("x") - F.length("y")) <= most).where(near_by).select("a", "b")
+        places = lines.join(ids, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("doc_h", "line_no")).alias("at"))
+        places = cut(places.groupBy(F.col("at.doc_h").alias("h_")).agg(F.collect_list(F.struct("h1", "at.line_no")).alias("want")))
+        places = F.broadcast(places) if pairs.count() <= SEND_IDS // 8 else places
+        texts = docs.where("text IS NOT NULL").select("text").withColumn("h_", F.xxhash64("text")).join(places, "h_")
+        texts = texts.withColumn("parts", F.split("text", "\n", -1)).select(F.inline(F.transform("want", lambda w: F.struct(w["h1"].alias("h1"), F.element_at("parts", w["line_no"] + 1).alias("line")))))
+        texts = cut(texts.groupBy("h1").agg(F.first("line").alias("line")).select("h1", words_of("line").alias("words")))
+        both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("words").alias("y")), "b")
+        return alike(both).select("a", "b")
 
     return link_buckets(members, near, verify, ["sim"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_h, n_lines, removed) of the documents with lines: removed holds the numbers of the lines that repeat an earlier one."""
-    lines = occurrences(docs)
-    roots = line_groups(lines)
-    short = lines.select("doc_id", "doc_h", "line_no", "h1", "h2")
-    first = short.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    first = first.join(roots, first["h1"] == roots["id"], "left").drop("id")
+    lines = cut(hashed_lines(docs))
+    roots = line_groups(docs, lines)
+    first = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    first = first.join(roots, first["h1"] == roots["id"], "left").where("n > 1 OR root IS NOT NULL").select("h1", "h2", "first", F.coalesce("root", "h1").alias("root"))
     # of each group of linked lines, and each line said more than once, the first occurrence; all other lines need no look-up
-    linked = first.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("keep"))
-    groups = first.where("root IS NOT NULL").join(linked, "root").select("h1", "h2", "keep").union(first.where("root IS NULL AND n > 1").select("h1", "h2", F.col("first").alias("keep")))
-    seen = short.join(groups, ["h1", "h2"], "left")
+    groups = cut(first)
+    groups = groups.join(groups.groupBy("root").agg(F.min("first").alias("keep")), "root").select("h1", "h2", "keep")
+    seen = lines.select("doc_id", "doc_h", "line_no", "h1", "h2").join(groups, ["h1", "h2"], "left")
     gone = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.struct("doc_id", "line_no"))
     return seen.groupBy("doc_id", "doc_h").agg(F.count_distinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one; n_chars, where there is such a column, is set anew."""
+def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
+    """``docs`` without the lines that repeat an earlier one; n_chars, where there is such a column, is set anew.
+
+    ``drop_empty`` leaves out the documents that had lines with words and have none left: they only repeat others.
+    """
     gone = repeated_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("id_"), F.col("doc_h").alias("doc_h_"), "removed")
     gone = gone.withColumnRenamed("removed", "removed_")
     out = docs.withColumn("h_", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h_") == F.col("doc_h_")), "left")
@@ -110,11 +146,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    if drop_empty:
+        out = out.where(F.col("removed_").isNull() | F.exists(F.split("text", "\n", -1), lambda x: F.size(F.filter(F.split(F.lower(x), " ", -1), lambda w: bare(w) != "")) > 0))
     return out.select(*docs.columns)
 
 
 def op5_linededup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed) of all documents: lines with text, and the numbers of those removed, comma-joined."""
-    found = repeated_lines(docs.select("doc_id", "text"))
-    none = docs.where("text IS NULL OR NOT text RLIKE '[\\\\p{L}\\\\p{N}]'").select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).alias("n_removed"), F.lit("").alias("removed"))
-    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed")).union(none)
+    """(doc_id, n_lines, n_removed, removed) of all documents: lines with words, and the numbers of those removed, comma-joined."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("doc_h"))
+    found = repeated_lines(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "id_").withColumnRenamed("doc_h", "h_")
+    every = own.join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("doc_h") == F.col("h_")), "left")
+    return every.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
