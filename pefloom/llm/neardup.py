@@ -6,7 +6,7 @@ are ``2**DF_BITS``, so the table (1 MB) doesn't grow with the corpus. ``BANDS``
 Jaccard similarity 0.8 with probability 0.9998; every candidate is verified on the whole texts and linked at ``SIMILAR`` or more.
 
 Texts with the same words are one class before anything is compared, so copies never meet as pairs. Classes in a bucket are
-held against its centre first; only pairs still apart that can be similar follow, so a large group of near copies costs little more
+held against one hub first; only pairs still apart that can be similar follow, so a large group of near copies costs little more
 than its size.
 
 Texts without words (null, empty, punctuation only) link with nothing. Rows with a null doc_id link with nothing, have no
@@ -131,16 +131,17 @@ def _unpacked(x: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shingle, np.frombuffer(x, np.int32, n, 8 * n) * idf[shingle >> np.uint64(64 - DF_BITS)].astype(float)
 
 
-def overlap(idf: np.ndarray, a: bytes, b: bytes) -> tuple[float, float, float, np.ndarray]:
-    """Of two packed rows: the weight they share, the weight of each, and the shingles of b of which a has less."""
+def overlap(idf: np.ndarray, a: bytes, b: bytes) -> tuple[float, float, float, np.ndarray, float]:
+    """Of two packed rows: the weight they share, the weight of each, the shingles of b of which a has less, and their largest weight."""
     (x, wx), (y, wy) = _unpacked(a, idf), _unpacked(b, idf)
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
     mine = np.where(x[at] == y, wx[at], 0.0)
-    return np.minimum(mine, wy).sum(), wx.sum(), wy.sum(), y[mine < wy]
+    more = mine < wy
+    return np.minimum(mine, wy).sum(), wx.sum(), wy.sum(), y[more], wy[more].max(initial=0.0)
 
 
 def weighted_jaccard(idf: np.ndarray, a: bytes, b: bytes) -> float:
-    both, wa, wb, _ = overlap(idf, a, b)
+    both, wa, wb, *_ = overlap(idf, a, b)
     return both / (wa + wb - both)
 
 
@@ -151,23 +152,24 @@ SMALL = 8
 def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, h1, root) of the documents with an id and words; root stands for the document's component.
 
-    In each bucket all classes are held against its centre, the class that shares most buckets with most others; in a group of
-    near copies that is nearly the original, and one pair a class links most of them. A pair u, v still apart can only be similar
-    if it shares something that the centre p lacks, or if both share enough with p for their weight: shared(u, v) <= shared(u, p)
-    + what u and v share beyond p, and similarity s needs shared(u, v) >= s / (1 + s) * (weight(u) + weight(v)). Pairs that pass
-    this test are verified, so no link between components is lost.
+    Every class has a hub, the class that shares most buckets with most others among those it meets; in a group of near copies that is
+    nearly the original, and one pair a class links most of them. A pair u, v still apart that has the hub p in common can only be
+    similar if shared(u, v) >= s / (1 + s) * (weight(u) + weight(v)), and shared(u, v) <= shared(u, p) + what both have beyond p. Pairs
+    that pass this test, that have different hubs or that lie in small buckets are verified, each in the first bucket it shares,
+    so no link between components is lost.
     """
     docs = docs.select("doc_id", "text")
     idf = idf_table(docs)
     held = docs.sparkSession.sparkContext.broadcast(idf)
     sketched = cut(sketches(docs, idf))
     classes = sketched.groupBy("h1").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    members = classes.select(F.posexplode("bands").alias("k", "band"), F.col("h1").alias("id")).select(F.xxhash64("k", "band").alias("bucket"), "id")
+    members = classes.select(F.posexplode("bands").alias("k", "band"), F.col("h1").alias("id")).select(F.xxhash64("k", "band").alias("bucket"), "k", "id")
     own = Window.partitionBy("bucket")
     shared = cut(members.withColumn("n", F.count("*").over(own)).where("n > 1"))
     known = shared.join(shared.groupBy("id").agg(F.sum("n").alias("fame")), "id")
-    star = cut(known.withColumn("centre", F.max(F.struct("fame", "id")).over(own)["id"]).select("bucket", "id", "n", "centre"))
-    pairs = star.where("id <> centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg((F.max("n") > SMALL).alias("big"))
+    star = known.withColumn("centre", F.max(F.struct("fame", "id")).over(own))
+    hubs = star.groupBy("id").agg(F.max("centre").alias("hub"), (F.max("n") > SMALL).alias("big")).select("id", F.col("hub.id").alias("hub"), "big")
+    star = cut(star.select("bucket", "k", "id", "n", F.col("centre.id").alias("centre")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,36 +184,38 @@ def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         for b in batches:
             out = []
             for x, y, big in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
-                both, wa, wb, beyond = overlap(held.value, x.as_py(), y.as_py())
-                out.append((both >= similar * (wa + wb - both), both, wb, beyond.view(np.int64) if big else np.zeros(0, np.int64)))
-            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
-            yield pa.record_batch([*b.columns[:2], *cols], ["a", "b", "like", "both", "weight", "beyond"])
+                both, wa, wb, beyond, top = overlap(held.value, x.as_py(), y.as_py())
+                out.append((both >= similar * (wa + wb - both), both, wb, top, beyond.view(np.int64) if big else np.zeros(0, np.int64)))
+            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
+            yield pa.record_batch([*b.columns[:2], *cols], ["a", "b", "like", "both", "weight", "top", "beyond"])
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b, like, both, weight, beyond) of the pairs (a, b, big): whether they are similar, and b's weight and what it has beyond a."""
+        """(a, b, like, both, weight, top, beyond) of the pairs (a, b, big): whether they are similar, what they share, b's weight and what it
+        has beyond a, with the largest weight there."""
         pairs = cut(pairs)
         ids = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
         ids = cut(ids.join(classes.select("h1", "doc_id"), "h1"))
         texts = docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "doc_id").select("h1", "text")
         texts = texts.mapInArrow(pack, "h1 long, packed binary").groupBy("h1").agg(F.first("packed").alias("packed"))
         both = pairs.join(texts.select(F.col("h1").alias("b"), F.col("packed").alias("y")), "b").join(texts.select(F.col("h1").alias("a"), F.col("packed").alias("x")), "a")
-        return cut(both.select("a", "b", "big", "x", "y").mapInArrow(compare, "a long, b long, like boolean, both double, weight double, beyond array<long>"))
+        return cut(both.select("a", "b", "big", "x", "y").mapInArrow(compare, "a long, b long, like boolean, both double, weight double, top double, beyond array<long>"))
 
-    first = compared(pairs)
+    first = compared(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b"), "big"))  # a hub also meets itself
     edges = first.where("like").select("a", "b")
     roots = connected_components(edges)
-    open_ = with_root(star, roots)
-    centre = F.max(F.when(F.col("id") == F.col("centre"), F.col("root"))).over(own)
-    open_ = open_.withColumns({"home": centre, "lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi AND id <> centre").select("bucket", "id", "n", "centre", "root", "home")
-    told = first.select(F.col("a").alias("centre"), F.col("b").alias("id"), "both", "weight", "beyond")
-    rows = cut(open_.join(told, ["centre", "id"]))
-    pack_ = lambda p: F.struct("id", "root", "n", "both", "weight", "beyond").alias(p)
-    most = (1 + similar) / similar * (1 + 1e-9)
-    light = f"(a.weight + b.weight <= {most} * a.both AND a.weight + b.weight <= {most} * b.both)"
-    apart = f"a.root <> b.root AND (a.n <= {SMALL} OR arrays_overlap(a.beyond, b.beyond) OR {light})"
+    home = F.max(F.when(F.col("id") == F.col("centre"), F.col("root"))).over(own)
+    open_ = with_root(star, roots).withColumns({"home": home, "lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi").select("bucket", "k", "id", "n", "root", "home")
+    told = first.select(F.col("b").alias("id"), F.col("a").alias("hub"), "both", "weight", "top", "beyond").join(classes.select(F.col("h1").alias("id"), "bands"), "id")
+    rows = cut(open_.join(told, "id"))
+    pack_ = lambda p: F.struct("id", "root", "home", "k", "n", "hub", "both", "weight", "top", "beyond", "bands").alias(p)
+    new = "a.root <> b.root AND (b.root = a.home OR a.id < b.id) AND a.id <> b.hub AND b.id <> a.hub"
+    once = "array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = a.k + 1"
+    beyond = "size(array_intersect(a.beyond, b.beyond))"
+    can = f"least(a.both + {beyond} * a.top, b.both + {beyond} * b.top) * {(1 + similar) / similar * (1 + 1e-9)} >= a.weight + b.weight"
     # one of a pair in different components isn't in the centre's
     left, right = rows.where("root <> home").select("bucket", pack_("a")), rows.select("bucket", pack_("b"))
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(apart)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.lit(False).alias("big")).distinct()
+    met = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(f"{new} AND (a.n <= {SMALL} OR a.hub <> b.hub OR {can}) AND {once}"))
+    rest = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.lit(False).alias("big")).distinct()
     more = compared(rest).where("like").select("a", "b")
     roots = roots if more.isEmpty() else connected_components(edges.union(more))
     return sketched.select("doc_id", "h1").join(roots.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "h1", F.coalesce("root", "h1").alias("root"))
@@ -227,8 +231,8 @@ def components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def drop_near(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs`` without the documents of a component other than the one with its smallest doc_id; rows that repeat that id and text stay."""
-    gone = components(docs, similar).where(~F.col("kept")).select(F.col("doc_id").alias("id_")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("id_"), "left_anti")
+    gone = components(docs, similar).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def op9_neardup(docs: DataFrame) -> DataFrame:
