@@ -27,6 +27,8 @@ BITS_APART = 3
 SIMILAR = 0.8
 #: (first bit, bits) of each block.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Words of so many letters vote in a SimHash.
+TELLING = 4
 #: Vote counts: so many lanes of so many bits in a long.
 LANES, WIDTH = 2, 31
 #: What doesn't belong to a word at its ends. Fixed values.
@@ -51,18 +53,20 @@ def words_of(line: str) -> Column:
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_h, line_no, h1, h2, sim) of all lines with words: h1 and h2 stand for the words and their places among the line's
-    tokens, and in sim a bit is set where more than half of the words' hashes have it.
+    tokens, and in sim a bit is set where more than half of the voting words' hashes have it. Words of ``TELLING`` letters or more vote, or all
+    words of a line without such: short words are common, and lines that share many of them would crowd the same buckets.
 
     Words are summed up in the tasks that read them; a line leaves them as one row.
     """
     lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.withColumns({"row": F.monotonically_increasing_id(), "telling": F.col("line").rlike(rf"\p{{L}}{{{TELLING}}}")})
     own = ["row", "doc_id", "doc_h", "line_no"]
-    words = lines.withColumn("row", F.monotonically_increasing_id()).select(*own, F.posexplode(tokens_of("line")).alias("at", "token"))
-    words = words.withColumn("word", bare(F.col("token"))).where("word <> ''").select(*own, "at", F.xxhash64("word").alias("w"))
-    placed = words.select(*own, "w", F.xxhash64("at", "w").alias("p1"), F.xxhash64("w", "at").alias("p2"))
+    words = lines.select(*own, "telling", F.posexplode(tokens_of("line")).alias("at", "token")).withColumn("word", bare(F.col("token"))).where("word <> ''")
+    words = words.select(*own, "at", F.xxhash64("word").alias("h"), (~F.col("telling") | (F.length("word") >= TELLING)).alias("votes"))
+    placed = words.select(*own, "votes", F.when(F.col("votes"), F.col("h")).otherwise(0).alias("w"), F.xxhash64("at", "h").alias("p1"), F.xxhash64("h", "at").alias("p2"))
     mask, low = sum(1 << i * WIDTH for i in range(LANES)), (1 << LANES) - 1
     spread = [f"((shiftrightunsigned(w, {LANES * k}) & {low}L) * {sum(1 << i * (WIDTH - 1) for i in range(LANES))}L) & {mask}L" for k in range(64 // LANES)]
-    summed = placed.groupBy(*own).agg(F.count("*").alias("n"), F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)))
+    summed = placed.groupBy(*own).agg(F.count_if("votes").alias("n"), F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)))
     # the top bit of a lane is set where its count passes half of the words
     summed = summed.withColumn("need", F.expr(f"{mask}L * ({(1 << WIDTH - 1) - 1}L - n div 2)"))
     over = [f"(shiftrightunsigned(s{k} + need, {WIDTH - 1}) & {mask}L)" for k in range(64 // LANES)]
@@ -93,7 +97,9 @@ def alike(pairs: DataFrame) -> DataFrame:
     ends = sized.withColumn("head", F.expr(shared.format("x", "y"))).withColumns({"x": F.reverse(cut_off("x", "head")), "y": F.reverse(cut_off("y", "head"))})
     mid = ends.withColumn("tail", F.expr(f"IF(size(x) = 0 OR size(y) = 0, 0, {shared.format('x', 'y')})")).withColumns({"x": F.reverse(cut_off("x", "tail")), "y": F.reverse(cut_off("y", "tail"))})
     spaced = lambda w: F.expr(f"array_join(transform({w}, s -> concat(s, ' ')), '')")
-    return mid.where(F.levenshtein(spaced("x"), spaced("y")) <= F.col("most"))
+    # word by word from the left is one way to edit; where it is within the bound, no better one need be found
+    plain = "aggregate(zip_with(x, y, (p, q) -> IF(p <=> q, 0, greatest(coalesce(length(p), 0), coalesce(length(q), 0)) + IF(p IS NULL OR q IS NULL, 1, 0))), 0, (n, c) -> n + c)"
+    return mid.where(F.when(F.expr(plain) <= F.col("most"), True).otherwise(F.levenshtein(spaced("x"), spaced("y")) <= F.col("most")))
 
 
 def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -138,17 +144,16 @@ def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
 
     ``drop_empty`` leaves out the documents that had lines with words and have none left: they only repeat others.
     """
-    gone = repeated_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("id_"), F.col("doc_h").alias("doc_h_"), "removed")
-    gone = gone.withColumnRenamed("removed", "removed_")
-    out = docs.withColumn("h_", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h_") == F.col("doc_h_")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed_", i)), "\n")
-    text = F.when(F.col("removed_").isNull(), F.col("text")).otherwise(kept)
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    gone = repeated_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("id"), "doc_h", "removed")
+    # the document is packed, so that its columns can have any names
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_h"))
+    out = packed.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("doc_h")), "left")
+    kept = F.array_join(F.filter(F.split("doc.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    out = out.select("doc", F.col("removed").isNull().alias("whole"), F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept).alias("text"))
     if drop_empty:
-        out = out.where(F.col("removed_").isNull() | F.exists(F.split("text", "\n", -1), lambda x: F.size(F.filter(F.split(F.lower(x), " ", -1), lambda w: bare(w) != "")) > 0))
-    return out.select(*docs.columns)
+        out = out.where(F.col("whole") | F.exists(F.split("text", "\n", -1), lambda x: F.size(F.filter(F.split(F.lower(x), " ", -1), lambda w: bare(w) != "")) > 0))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("whole"), F.col("doc.n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("text").cast("long"))}
+    return out.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op5_linededup(docs: DataFrame) -> DataFrame:
