@@ -9,7 +9,8 @@ Vectorised numpy first skips what no window can lie in: stretches whose neighbou
 
 Null and empty texts have no words, are never hit and stay. Items without words are ignored; rows that repeat an item_id
 count once, a null item_id counts under the empty name. Ties don't arise: every occurrence counts. Documents repeat as
-often as they are given. An empty benchmark hits nothing. Other columns, also with clashing names, pass through.
+often as they are given. An empty benchmark hits nothing. Other columns pass through; columns that
+are named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -165,6 +166,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """``docs`` plus hit_spans_ (word positions start, end, start, end ... of maximal hit stretches), hit_items_ (names) and n_words_."""
+    docs = docs.drop("hit_spans_", "hit_items_", "n_words_")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("hit_spans_", T.ArrayType(T.LongType())), T.StructField("hit_items_", T.ArrayType(T.StringType())), T.StructField("n_words_", T.LongType())])
     out = docs.select("*", F.expr("array() :: array<long>").alias("hit_spans_"), F.expr("array() :: array<string>").alias("hit_items_"), F.expr("-1L").alias("n_words_"))
@@ -195,6 +197,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_
 def remove_hits(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8, **how) -> DataFrame:
     """``docs`` with hit stretches of over ``max_span`` words cut out of text and n_chars set anew; a document of whose words a
     share above ``max_coverage`` is hit goes. Texts without such stretches stay as they are."""
+    docs = docs.drop("hit_spans_", "hit_items_", "n_words_")
     found = find_hits(docs, benchmark, **how)
     names = docs.columns
 

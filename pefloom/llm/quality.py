@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Attenti
 
 
 def score(docs: DataFrame, model: Attention) -> DataFrame:
-    """``docs`` plus the columns score (0 to 1) and predicted (1 where score >= ``KEEP``)."""
+    """``docs`` plus (in place of columns so named) score (0 to 1) and predicted (1 where score >= ``KEEP``)."""
+    docs = docs.drop("score", "predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema

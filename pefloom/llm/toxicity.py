@@ -79,7 +79,8 @@ def hash_order(b: bytes) -> tuple[int, bytes]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` plus the columns score (0 to 1) and predicted (1 where score >= 0.5)."""
+    """``docs`` plus (in place of columns so named) score (0 to 1) and predicted (1 where score >= 0.5)."""
+    docs = docs.drop("score", "predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
