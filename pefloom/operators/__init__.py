@@ -1,0 +1 @@
+"""The operators on records, matrices, factors and results."""

@@ -301,6 +301,11 @@ def fit_coeffs_lrm(a: DataFrame, g: DataFrame, r: int, n_iters: int, mu_eps: flo
     return got.select("example_id", "w"), losses
 
 
+def trim_column_map(column_map: DataFrame, n_cols: int) -> DataFrame:
+    """A column map without the surplus entries at its end, for dictionaries saved with fewer columns than their map."""
+    return column_map.where(F.col("col") < n_cols)
+
+
 def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: int, iters_g_only: int, iters_new_only: int, iters_joint: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, w_frozen: DataFrame | None = None, init_new: DataFrame | None = None, header: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
     """(W, G, losses) with r_new components before the frozen ones: steps of the new G, then of the new W and G, then of all W and the
     new G. The frozen dictionary never moves (F10)."""

@@ -1,0 +1 @@
+"""No streaming operators: fits against a frozen dictionary are row-local and can be called in foreachBatch as they are."""
