@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pefloom.plans.lineage import cut, shared_dir
@@ -39,24 +39,26 @@ def with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnRenamed("root", "root_"), "id", "left").withColumn("root", F.coalesce("root_", "id")).drop("root_")
 
 
-def link_buckets(members: DataFrame, near: Callable[[str, str], F.Column], verify: Callable[[DataFrame], DataFrame], payload: list[str]) -> DataFrame:
+def link_buckets(members: DataFrame, near: Callable[[str, str], Column], once: Callable[[str, str, str], Column], verify: Callable[[DataFrame], DataFrame], payload: list[str]) -> DataFrame:
     """(id, root) of all ids of ``members`` (bucket, id and the payload columns) that some verified pair links.
 
-    A pair of ids is a link if they share a bucket, ``near`` holds between their payloads (prefixes "a" and "b") and
-    ``verify`` keeps it in (a, b). First every member is held against its bucket's smallest id: one pair a row, so
-    a large group of alike texts costs its size, not its square. Then all pairs of a bucket that are still in different
-    components follow, so no link between components is lost; links inside a component would change nothing.
+    A pair of ids is a link if they share a bucket, ``near`` holds between their payloads (prefixes "a" and "b") and ``verify`` keeps
+    it in (a, b). First every member is held against its bucket's centre, the member that shares most buckets with most others:
+    one pair a row, so a large group of alike texts costs its size, not its square. Then the pairs without the centre that are
+    still in different components follow, each in the one bucket that ``once`` (a, b, bucket) names, so no link between
+    components is lost; links inside a component would change nothing.
     """
     own = Window.partitionBy("bucket")
-    shared = members.withColumns({"n": F.count("*").over(own), "b": F.min(F.struct("id", *payload)).over(own)}).where("n > 1")
-    shared = cut(shared.select("bucket", "id", *payload, "b"))  # few rows: most buckets have one member
+    shared = members.withColumn("n", F.count("*").over(own)).where("n > 1")  # few rows: most buckets have one member
+    fame = F.sum("n").over(Window.partitionBy("id"))
+    shared = cut(shared.withColumn("fame", fame).withColumn("b", F.max(F.struct("fame", "id", *payload)).over(own)).select("bucket", "id", *payload, "n", "b"))
     pack = lambda p: F.struct("id", *payload).alias(p)
     star = shared.select(pack("a"), "b").where("a.id <> b.id").where(near("a", "b"))
     edges = cut(verify(star.select(F.col("b.id").alias("a"), F.col("a.id").alias("b")).distinct()))
     roots = connected_components(edges)
-    open_ = with_root(shared.drop("b"), roots)
-    mixed = open_.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi")
+    others = with_root(shared.where("n > 2 AND id <> b.id").drop("b", "n"), roots)
+    mixed = others.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi")
     rest = mixed.select("bucket", F.struct("id", "root", *payload).alias("a"))
-    pairs = rest.join(rest.withColumnRenamed("a", "b"), "bucket").where("a.id < b.id AND a.root <> b.root").where(near("a", "b"))
+    pairs = rest.join(rest.withColumnRenamed("a", "b"), "bucket").where("a.id < b.id AND a.root <> b.root").where(near("a", "b")).where(once("a", "b", "bucket"))
     more = cut(verify(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()))
     return roots if more.isEmpty() else connected_components(edges.union(more))

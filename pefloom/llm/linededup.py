@@ -5,7 +5,7 @@ if their 64-bit SimHashes over words differ in at most ``BITS_APART`` bits and t
 distance / longer length) is at least ``SIMILAR``. Of each connected group only the first occurrence, by (doc_id, line number), stays.
 
 With five blocks of bits, three differing bits leave two blocks alike: each line has ten keys, one for each pair of blocks, so every
-pair within reach meets under some key. Buckets are held against one member first (``link_buckets``), so a large group of
+pair within reach meets under some key. Members are held against their bucket's centre first (``link_buckets``), so a large group of
 alike lines costs its size. Vote counts for the 64 bits are summed in lanes packed into longs.
 
 Null texts have no lines and stay null. Rows with the same doc_id and text share their decisions, so repeated rows all keep an
@@ -29,8 +29,8 @@ SIMILAR = 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Words of so many letters vote in a SimHash.
 TELLING = 4
-#: Vote counts: so many lanes of so many bits in a long.
-LANES, WIDTH = 2, 31
+#: Vote counts: so many lanes of so many bits in a long. A line of over 2**20 voting words has no SimHash of use; equal lines are still found.
+LANES, WIDTH = 3, 21
 #: What doesn't belong to a word at its ends. Fixed values.
 MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Up to so many ids of documents whose lines are to be compared are sent to all tasks (8 bytes each); more are joined by a shuffle.
@@ -65,11 +65,11 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     words = words.select(*own, "at", F.xxhash64("word").alias("h"), (~F.col("telling") | (F.length("word") >= TELLING)).alias("votes"))
     placed = words.select(*own, "votes", F.when(F.col("votes"), F.col("h")).otherwise(0).alias("w"), F.xxhash64("at", "h").alias("p1"), F.xxhash64("h", "at").alias("p2"))
     mask, low = sum(1 << i * WIDTH for i in range(LANES)), (1 << LANES) - 1
-    spread = [f"((shiftrightunsigned(w, {LANES * k}) & {low}L) * {sum(1 << i * (WIDTH - 1) for i in range(LANES))}L) & {mask}L" for k in range(64 // LANES)]
+    spread = [f"((shiftrightunsigned(w, {LANES * k}) & {low}L) * {sum(1 << i * (WIDTH - 1) for i in range(LANES))}L) & {mask}L" for k in range(-(-64 // LANES))]
     summed = placed.groupBy(*own).agg(F.count_if("votes").alias("n"), F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)))
     # the top bit of a lane is set where its count passes half of the words
     summed = summed.withColumn("need", F.expr(f"{mask}L * ({(1 << WIDTH - 1) - 1}L - n div 2)"))
-    over = [f"(shiftrightunsigned(s{k} + need, {WIDTH - 1}) & {mask}L)" for k in range(64 // LANES)]
+    over = [f"(shiftrightunsigned(s{k} + need, {WIDTH - 1}) & {mask}L)" for k in range(-(-64 // LANES))]
     bits = [f"shiftleft(({' | '.join(f'shiftrightunsigned({x}, {i * (WIDTH - 1)})' for i in range(LANES))}) & {low}L, {LANES * k})" for k, x in enumerate(over)]
     return summed.select("doc_id", "doc_h", "line_no", "h1", "h2", F.expr(" | ".join(bits)).alias("sim"))
 
@@ -102,6 +102,13 @@ def alike(pairs: DataFrame) -> DataFrame:
     return mid.where(F.when(F.expr(plain) <= F.col("most"), True).otherwise(F.levenshtein(spaced("x"), spaced("y")) <= F.col("most")))
 
 
+def first_key(a: str, b: str, bucket: str) -> Column:
+    """Whether the bucket is that of the first key that two near SimHashes have in common."""
+    clean = [f"({a}.sim ^ {b}.sim) & {((1 << n) - 1 << at) - (1 << 64 if at + n == 64 else 0)}L = 0" for at, n in BLOCKS]
+    cases = " ".join(f"WHEN {clean[i]} AND {clean[j]} THEN {k}" for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)))
+    return F.expr(f"CASE {cases} END = shiftrightunsigned({bucket}, 32)")
+
+
 def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, root) of the lines, by h1, that are linked to others than themselves; ``lines`` are the hashed lines of ``docs``."""
     distinct = lines.groupBy("h1").agg(F.first("sim").alias("sim"))
@@ -122,7 +129,7 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("words").alias("y")), "b")
         return alike(both).select("a", "b")
 
-    return link_buckets(members, near, verify, ["sim"])
+    return link_buckets(members, near, first_key, verify, ["sim"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
