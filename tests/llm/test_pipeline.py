@@ -39,7 +39,8 @@ def test_stages(spark, tmp_path):
         kept.append({x.doc_id: x for x in docs.collect()})
         assert name == "mix" or docs.columns == columns
     assert set(range(len(texts))) - set(kept[0]) == set(range(150, 210))
-    assert set(kept[0]) - set(kept[1]) == set(range(216, 221))  # the copies of clean documents lost all their lines
+    gone = set(kept[0]) - set(kept[1])  # copies of clean documents lose all their lines, and so may near copies of one line
+    assert set(range(216, 221)) <= gone <= set(range(214, 221))
     assert kept[1][221].text == texts[221].split("\n")[0]
     assert {213, 214, 215} & set(kept[2]) == {213} and set(range(150)) <= set(kept[2])
     assert 222 not in kept[3] and all(item not in kept[3][i].text and len(re.findall(r"\S+", kept[3][i].text)) == 80 for i in (210, 211, 212))
