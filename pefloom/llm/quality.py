@@ -146,6 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Attenti
 
     got = training_rows(docs, labels, "quality", most).mapInArrow(bags, "x binary, y int").toArrow()
     rows = sorted(zip(got["x"].to_pylist(), got["y"].to_pylist(), strict=True))
+    del got
+    pa.default_memory_pool().release_unused()
     return Attention().fit([np.frombuffer(x, np.float32).reshape(-1, SIZE) for x, _ in rows], np.array([y for _, y in rows], float))
 
 

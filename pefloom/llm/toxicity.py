@@ -68,14 +68,27 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
             yield pa.record_batch([pa.array([x.tobytes() for x in out], pa.binary()), b.column("y")], ["slots", "y"])
 
     got = training_rows(docs, labels, "toxic", most).mapInArrow(slots, "slots binary, y int").toArrow()
-    rows = sorted(((s.as_py(), y.as_py()) for s, y in zip(got["slots"], got["y"], strict=True)), key=lambda r: hash_order(r[0]))
-    return fit_ftrl([(np.frombuffer(s, np.int32), y) for s, y in rows])
+    model = fit_ftrl(sorted(_rows(got), key=lambda r: hash_order(r[0])))
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
-def hash_order(b: bytes) -> tuple[int, bytes]:
+def _rows(got: pa.Table) -> list[tuple[np.ndarray, int]]:
+    """The (slots, label) rows of a table, as views of its buffers."""
+    rows = []
+    for b in got.to_batches():
+        column = b.column(0)
+        offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        rows += [(flat[a:z].view(np.int32), y) for a, z, y in zip(offs[:-1], offs[1:], b.column(1).to_pylist(), strict=True)]
+    return rows
+
+
+def hash_order(slots: np.ndarray) -> tuple[int, int]:
     """A fixed shuffle of the rows that doesn't depend on the order in which they arrive."""
-    x = np.frombuffer(b, np.int32).astype(np.uint64)
-    return int(tokens.mix(x.sum(keepdims=True) + np.uint64(len(x)))[0]) if len(x) else 0, b
+    x = slots.astype(np.uint64)
+    return (int(tokens.mix(x.sum(keepdims=True) + np.uint64(len(x)))[0]) if len(x) else 0), len(x)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
