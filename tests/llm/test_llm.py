@@ -294,6 +294,33 @@ def test_line_dedup(spark):
     assert linededup.op5_linededup(df.where("false")).count() == 0 and linededup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_finds_lines_of_edit_similarity(spark):
+    r = random.Random(15)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([2, 3, 4, 5, 6, 7, 8, 9]))) for _ in range(5000)]
+    found, total = Counter(), Counter()
+    lines, pairs = [], []
+    for n in (5, 8, 15, 30, 60, 120, 200):
+        for share in (0, 0.05, 0.1, 0.2):
+            for _ in range(40):
+                x = r.sample(words, n)
+                y = list(x)
+                for at in r.sample([k for k in range(n) if len(x[k]) >= 4] or [0], max(1, int(share * n))) if share * n <= sum(len(w) >= 4 for w in x) else ():
+                    y[at] = r.choice([w for w in words if len(w) == len(y[at])])
+                a, b = " ".join(x), " ".join(y)
+                # places with other letters are an upper bound of the distance
+                if a != b and sum(p != q for p, q in zip(a, b, strict=True)) <= math.floor(0.2 * len(a) + 1e-9):
+                    pairs.append((len(lines), n, share))
+                    lines += [a, b]
+    gone = {x.doc_id for x in linededup.op5_linededup(docs_of(spark, lines)).collect() if x.n_removed}
+    for i, n, share in pairs:
+        total[n, share] += 1
+        found[n, share] += i + 1 in gone
+        assert i not in gone
+    assert len(pairs) > 700 and sum(found.values()) >= 0.9 * len(pairs)
+    assert all(sum(found[n, s] for s in (0, 0.05, 0.1, 0.2)) >= 0.75 * sum(total[n, s] for s in (0, 0.05, 0.1, 0.2)) for n in (5, 8, 15, 30, 60, 120, 200))
+
+
+
 # 7: URLs.
 
 
