@@ -33,8 +33,8 @@ SAMPLES = 16
 KEYS = [[4 * i + j for j in range(4)] for i in range(4)] + [[4 * i + (t[i] ^ c) for i in range(4)] for t in ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2)) for c in range(4)]
 #: Words of so many letters are 2**LIFT times as likely to be sampled as shorter ones, which unrelated lines share.
 TELLING, LIFT = 4, 3
-#: Vote counts: so many lanes of so many bits in a long.
-LANES, WIDTH = 3, 21
+#: Vote counts: so many lanes of so many bits in a long, for lines of fewer than 2**(bits - 1) tokens; no text has 2**30.
+LANES = ((6, 10), (2, 31))
 #: What doesn't belong to a word at its ends. Fixed values.
 MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Up to so many ids of documents whose lines are to be compared are sent to all tasks (8 bytes each); more are joined by a shuffle.
@@ -59,22 +59,29 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_h, line_no, h1, h2, sim, keys) of all lines with words: h1 and h2 stand for the words and their places among the
     line's tokens, in sim a bit is set where more than half of the words' hashes have it, and keys are hashes of the sampled words.
 
-    Words are summed up in the tasks that read them; a line leaves them as one row.
+    Words are summed up in the tasks that read them; a line leaves them as one row. Long lines take wider lanes.
     """
     lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    most = 1 << LANES[0][1] - 1
+    return voted(lines.where(tokens < most), *LANES[0]).union(voted(lines.where(tokens >= most), *LANES[1]))
+
+
+def voted(lines: DataFrame, lanes: int, width: int) -> DataFrame:
+    """``hashed_lines`` of (doc_id, doc_h, line_no, line), with votes in ``lanes`` lanes of ``width`` bits a long."""
     lines = lines.withColumn("row", F.monotonically_increasing_id())
     own = ["row", "doc_id", "doc_h", "line_no"]
     words = lines.select(*own, F.posexplode(tokens_of("line")).alias("at", "token")).withColumn("word", bare(F.col("token"))).where("word <> ''")
     words = words.select(*own, "at", F.xxhash64("word").alias("w"), F.when(F.length("word") >= TELLING, LIFT).otherwise(0).alias("lift"))
     placed = words.select(*own, "w", "lift", F.xxhash64("at", "w").alias("p1"), F.xxhash64("w", "at").alias("p2"))
-    mask, low = sum(1 << i * WIDTH for i in range(LANES)), (1 << LANES) - 1
-    spread = [f"((shiftrightunsigned(w, {LANES * k}) & {low}L) * {sum(1 << i * (WIDTH - 1) for i in range(LANES))}L) & {mask}L" for k in range(-(-64 // LANES))]
+    mask, low = sum(1 << i * width for i in range(lanes)), (1 << lanes) - 1
+    spread = [f"((shiftrightunsigned(w, {lanes * k}) & {low}L) * {sum(1 << i * (width - 1) for i in range(lanes))}L) & {mask}L" for k in range(-(-64 // lanes))]
     least = [f"min(shiftright(xxhash64(w ^ {(k + 1) * 0x9E3779B97F4A7C15 >> 8 & (1 << 56) - 1}L) & {(1 << 63) - 1}L, lift))" for k in range(SAMPLES)]
     summed = placed.groupBy(*own).agg(F.count("*").alias("n"), F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)), *(F.expr(x).alias(f"m{k}") for k, x in enumerate(least)))
     # the top bit of a lane is set where its count passes half of the words
-    summed = summed.withColumn("need", F.expr(f"{mask}L * ({(1 << WIDTH - 1) - 1}L - n div 2)"))
-    over = [f"(shiftrightunsigned(s{k} + need, {WIDTH - 1}) & {mask}L)" for k in range(-(-64 // LANES))]
-    bits = [f"shiftleft(({' | '.join(f'shiftrightunsigned({x}, {i * (WIDTH - 1)})' for i in range(LANES))}) & {low}L, {LANES * k})" for k, x in enumerate(over)]
+    summed = summed.withColumn("need", F.expr(f"{mask}L * ({(1 << width - 1) - 1}L - n div 2)"))
+    over = [f"(shiftrightunsigned(s{k} + need, {width - 1}) & {mask}L)" for k in range(-(-64 // lanes))]
+    bits = [f"shiftleft(({' | '.join(f'shiftrightunsigned({x}, {i * (width - 1)})' for i in range(lanes))}) & {low}L, {lanes * k})" for k, x in enumerate(over)]
     return summed.select("doc_id", "doc_h", "line_no", "h1", "h2", F.expr(" | ".join(bits)).alias("sim"), F.array(*(F.hash(*(f"m{m}" for m in key)) for key in KEYS)).alias("keys"))
 
 
