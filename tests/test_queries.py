@@ -36,3 +36,10 @@ def test_query(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_locate_params_keeps_large_part_keys(spark, tmp_path):
+    keys = [0, 63, 64, 99, 100, 999_999, 1_000_000, 6_000_000]
+    spark.createDataFrame([(i, 1, k) for i, k in enumerate(keys)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {x.l_orderkey: (x.variable, x.local_index) for x in Q.QUERIES["locate_params"](spark, str(tmp_path)).collect()}
+    assert got == {i: ("kernel", k) if k < 64 else ("bias", k - 64) if k < 100 else ("head", k - 100) for i, k in enumerate(keys)}
