@@ -132,6 +132,26 @@ def test_skip_edges_carry_labels(spark):
     assert pii.op2_pii(docs_of(spark, [])).count() == 0
 
 
+def test_field_decides_without_base_spans(spark):
+    r = random.Random(61)
+    texts = [f"mail {'joe' * (1 + i % 9)}@example.com about {r.randrange(100)} things {prose(r, 3)}" for i in range(60)] + ["write to info@exämple.de soon", "see 12 things"]
+    out = pii.op2_pii(docs_of(spark, texts)).toPandas().sort_values("doc_id")
+    assert pii.base_spans(texts[60]) == [] and out.iloc[60].spans == "email:9:24" and out.iloc[61].spans == ""
+
+
+def test_messages_reach_the_whole_chain():
+    field = pii.Field({"node": {}, "chain": {}, "skip": {(k, k): 1000 for k in range(5)}})
+    skip = np.array([(k, k + 1) for k in range(49)])
+    p = field.beliefs(np.zeros(50, np.int64), np.array([3] + [0] * 49), np.zeros((0, 2), np.int64), skip)
+    # on a chain the products of the potentials are exact
+    step = np.exp(field.skip)
+    want = np.eye(5)[3]
+    for k in range(50):
+        assert p[k] == pytest.approx(want / want.sum(), abs=0.02)
+        want = want @ step
+    assert p[49].argmax() == 3 and p[49, 3] > 0.25
+
+
 # 3: mixing.
 
 
