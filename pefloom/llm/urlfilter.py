@@ -1,8 +1,8 @@
 """URL filter: given rules first, then association rules that Spark's FP-growth mines from the pages that the given rules label.
 
-A URL's tokens are its last three host labels, its first two path segments and the names of its first three query
-arguments: eight at most, so ``minSupport`` bounds the frequent sets (2**8 / minSupport) and with them the mined rules. They are
-pruned by confidence and support and by simpler rules that say the same at least as surely; the few thousand that can remain
+A URL's tokens are all its host labels (by place from the right), path segments (wherever they stand) and names of query
+arguments. Tokens below ``minSupport`` are in no frequent set and leave before FP-growth; at most 1 / minSupport tokens an average
+URL holds remain, and the sets grow with the tokens that are frequent together. The rules are pruned by confidence and support and by simpler rules that say the same at least as surely; the few thousand that can remain
 match every page through an inverted index (token -> rules) inside the scan's own tasks, without a shuffle.
 
 Null URLs and URLs without "://" have empty host and path, no rule, and no token but the empty ones; they are allowed unless
@@ -49,18 +49,22 @@ def longest_rule(rules: dict[str, str]) -> Column:
 
 def url_tokens(url: str = "url") -> Column:
     """The distinct tokens of a URL, from the columns host and path."""
-    labels = F.expr("transform(slice(reverse(split(host, '[.]')), 1, 3), (x, i) -> concat('h', i, ':', x))")
-    parts = F.expr("transform(slice(filter(split(path, '/'), x -> x <> ''), 1, 2), (x, i) -> concat('p', i, ':', x))")
+    labels = F.expr("transform(reverse(split(host, '[.]')), (x, i) -> concat('h', i, ':', x))")
+    parts = F.expr("transform(filter(split(path, '/'), x -> x <> ''), x -> concat('p:', x))")
     query = F.regexp_extract(after_scheme(url), r"^[^?#]*\?([^#]*)", 1)
-    args = F.transform(F.slice(F.filter(F.split(query, "&"), lambda x: x != ""), 1, 3), lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
+    args = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
     return F.array_distinct(F.concat(labels, parts, args))
 
 
 def mine(labelled: DataFrame, min_support: float = 0.02, min_confidence: float = 0.9) -> list[tuple[frozenset[str], str, float, float]]:
     """(tokens, verdict, confidence, support) of the pruned rules mined from (tokens, verdict) rows."""
     rows = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         return []
+    often = rows.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").count().where(F.col("count") >= min_support * n)
+    often = [r.item for r in often.select("item").collect()]
+    rows = rows.select(F.array_intersect("items", F.lit(often).cast("array<string>")).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows).associationRules
     got = rules.where(F.startswith(rules["consequent"][0], F.lit("=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("=")))).collect()
     best: list[tuple[frozenset[str], str, float, float]] = []

@@ -374,6 +374,17 @@ def test_url_filter(spark):
     assert urlfilter.op7_urlfilter(df.where("false")).count() == 0
 
 
+def test_every_part_of_a_url_counts(spark):
+    deep = ["http://{}/en/2024/casino/{}", "http://{}/en/2024/news/{}"]
+    args = ["http://{}/x?a=1&b=2&c=3&bet={}", "http://{}/x?a=1&b=2&c=3&page={}"]
+    fourth = ["http://ads.w.q.{}/y/{}", "http://shop.w.q.{}/y/{}"]
+    urls = [u[k].format(("bad.net", "good.fr")[k], i) for u in (deep, args, fourth) for k in (0, 1) for i in range(30)]
+    urls += ["http://other.io/de/a/b/casino/z", "http://other.io/v?a=1&b=2&c=3&d=4&bet=5", "http://ads.w.q.other.io/", "http://other.io/de/a/b/news/z"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: x.verdict for x in urlfilter.judge(df, {"bad.net/": "block", "good.fr/": "allow"}, default="none").collect()}
+    assert [got[k] for k in range(180, 184)] == ["block", "block", "block", "allow"]
+
+
 def test_mined_rules_match_brute_force(spark):
     r = random.Random(7)
     rows = [(sorted(r.sample("abcdef", r.randint(1, 4))), None) for _ in range(200)]
