@@ -1,16 +1,19 @@
 """Fuzzy line dedup in DataFrame functions alone: SimHash of normalised lines, pigeonhole blocks, edit similarity, components.
 
-A line is what stands between line feeds. Normalised, it is its words: lower-cased, what stands between spaces, without punctuation at the ends. Lines that normalise to nothing are kept and never compared. Two lines are linked if they normalise alike, or
-if the edit similarity of the normalised lines (1 - Levenshtein distance / longer length) is at least ``SIMILAR``; pairs whose 64-bit
-SimHashes over all words differ in more than ``BITS_APART`` bits are not compared, which unrelated lines do and similar ones hardly ever.
-Of each connected group only the first occurrence, by (doc_id, line number), stays.
-
-SimHash bits alone can't find such pairs: a tenth of the words moves nine of 64 bits. Candidates share a key of four word samples: a line has
-16 samples, each the word that is least under one of 16 orders, and two lines have a sample in common as often as their word sets are alike. The
-20 keys are the lines of the affine plane over the samples, so any two keys have one sample in common at most. With a share J of the words in
-common a pair meets under some key with probability 0.93 (J = 0.67, a fifth of the words replaced), 0.997 (J = 0.82, a tenth) or more.
-Edits that touch nearly every word leave no word in common and aren't found. Members are held against their bucket's centre first
-(``link_buckets``), so a large group of alike lines costs its size. Vote counts for the 64 bits are summed in lanes packed into longs.
+A line is what stands between line feeds. Normalised, it is its words, lower-cased, with a space between: ASCII punctuation, spaces and
+control characters separate words. Lines without words are kept and never compared. Two lines are linked if they normalise alike, or
+if the edit similarity of the normalised lines (1 - Levenshtein distance / longer length), in characters or in words, is at least ``SIMILAR``.
+
+Blocks of SimHash bits alone can't find such pairs: a tenth of the words moves nine of 64 bits, and blocks that survive that are too short
+to tell lines apart. So the blocks are laid over a second sketch, 16 samples, each the word that is least under one of 16 orders; two
+lines have a sample in common as often as their word sets are alike. The ``KEYS`` are four partitions of the samples into four blocks:
+lines that differ in three samples at most share a block in every partition, and any two keys have one sample in common at most. With
+a share J of the words in common a pair meets with probability 0.90 (J = 0.67, a fifth of the words replaced), 0.99 (J = 0.82, a tenth).
+Candidates agree in ``AGREE`` samples and differ in ``BITS_APART`` SimHash bits at most, for which every word votes, and have a third of
+their words in common; then the edit similarity decides. Edits that touch nearly every word leave no word in common and aren't found.
+
+Members are held against their bucket's centre first (``link_buckets``), so a large group of alike lines costs its size. Of each connected
+group only the first occurrence, by (doc_id, line number), stays. Vote counts for the 64 bits are summed in lanes packed into longs.
 
 Null texts have no lines and stay null. Rows with the same doc_id and text share their decisions, so repeated rows all keep an
 occurrence that is kept; rows with one doc_id and several texts are told apart by the text. Null doc_ids come first. Ties on
@@ -28,92 +31,90 @@ from pefloom.llm.common import cut, link_buckets
 #: Similar lines are some 13 bits apart at a fifth of the words replaced, unrelated ones some 32.
 BITS_APART = 24
 SIMILAR = 0.8
-SAMPLES = 16
-#: The samples of each key: the 20 lines of the affine plane of order 4.
-KEYS = [[4 * i + j for j in range(4)] for i in range(4)] + [[4 * i + (t[i] ^ c) for i in range(4)] for t in ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2)) for c in range(4)]
-#: Words of so many letters are 2**LIFT times as likely to be sampled as shorter ones, which unrelated lines share.
+#: Similar lines agree in 10 of 16 samples at a fifth of the words replaced, unrelated ones that share a block in five.
+SAMPLES, AGREE = 16, 6
+#: The samples of each key: four partitions into four blocks, in which no two blocks share two samples.
+KEYS = [[4 * i + (t[i] ^ c) for i in range(4)] for t in ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2)) for c in range(4)]
+#: Words of so many bytes are 2**LIFT times as likely to be sampled as shorter ones, which unrelated lines share.
 TELLING, LIFT = 4, 3
-#: Vote counts: so many lanes of so many bits in a long, for lines of fewer than 2**(bits - 1) tokens; no text has 2**30.
-LANES = ((6, 10), (2, 31))
-#: What doesn't belong to a word at its ends. Fixed values.
-MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Vote counts: so many lanes of so many bits in a long, for lines of fewer than 2**bits words; no text has 2**30.
+NARROW, WIDE = (7, 9), (2, 31)
+#: What separates words. Fixed values.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many ids of documents whose lines are to be compared are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SEND_IDS = 2_000_000
 
 
-def tokens_of(line: str) -> Column:
-    return F.split(F.lower(F.col(line)), " ", -1)
-
-
-def bare(token: Column) -> Column:
-    """A token without marks and control characters at its ends."""
-    return F.btrim(token, F.lit(MARKS + "\t\r\f\v"))
-
-
 def words_of(line: str) -> Column:
-    """The words of a line: what stands between spaces, lower-cased and bare, where anything is left."""
-    return F.filter(F.transform(tokens_of(line), bare), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.col(line)), BETWEEN, -1), "")
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_h, line_no, h1, h2, sim, keys) of all lines with words: h1 and h2 stand for the words and their places among the
-    line's tokens, in sim a bit is set where more than half of the words' hashes have it, and keys are hashes of the sampled words.
+    """(doc_id, doc_h, line_no, h1, h2, sim, samples) of all lines with words: h1 and h2 stand for the sequence of words, in sim a bit
+    is set where more than half of the words' hashes have it.
 
     Words are summed up in the tasks that read them; a line leaves them as one row. Long lines take wider lanes.
     """
     lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    most = 1 << LANES[0][1] - 1
-    return voted(lines.where(tokens < most), *LANES[0]).union(voted(lines.where(tokens >= most), *LANES[1]))
+    short = F.octet_length("line") <= 2 * ((1 << NARROW[1]) - 2)  # a word and what follows it have two bytes at least
+    return voted(lines.where(short), *NARROW).union(voted(lines.where(~short), *WIDE))
 
 
 def voted(lines: DataFrame, lanes: int, width: int) -> DataFrame:
     """``hashed_lines`` of (doc_id, doc_h, line_no, line), with votes in ``lanes`` lanes of ``width`` bits a long."""
-    lines = lines.withColumn("row", F.monotonically_increasing_id())
-    own = ["row", "doc_id", "doc_h", "line_no"]
-    words = lines.select(*own, F.posexplode(tokens_of("line")).alias("at", "token")).withColumn("word", bare(F.col("token"))).where("word <> ''")
-    words = words.select(*own, "at", F.xxhash64("word").alias("w"), F.when(F.length("word") >= TELLING, LIFT).otherwise(0).alias("lift"))
-    placed = words.select(*own, "w", "lift", F.xxhash64("at", "w").alias("p1"), F.xxhash64("w", "at").alias("p2"))
+    own = ["doc_id", "doc_h", "line_no"]
+    words = lines.withColumn("row", F.monotonically_increasing_id()).select("row", *own, F.posexplode(words_of("line")).alias("at", "word"))
+    words = words.select("row", *own, F.xxhash64("word").alias("w"), F.when(F.octet_length("word") >= TELLING, LIFT).otherwise(0).alias("lift"), "at")
     mask, low = sum(1 << i * width for i in range(lanes)), (1 << lanes) - 1
     spread = [f"((shiftrightunsigned(w, {lanes * k}) & {low}L) * {sum(1 << i * (width - 1) for i in range(lanes))}L) & {mask}L" for k in range(-(-64 // lanes))]
-    least = [f"min(shiftright(xxhash64(w ^ {(k + 1) * 0x9E3779B97F4A7C15 >> 8 & (1 << 56) - 1}L) & {(1 << 63) - 1}L, lift))" for k in range(SAMPLES)]
-    summed = placed.groupBy(*own).agg(F.count("*").alias("n"), F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)), *(F.expr(x).alias(f"m{k}") for k, x in enumerate(least)))
+    least = [f"min(shiftright(hash(w, {k}) & {(1 << 31) - 1}, lift))" for k in range(SAMPLES)]
+    summed = words.groupBy("row").agg(*(F.first(c).alias(c) for c in own), F.count("*").alias("n"), F.bit_xor(F.xxhash64("at", "w")).alias("h1"), F.bit_xor(F.xxhash64("w", "at")).alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)), *(F.expr(x).alias(f"m{k}") for k, x in enumerate(least)))
     # the top bit of a lane is set where its count passes half of the words
     summed = summed.withColumn("need", F.expr(f"{mask}L * ({(1 << width - 1) - 1}L - n div 2)"))
     over = [f"(shiftrightunsigned(s{k} + need, {width - 1}) & {mask}L)" for k in range(-(-64 // lanes))]
     bits = [f"shiftleft(({' | '.join(f'shiftrightunsigned({x}, {i * (width - 1)})' for i in range(lanes))}) & {low}L, {lanes * k})" for k, x in enumerate(over)]
-    return summed.select("doc_id", "doc_h", "line_no", "h1", "h2", F.expr(" | ".join(bits)).alias("sim"), F.array(*(F.hash(*(f"m{m}" for m in key)) for key in KEYS)).alias("keys"))
+    return summed.select(*own, "h1", "h2", F.expr(" | ".join(bits)).alias("sim"), F.array(*(F.expr(f"m{k}") for k in range(SAMPLES))).alias("samples"))
 
 
 def near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= BITS_APART
+    agree = F.expr("+".join(f"int({a}.samples[{k}] = {b}.samples[{k}])" for k in range(SAMPLES)))
+    return (agree >= AGREE) & (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= BITS_APART)
 
 
 def alike(pairs: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` whose word arrays x and y, joined by spaces, have an edit similarity of ``SIMILAR`` or more.
+    """The rows of ``pairs`` whose word arrays x and y have an edit similarity of ``SIMILAR`` or more, in words or in characters.
 
-    Common words at the start and the end don't change the distance and go first; each word keeps a space behind it. The
-    distance function gives -1 beyond its bound.
+    Pairs with less than a third of their different words in common go first. Common words at the start and the end don't change
+    the distance and are cut off. Words are compared by hashes of 15 bits, one character each; a pair that fails there, but not
+    by more than as much again, is compared letter by letter, each word with a space behind it. The distance function gives -1
+    beyond the bound in its third place, and takes time in proportion to it, so that a small bound is tried first. The filters
+    name a row number, which keeps Spark from moving them below what was computed and so computing it again.
     """
-    size = lambda w: F.expr(f"size({w}) + aggregate({w}, 0, (n, s) -> n + length(s)) - 1")
+    once = {"at": F.monotonically_increasing_id()}
+    chars = lambda w: F.expr(f"size({w}) + aggregate({w}, 0, (n, s) -> n + length(s)) - 1")
+    bound = lambda a, b: F.expr(f"CAST(floor({1 - SIMILAR:.6f} * greatest({a}, {b}) + 1e-9) AS INT)")
     shared = "array_position(zip_with({0}, {1}, (p, q) -> NOT (p <=> q)), true) - 1"  # -1: equal
     cut_off = lambda w, n: F.expr(f"IF({n} < 0, slice({w}, 1, 0), slice({w}, CAST({n} AS INT) + 1, size({w})))")
-    sized = pairs.withColumns({"nx": size("x"), "ny": size("y")}).withColumn("most", F.expr(f"CAST(floor({1 - SIMILAR:.6f} * greatest(nx, ny) + 1e-9) AS INT)")).where("abs(nx - ny) <= most")
+    sized = pairs.where("3 * size(array_intersect(x, y)) >= size(array_union(x, y))").withColumns({"nx": chars("x"), "ny": chars("y")} | once)
+    sized = sized.withColumns({"most": bound("nx", "ny"), "words": bound("size(x)", "size(y)")}).where("at >= 0 AND (abs(nx - ny) <= most OR abs(size(x) - size(y)) <= words)")
     ends = sized.withColumn("head", F.expr(shared.format("x", "y"))).withColumns({"x": F.reverse(cut_off("x", "head")), "y": F.reverse(cut_off("y", "head"))})
     mid = ends.withColumn("tail", F.expr(f"IF(size(x) = 0 OR size(y) = 0, 0, {shared.format('x', 'y')})")).withColumns({"x": F.reverse(cut_off("x", "tail")), "y": F.reverse(cut_off("y", "tail"))})
-    spaced = lambda w: F.expr(f"array_join(transform({w}, s -> concat(s, ' ')), '')")
-    # word by word from the left is one way to edit; where it is within the bound, no better one need be found
-    plain = "aggregate(zip_with(x, y, (p, q) -> IF(p <=> q, 0, greatest(coalesce(length(p), 0), coalesce(length(q), 0)) + IF(p IS NULL OR q IS NULL, 1, 0))), 0, (n, c) -> n + c)"
-    return mid.where(F.when(F.expr(plain) <= F.col("most"), True).otherwise(F.levenshtein(spaced("x"), spaced("y")) <= F.col("most")))
+    code = lambda w: F.expr(f"decode(unhex(array_join(transform({w}, s -> lpad(hex(hash(s) & 32767), 4, '0')), '')), 'UTF-16BE')")
+    mid = mid.withColumns({"cx": code("x"), "cy": code("y")})
+    sure = "greatest(size(x), size(y)) <= words OR levenshtein(cx, cy, words div 4) >= 0"
+    told = mid.withColumns({"apart": F.expr(f"CASE WHEN {sure} THEN 0 ELSE levenshtein(cx, cy, 2 * words + 1) END")} | once)
+    spaced = lambda w: f"array_join(transform({w}, s -> concat(s, ' ')), '')"
+    return told.where(f"at >= 0 AND apart >= 0 AND (apart <= words OR levenshtein({spaced('x')}, {spaced('y')}, most) >= 0)")
 
 
 def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, root) of the lines, by h1, that are linked to others than themselves; ``lines`` are the hashed lines of ``docs``."""
-    distinct = lines.groupBy("h1").agg(F.first("sim").alias("sim"), F.first("keys").alias("keys"))
-    members = distinct.select(F.posexplode("keys").alias("k", "key"), F.col("h1").alias("id")).select(F.expr("shiftleft(CAST(k AS BIGINT), 32) | (key & 4294967295L)").alias("bucket"), "id")
+    distinct = lines.groupBy("h1").agg(F.first("samples").alias("samples"))
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col("samples")[m] for m in key)) for k, key in enumerate(KEYS)))
+    members = distinct.select(F.explode(keys).alias("bucket"), F.col("h1").alias("id"))
     # most buckets have one member; SimHashes come along only with the others
     members = cut(members.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n"))
-    members = members.join(lines.groupBy(F.col("h1").alias("id")).agg(F.first("sim").alias("sim")), "id")
+    members = members.join(lines.groupBy(F.col("h1").alias("id")).agg(F.first("sim").alias("sim"), F.first("samples").alias("samples")), "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
@@ -131,7 +132,7 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
         return alike(both).select("a", "b")
 
     # a pair may meet in several buckets and is verified once, as link_buckets makes pairs distinct
-    return link_buckets(members, near, lambda a, b, bucket: F.lit(True), verify, ["sim"])
+    return link_buckets(members, near, lambda a, b, bucket: F.lit(True), verify, ["sim", "samples"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -145,7 +146,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     groups = groups.join(groups.groupBy("root").agg(F.min("first").alias("keep")), "root").select("h1", "h2", "keep")
     seen = lines.select("doc_id", "doc_h", "line_no", "h1", "h2").join(groups, ["h1", "h2"], "left")
     gone = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.struct("doc_id", "line_no"))
-    return seen.groupBy("doc_id", "doc_h").agg(F.count_distinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"))
+    # repeated rows bring their lines again
+    by_doc = seen.groupBy("doc_id", "doc_h").agg(F.collect_list("line_no").alias("nos"), F.collect_list(F.when(gone, F.col("line_no"))).alias("removed"))
+    return by_doc.select("doc_id", "doc_h", F.size(F.array_distinct("nos")).alias("n_lines"), F.array_sort(F.array_distinct("removed")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
@@ -160,7 +163,7 @@ def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     kept = F.array_join(F.filter(F.split("doc.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
     out = out.select("doc", F.col("removed").isNull().alias("whole"), F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept).alias("text"))
     if drop_empty:
-        out = out.where(F.col("whole") | F.exists(F.split("text", "\n", -1), lambda x: F.size(F.filter(F.split(F.lower(x), " ", -1), lambda w: bare(w) != "")) > 0))
+        out = out.where(F.col("whole") | F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("whole"), F.col("doc.n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("text").cast("long"))}
     return out.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
 

@@ -277,7 +277,7 @@ def test_line_dedup(spark):
     df = docs_of(spark, texts)
     df = df.union(df.where("doc_id = 3")).withColumn("removed_", F.lit("clash"))
     lines = {(x.doc_id, x.line_no): x for x in linededup.hashed_lines(df).collect()}
-    words = {(i, k): [t.strip(linededup.MARKS) for t in line.lower().split(" ") if t.strip(linededup.MARKS)] for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))}
+    words = {(i, k): re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", line.lower()) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))}
     assert set(lines) == {k for k, w in words.items() if w}
     place = sorted(lines)
     root = {k: k for k in place}
@@ -290,7 +290,9 @@ def test_line_dedup(spark):
         for b in reps[i + 1 :]:
             if ((lines[a].sim ^ lines[b].sim) & (1 << 64) - 1).bit_count() <= linededup.BITS_APART:
                 x, y = " ".join(words[a]), " ".join(words[b])
-                if levenshtein(x, y) <= math.floor(0.2 * max(len(x), len(y)) + 1e-9):
+                close = lambda p, q: levenshtein(p, q) <= math.floor(0.2 * max(len(p), len(q)) + 1e-9)
+                p, q = set(words[a]), set(words[b])
+                if 3 * len(p & q) >= len(p | q) and (close(words[a], words[b]) or close(x, y)):
                     pairs.append((a, b))
     changed = True
     while changed:
