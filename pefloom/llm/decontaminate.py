@@ -2,8 +2,8 @@
 
 Document words stream through the automaton, which gives the longest match that ends at each word. Where it reaches the
 window (10 words), the last 10 words are hit and the items that hold them are known from the state; an item of fewer
-words hits as a whole. The automaton is built for parts of at most ``PART_WORDS`` words of the benchmark, so its size
-is bounded; a larger benchmark takes more parts, one pass each over the same partition, without a shuffle.
+words hits as a whole. The automaton is built for parts of about ``PART_WORDS`` words of the benchmark, one on the driver at a time, and
+kept as flat arrays of some 100 bytes a word; the tasks hold all parts, so a benchmark of 10 million words takes 1 GB of each worker.
 
 Vectorised numpy first skips what no window can lie in: stretches whose neighbouring words are no neighbours in any item.
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,7 @@ class Automaton:
         seqs = [np.searchsorted(self.vocab, h).tolist() for _, h in items]
         for s in seqs:
             self._add(s)
+        self._pack()
         self.found: dict[int, set[int]] = {}
         self.short: dict[int, dict[int, set[int]]] = {}
         pairs = [np.zeros(0, np.int64)]
@@ -89,22 +91,34 @@ class Automaton:
             p = self.link[p]
         return copy
 
+    def _pack(self) -> None:
+        """Flat arrays, some 100 bytes a word in all: state << 32 | word in order, and where that leads."""
+        key = np.array([state << 32 | c for state, follow in enumerate(self.next) for c in follow], np.int64)
+        to = np.array([q for follow in self.next for q in follow.values()], np.int32)
+        order = np.argsort(key)
+        self.key, self.to, self.next = key[order], to[order], []
+        self.length, self.link = np.array(self.length, np.int32), np.array(self.link, np.int32)
+
+    def step(self, state: int, c: int) -> int:
+        """The state after word c, or -1."""
+        at = int(self.key.searchsorted(state << 32 | c))
+        return int(self.to[at]) if at < len(self.key) and self.key[at] == state << 32 | c else -1
+
     def walk(self, seq: list[int]) -> Iterator[tuple[int, int, int]]:
         """(position, state, length of the longest match that ends there) along ``seq``."""
         state = matched = 0
-        follow, link, length = self.next, self.link, self.length
         for i, c in enumerate(seq):
-            while state and c not in follow[state]:
-                state = link[state]
-                matched = length[state]
-            if (to := follow[state].get(c)) is not None:
+            while (to := self.step(state, c)) < 0 and state:
+                state = int(self.link[state])
+                matched = int(self.length[state])
+            if to >= 0:
                 state, matched = to, matched + 1
             yield i, state, matched
 
     def suffix(self, state: int, n: int) -> int:
         """The state of the last n words of a match in ``state``."""
         while self.length[self.link[state]] >= n:
-            state = self.link[state]
+            state = int(self.link[state])
         return state
 
     def hits(self, seq: list[int]) -> tuple[np.ndarray, set[int]]:
@@ -123,7 +137,7 @@ class Automaton:
                             items |= ks
                             change[i + 1 - n] += 1
                             change[i + 1] -= 1
-                    at = self.link[at]
+                    at = int(self.link[at])
         return np.cumsum(change[:-1]) > 0, items
 
     def scan(self, h: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
@@ -164,54 +178,59 @@ def automata(benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_
             yield Automaton(sorted(rows, key=lambda r: (r[0], r[1].tobytes())), window)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+def _held(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> list:
+    """The parts' automata as broadcasts. Each is pickled to a file and freed before the next one is built."""
+    return [docs.sparkSession.sparkContext.broadcast(part) for part in automata(benchmark, window, part_words)]
+
+
+def _hits(text: pa.Array, held: list) -> tuple[np.ndarray, dict[int, list[int]], dict[int, list[str]]]:
+    """Of a column of texts: the number of words, and by hit row the hit stretches (word positions start, end, start, end ...) and item names."""
+    count, spans, items = np.zeros(len(text), np.int64), {}, {}
+    for first, end, data, offs in tokens.slices(text):
+        h, _, _, woffs = tokens.words(data, offs)
+        count[first:end] = np.diff(woffs)
+        hit, names = np.zeros(len(h), bool), {}
+        for part in held:
+            more, named = part.value.scan(h, woffs)
+            hit |= more
+            for k, x in named.items():
+                names.setdefault(k, set()).update(x)
+        for k, x in names.items():
+            spans[first + k] = np.flatnonzero(np.diff(np.concatenate([[0], hit[woffs[k] : woffs[k + 1]].view(np.int8), [0]]))).tolist()
+            items[first + k] = sorted(x)
+    return count, spans, items
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` plus hit_spans_ (word positions start, end, start, end ... of maximal hit stretches), hit_items_ (names) and n_words_."""
     docs = docs.drop("hit_spans_", "hit_items_", "n_words_")
-    names = docs.columns
+    names, held = docs.columns, _held(docs, benchmark, **how)
     schema = T.StructType([*docs.schema.fields, T.StructField("hit_spans_", T.ArrayType(T.LongType())), T.StructField("hit_items_", T.ArrayType(T.StringType())), T.StructField("n_words_", T.LongType())])
-    out = docs.select("*", F.expr("array() :: array<long>").alias("hit_spans_"), F.expr("array() :: array<string>").alias("hit_items_"), F.expr("-1L").alias("n_words_"))
-    for part in [*automata(benchmark, window, part_words)] or [Automaton([], window)]:
-        held = docs.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                spans, items = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
-                count = np.zeros(b.num_rows, np.int64)
-                for first, end, data, offs in tokens.slices(b.column(names.index("text"))):
-                    h, _, _, woffs = tokens.words(data, offs)
-                    count[first:end] = np.diff(woffs)
-                    hit, named = held.value.scan(h, woffs)
-                    for k, more in named.items():
-                        mask = hit[woffs[k] : woffs[k + 1]].copy()
-                        old = spans[first + k]
-                        for a, z in zip(old[::2], old[1::2], strict=True):
-                            mask[a:z] = True
-                        spans[first + k] = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
-                        items[first + k] = sorted({*items[first + k], *more})
-                yield pa.record_batch([*b.columns[: len(names)], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(count)], b.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, spans, items = _hits(b.column(names.index("text")), held)
+            rows = range(b.num_rows)
+            more = [pa.array([spans.get(k, []) for k in rows], pa.list_(pa.int64())), pa.array([items.get(k, []) for k in rows], pa.list_(pa.string())), pa.array(count)]
+            yield pa.record_batch([*b.columns, *more], [*names, "hit_spans_", "hit_items_", "n_words_"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8, **how) -> DataFrame:
     """``docs`` with hit stretches of over ``max_span`` words cut out of text and n_chars set anew; a document of whose words a
-    share above ``max_coverage`` is hit goes. Texts without such stretches stay as they are."""
-    docs = docs.drop("hit_spans_", "hit_items_", "n_words_")
-    found = find_hits(docs, benchmark, **how)
-    names = docs.columns
+    share above ``max_coverage`` is hit goes. Texts without such stretches stay as they are. Found and removed in one pass."""
+    names, held = docs.columns, _held(docs, benchmark, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for b in batches:
-            spans = b.column(len(names)).to_pylist()
-            keep, texts = [], {}
-            for k, old in enumerate(spans):
+            count, spans, _ = _hits(b.column(at), held)
+            gone, texts = np.zeros(b.num_rows, bool), {}
+            for k, old in spans.items():
                 pairs = [(a, z) for a, z in zip(old[::2], old[1::2], strict=True) if z - a > max_span]
-                if sum(z - a for a, z in pairs) > max_coverage * b.column(len(names) + 2)[k].as_py():
-                    continue
-                keep.append(k)
-                if pairs:
+                gone[k] = sum(z - a for a, z in pairs) > max_coverage * count[k]
+                if pairs and not gone[k]:
                     data, offs = tokens.buffer(b.column(at).slice(k, 1))
                     _, start, end, _ = tokens.words(data, offs)
                     raw, here, text = data.tobytes(), 0, []
@@ -219,15 +238,17 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_co
                         text.append(raw[here : start[a]])
                         here = end[z - 1]
                     texts[k] = b"".join([*text, raw[here:]]).decode()
-            cols = [*b.columns[: len(names)]]
+            cols = [*b.columns]
             if texts:
-                cols[at] = pa.array([texts.get(k, x) for k, x in enumerate(cols[at].to_pylist())], cols[at].type)
+                rows = pa.array([k in texts for k in range(b.num_rows)])
+                cols[at] = pc.replace_with_mask(cols[at], rows, pa.array(texts.values(), cols[at].type))
                 if "n_chars" in names:
                     c = names.index("n_chars")
-                    cols[c] = pa.array([len(texts[k]) if k in texts else x for k, x in enumerate(cols[c].to_pylist())], cols[c].type)
-            yield pa.record_batch(cols, names).take(pa.array(keep, pa.int64()))
+                    cols[c] = pc.replace_with_mask(cols[c], rows, pa.array(map(len, texts.values()), cols[c].type))
+            out = pa.record_batch(cols, names)
+            yield out.filter(pa.array(~gone)) if gone.any() else out
 
-    return found.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

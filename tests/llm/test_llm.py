@@ -263,6 +263,15 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def close(a, b):
+    """Whether the edit similarity is 0.8 or more; what one has beyond the other, in any order, is a lower bound of the distance."""
+    bound = math.floor(0.2 * max(len(a), len(b)) + 1e-9)
+    twos = lambda x: Counter(zip(x, x[1:], strict=False))
+    if max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) > bound or (twos(a) - twos(b)).total() > 2 * bound:
+        return False
+    return levenshtein(a, b) <= bound
+
+
 def test_line_dedup(spark):
     r = random.Random(5)
     base = [prose(r, 30) for _ in range(25)]
@@ -290,7 +299,6 @@ def test_line_dedup(spark):
         for b in reps[i + 1 :]:
             if ((lines[a].sim ^ lines[b].sim) & (1 << 64) - 1).bit_count() <= linededup.BITS_APART:
                 x, y = " ".join(words[a]), " ".join(words[b])
-                close = lambda p, q: levenshtein(p, q) <= math.floor(0.2 * max(len(p), len(q)) + 1e-9)
                 p, q = set(words[a]), set(words[b])
                 if 3 * len(p & q) >= len(p | q) and (close(words[a], words[b]) or close(x, y)):
                     pairs.append((a, b))
