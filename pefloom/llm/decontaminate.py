@@ -195,7 +195,7 @@ def _hits(text: pa.Array, held: list) -> tuple[np.ndarray, dict[int, list[int]],
             hit |= more
             for k, x in named.items():
                 names.setdefault(k, set()).update(x)
-        for k, x in names.items():
+        for k, x in sorted(names.items()):
             spans[first + k] = np.flatnonzero(np.diff(np.concatenate([[0], hit[woffs[k] : woffs[k + 1]].view(np.int8), [0]]))).tolist()
             items[first + k] = sorted(x)
     return count, spans, items
