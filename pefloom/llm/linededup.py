@@ -35,10 +35,10 @@ SIMILAR = 0.8
 SAMPLES, AGREE = 16, 6
 #: The samples of each key: four partitions into four blocks, in which no two blocks share two samples.
 KEYS = [[4 * i + (t[i] ^ c) for i in range(4)] for t in ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2)) for c in range(4)]
-#: Words of so many bytes are 2**LIFT times as likely to be sampled as shorter ones, which unrelated lines share.
-TELLING, LIFT = 4, 3
-#: Vote counts: so many lanes of so many bits in a long, for lines of fewer than 2**bits words; no text has 2**30.
-NARROW, WIDE = (7, 9), (2, 31)
+#: Words of so many bytes are 2**LIFT times as likely to be sampled as shorter ones, which unrelated lines share, and have so many votes.
+TELLING, LIFT, VOTES = 4, 3, 4
+#: Vote counts: so many lanes of so many bits in a long, for lines of fewer than 2**bits votes; no text has 2**31.
+NARROW, WIDE = (5, 11), (2, 31)
 #: What separates words. Fixed values.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many ids of documents whose lines are to be compared are sent to all tasks (8 bytes each); more are joined by a shuffle.
@@ -51,12 +51,12 @@ def words_of(line: str) -> Column:
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_h, line_no, h1, h2, sim, samples) of all lines with words: h1 and h2 stand for the sequence of words, in sim a bit
-    is set where more than half of the words' hashes have it.
+    is set where the words' hashes have it with more than half of the votes; every word votes.
 
     Words are summed up in the tasks that read them; a line leaves them as one row. Long lines take wider lanes.
     """
     lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    short = F.octet_length("line") <= 2 * ((1 << NARROW[1]) - 2)  # a word and what follows it have two bytes at least
+    short = F.octet_length("line") <= 2 * ((1 << NARROW[1]) // VOTES - 1)  # a word and what follows it have two bytes at least
     return voted(lines.where(short), *NARROW).union(voted(lines.where(~short), *WIDE))
 
 
@@ -64,12 +64,12 @@ def voted(lines: DataFrame, lanes: int, width: int) -> DataFrame:
     """``hashed_lines`` of (doc_id, doc_h, line_no, line), with votes in ``lanes`` lanes of ``width`` bits a long."""
     own = ["doc_id", "doc_h", "line_no"]
     words = lines.withColumn("row", F.monotonically_increasing_id()).select("row", *own, F.posexplode(words_of("line")).alias("at", "word"))
-    words = words.select("row", *own, F.xxhash64("word").alias("w"), F.when(F.octet_length("word") >= TELLING, LIFT).otherwise(0).alias("lift"), "at")
+    words = words.select("row", *own, F.xxhash64("word").alias("w"), F.when(F.octet_length("word") >= TELLING, LIFT).otherwise(0).alias("lift"), F.when(F.octet_length("word") >= TELLING, VOTES).otherwise(1).alias("votes"), "at")
     mask, low = sum(1 << i * width for i in range(lanes)), (1 << lanes) - 1
-    spread = [f"((shiftrightunsigned(w, {lanes * k}) & {low}L) * {sum(1 << i * (width - 1) for i in range(lanes))}L) & {mask}L" for k in range(-(-64 // lanes))]
+    spread = [f"((shiftrightunsigned(w, {lanes * k}) & {low}L) * {sum(1 << i * (width - 1) for i in range(lanes))}L & {mask}L) * votes" for k in range(-(-64 // lanes))]
     least = [f"min(shiftright(hash(w, {k}) & {(1 << 31) - 1}, lift))" for k in range(SAMPLES)]
-    summed = words.groupBy("row").agg(*(F.first(c).alias(c) for c in own), F.count("*").alias("n"), F.bit_xor(F.xxhash64("at", "w")).alias("h1"), F.bit_xor(F.xxhash64("w", "at")).alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)), *(F.expr(x).alias(f"m{k}") for k, x in enumerate(least)))
-    # the top bit of a lane is set where its count passes half of the words
+    summed = words.groupBy("row").agg(*(F.first(c).alias(c) for c in own), F.sum("votes").alias("n"), F.bit_xor(F.xxhash64("at", "w")).alias("h1"), F.bit_xor(F.xxhash64("w", "at")).alias("h2"), *(F.sum(F.expr(x)).alias(f"s{k}") for k, x in enumerate(spread)), *(F.expr(x).alias(f"m{k}") for k, x in enumerate(least)))
+    # the top bit of a lane is set where its count passes half of the votes
     summed = summed.withColumn("need", F.expr(f"{mask}L * ({(1 << width - 1) - 1}L - n div 2)"))
     over = [f"(shiftrightunsigned(s{k} + need, {width - 1}) & {mask}L)" for k in range(-(-64 // lanes))]
     bits = [f"shiftleft(({' | '.join(f'shiftrightunsigned({x}, {i * (width - 1)})' for i in range(lanes))}) & {low}L, {lanes * k})" for k, x in enumerate(over)]

@@ -55,7 +55,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``most`` labelled rows; only their feature slots (not the texts) come to the driver."""
+    """Fit in one task on at most ``most`` labelled rows, of which it gets the feature slots; the driver gets the weights that aren't zero."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,11 +67,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
                 out += [(key[a:z] & ((1 << BITS) - 1)).astype(np.int32) for a, z in zip(cuts, cuts[1:], strict=False)]
             yield pa.record_batch([pa.array([x.tobytes() for x in out], pa.binary()), b.column("y")], ["slots", "y"])
 
-    got = training_rows(docs, labels, "toxic", most).mapInArrow(slots, "slots binary, y int").toArrow()
-    model = fit_ftrl(sorted(_rows(got), key=lambda r: hash_order(r[0])))
-    del got
-    pa.default_memory_pool().release_unused()
-    return model
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, schema=pa.schema([("slots", pa.binary()), ("y", pa.int32())]))
+        weights, bias = fit_ftrl(sorted(_rows(got), key=lambda r: hash_order(r[0])))
+        at = np.flatnonzero(weights)
+        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(weights[at].astype(float), bias))], ["slot", "weight"])
+
+    sample = training_rows(docs, labels, "toxic", most).mapInArrow(slots, "slots binary, y int")
+    got = sample.repartition(1).mapInArrow(fit, "slot long, weight double").toArrow()
+    at, w = got["slot"].to_numpy(), got["weight"].to_numpy()
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[at[at >= 0]] = w[at >= 0]
+    return weights, float(w[at < 0][0]) if len(at) else -1e-9
 
 
 def _rows(got: pa.Table) -> list[tuple[np.ndarray, int]]:
