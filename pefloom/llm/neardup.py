@@ -1,8 +1,10 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 Shingles are five words (``tokens.words``); a text of fewer words has one shingle of all of them. The weight of a shingle is its count in
-the text times ln((N + 1) / (df + 1)) + 1, with N all documents and df the documents under the shingle's hash bucket, of which there
-are ``2**DF_BITS``, so the table (1 MB) doesn't grow with the corpus. ``BANDS`` bands of ``ROWS`` samples find pairs of weighted
+the text times ln((N + 1) / (df + 1)) + 1, with N all documents and df an estimate of the documents with the shingle: the median of
+``DF_ROWS`` counts under independent hashes, each less what the other shingles of its bucket bring on average. The ``2**DF_BITS``
+buckets a row don't grow with the corpus (3 MB); an estimate is off by some sqrt(shingles of all documents / buckets) documents, so what
+is told apart are shingles in more documents than that, and all rarer ones weigh alike. ``BANDS`` bands of ``ROWS`` samples find pairs of weighted
 Jaccard similarity 0.8 with probability 0.9998; every candidate is verified on the whole texts and linked at ``SIMILAR`` or more.
 
 Texts with the same words are one class before anything is compared, so copies never meet as pairs. Classes in a bucket are
@@ -28,7 +30,9 @@ from pefloom.llm.common import connected_components, cut, with_root
 
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
-DF_BITS = 18
+DF_BITS, DF_ROWS = 18, 3
+#: Multipliers of the rows' hashes, odd. Fixed values.
+DF_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Up to so many ids of documents to be compared are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SEND_IDS = 2_000_000
 
@@ -62,23 +66,40 @@ def counted(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes[at], count, soffs, whole[0].view(np.int64), whole[1].view(np.int64)
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """The inverse document frequency of each hash bucket over all documents."""
+def buckets(shingle: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The bucket of each shingle in one row of the document counts."""
+    return ((shingle * np.uint64(DF_ODD[row])) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def idf_table(docs: DataFrame, bits: int = DF_BITS) -> np.ndarray:
+    """The inverse document frequency that each bucket of each row of counts over all documents tells."""
+    size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << DF_BITS, np.int64), 0
+        df, n = np.zeros((DF_ROWS, size), np.int64), 0
         for b in batches:
             n += b.num_rows
             for _, _, data, offs in tokens.slices(b.column("text")):
-                df += np.bincount(counted(data, offs)[0] >> np.uint64(64 - DF_BITS), minlength=1 << DF_BITS)
+                shingle = counted(data, offs)[0]
+                for r in range(DF_ROWS):
+                    df[r] += np.bincount(buckets(shingle, r, bits), minlength=size)
         at = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["bucket", "n"])
+        yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df.ravel()[at], n))], ["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-    df = np.zeros(1 << DF_BITS)
+    df = np.zeros(DF_ROWS * size)
     df[at[at >= 0]] = n[at >= 0]
-    return (np.log((n[at < 0].sum() + 1) / (df + 1)) + 1).astype(np.float32)
+    df, docs_ = df.reshape(DF_ROWS, size), n[at < 0].sum()
+    df = df - (df.sum(1, keepdims=True) - df) / (size - 1)
+    return (np.log((docs_ + 1) / (np.clip(df, 1, max(docs_, 1)) + 1)) + 1).astype(np.float32)
+
+
+def idf_of(idf: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """The middle one of the three rows' values."""
+    bits = idf.shape[1].bit_length() - 1
+    x, y, z = (idf[r][buckets(shingle, r, bits)] for r in range(DF_ROWS))
+    return np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))
 
 
 def signatures(shingle: np.ndarray, weight: np.ndarray, soffs: np.ndarray, draws: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -106,7 +127,7 @@ def signatures(shingle: np.ndarray, weight: np.ndarray, soffs: np.ndarray, draws
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, h1, h2, bands) of the documents with an id and words; h1 and h2 stand for the sequence of words."""
+    """(doc_id, t, h1, h2, bands) of the documents with an id and words; h1 and h2 stand for the sequence of words, t for the text."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,19 +137,20 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 shingle, count, soffs, h1, h2 = counted(data, offs)
                 rows = np.flatnonzero(np.diff(soffs))
                 if len(rows):
-                    bands = signatures(shingle, count * held.value[shingle >> np.uint64(64 - DF_BITS)], soffs, draws).view(np.int64)
+                    bands = signatures(shingle, count * idf_of(held.value, shingle), soffs, draws).view(np.int64)
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                    yield pa.record_batch([b.column("doc_id").take(pa.array(first + rows)), pa.array(h1[rows]), pa.array(h2[rows]), flat], ["doc_id", "h1", "h2", "bands"])
+                    at = pa.array(first + rows)
+                    yield pa.record_batch([b.column("doc_id").take(at), b.column("t").take(at), pa.array(h1[rows]), pa.array(h2[rows]), flat], ["doc_id", "t", "h1", "h2", "bands"])
 
-    rows = docs.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    rows = docs.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, t long, h1 long, h2 long, bands array<long>")
 
 
 def _unpacked(x: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, weights) of a packed row: shingles, then their counts."""
     n = len(x) // 12
     shingle = np.frombuffer(x, np.uint64, n)
-    return shingle, np.frombuffer(x, np.int32, n, 8 * n) * idf[shingle >> np.uint64(64 - DF_BITS)].astype(float)
+    return shingle, np.frombuffer(x, np.int32, n, 8 * n) * idf_of(idf, shingle).astype(float)
 
 
 def overlap(idf: np.ndarray, a: bytes, b: bytes) -> tuple[float, float, float, np.ndarray, float]:
@@ -150,7 +172,7 @@ SMALL = 8
 
 
 def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, h1, root) of the documents with an id and words; root stands for the document's component.
+    """(doc_id, t, h1, root) of the documents with an id and words, t standing for the text; root stands for the document's component.
 
     Every class has a hub, the class that shares most buckets with most others among those it meets; in a group of near copies that is
     nearly the original, and one pair a class links most of them. A pair u, v still apart that has the hub p in common can only be
@@ -218,7 +240,7 @@ def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rest = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.lit(False).alias("big")).distinct()
     more = compared(rest).where("like").select("a", "b")
     roots = roots if more.isEmpty() else connected_components(edges.union(more))
-    return sketched.select("doc_id", "h1").join(roots.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "h1", F.coalesce("root", "h1").alias("root"))
+    return sketched.select("doc_id", "t", "h1").join(roots.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "t", "h1", F.coalesce("root", "h1").alias("root"))
 
 
 def components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -230,9 +252,14 @@ def components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` without the documents of a component other than the one with its smallest doc_id; rows that repeat that id and text stay."""
-    gone = components(docs, similar).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the documents of a component other than its smallest by (doc_id, hash of the text); rows that repeat it stay.
+
+    Of two texts with one doc_id each is judged by itself.
+    """
+    found = cut(near_components(docs, similar))
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("keep"))
+    gone = found.join(keep, "root").where(F.struct("doc_id", "t") != F.col("keep")).select(F.col("doc_id").alias("id_"), F.col("t").alias("t_")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["id_"]) & (F.xxhash64(docs["text"]) == gone["t_"]), "left_anti")
 
 
 def op9_neardup(docs: DataFrame) -> DataFrame:

@@ -464,7 +464,12 @@ def test_near_dedup(spark, monkeypatch):
         for k in range(end - first):
             own = shingle[soffs[k] : soffs[k + 1]]
             assert sorted(count[soffs[k] : soffs[k + 1]].tolist()) == sorted(bags[first + k].values())
-            weight[first + k] = dict(zip(own.tolist(), (count[soffs[k] : soffs[k + 1]] * idf[own >> np.uint64(64 - neardup.DF_BITS)].astype(float)).tolist(), strict=True))
+            weight[first + k] = dict(zip(own.tolist(), (count[soffs[k] : soffs[k + 1]] * neardup.idf_of(idf, own).astype(float)).tolist(), strict=True))
+    df_true = Counter(x for k, w in weight.items() for x in w for _ in range(2 if k == 7 else 1))
+    for k, w in weight.items():
+        own = np.array(sorted(w), np.uint64)
+        want = [math.log((len(texts) + 2) / (df_true[x] + 1)) + 1 for x in own.tolist()]
+        assert np.abs(neardup.idf_of(idf, own) - want).mean() < 0.05 if len(own) else True
     root = list(range(len(texts)))
     pairs = []
     for i in range(len(texts)):
@@ -481,6 +486,9 @@ def test_near_dedup(spark, monkeypatch):
     kept = neardup.drop_near(df)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {i for i in range(len(texts)) if root[i] == i}
     assert neardup.op9_neardup(df.where("false")).count() == 0
+    # of two texts with one doc_id only the copy goes
+    two = docs_of(spark, [texts[125], texts[126], texts[125]]).withColumn("doc_id", F.least("doc_id", F.lit(1)))
+    assert sorted((x.doc_id, x.text) for x in neardup.drop_near(two).collect()) == sorted([(0, texts[125]), (1, texts[126])])
     nameless = spark.createDataFrame([(None, hot, None, None, None)] * 2, DOCS)
     assert [(x.component_id, x.kept) for x in neardup.op9_neardup(nameless).collect()] == [(None, True)] * 2
 
@@ -547,3 +555,18 @@ def test_decontamination(spark, part):
                 assert kept[i].text is None or kept[i].n_chars == len(kept[i].text)
         assert decontaminate.op10_decontaminate(df.where("false"), bench).count() == 0
         assert not any(x.contaminated for x in decontaminate.op10_decontaminate(df, bench.where("false")).collect())
+
+
+def test_document_frequencies_in_crowded_buckets(spark):
+    """Common shingles are told from rare ones where each bucket holds many shingles."""
+    r = random.Random(21)
+    common_ = prose(r, 12)
+    texts = [" ".join(f"u{r.randrange(10**9)}" for _ in range(60)) + (" " + common_ if k % 2 else "") for k in range(600)]
+    idf = neardup.idf_table(docs_of(spark, texts), bits=10)
+    import pyarrow as pa
+
+    data, offs = tokens.buffer(pa.array([common_, texts[0]], pa.string()))
+    shingle, _, soffs, *_ = neardup.counted(data, offs)
+    told = neardup.idf_of(idf, shingle)
+    assert told[: soffs[1]] == pytest.approx(math.log(601 / 301) + 1, abs=0.15)
+    assert np.median(told[soffs[1] :]) > math.log(601 / 31) + 1
