@@ -73,11 +73,33 @@ def streams(sized: DataFrame, seed: int = SEED) -> DataFrame:
     return joined.withColumn("start", F.col("offset") + F.col("inner")).drop("bucket", "inner", "offset", "s_", "b_")
 
 
+def _affine(n: Column, salts: tuple[Column, ...]) -> tuple[Column, Column]:
+    """Factor and shift, modulo n, of the permutation that the salts choose."""
+    prime = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(F.lit(1), *salts), F.lit(len(PRIMES))) + 1).cast("int"))
+    return F.pmod(prime, n), F.pmod(F.xxhash64(F.lit(2), *salts), n)
+
+
+def _wide(c: Column) -> Column:
+    return c.cast("decimal(19,0)")
+
+
 def permuted(j: Column, n: Column, *salts: Column) -> Column:
     """The image of index j under a pseudorandom permutation of 0 .. n - 1 chosen by the salts."""
-    prime = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(F.lit(1), *salts), F.lit(len(PRIMES))) + 1).cast("int"))
-    wide = lambda c: c.cast("decimal(19,0)")
-    return F.pmod(wide(F.pmod(prime, n)) * wide(j) + wide(F.pmod(F.xxhash64(F.lit(2), *salts), n)), wide(n)).cast("long")
+    factor, shift = _affine(n, salts)
+    return F.pmod(_wide(factor) * _wide(j) + _wide(shift), _wide(n)).cast("long")
+
+
+def origin(i: Column, n: Column, *salts: Column) -> Column:
+    """The index whose image under ``permuted`` is i: the factor's inverse modulo n takes Euclid 92 steps at most."""
+    factor, shift = _affine(n, salts)
+
+    def step(x: Column, _: Column) -> Column:
+        q = F.call_function("div", x["r"], x["s"])
+        return F.when(x["s"] == 0, x).otherwise(F.struct(x["s"].alias("r"), (x["r"] - q * x["s"]).alias("s"), x["v"].alias("u"), (x["u"] - q * x["v"]).alias("v")))
+
+    start = F.struct(n.alias("r"), factor.alias("s"), F.lit(0).cast("long").alias("u"), F.lit(1).cast("long").alias("v"))
+    inverse = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["u"]
+    return F.pmod(_wide(F.pmod(i - shift, n)) * _wide(F.pmod(inverse, n)), _wide(n)).cast("long")
 
 
 def slots(goals: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
@@ -114,8 +136,7 @@ def slots(goals: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     all_ = all_.withColumn("index", perm(F.col("at"))).withColumn("full", F.when(F.col("index") == F.col("blocks") - 1, last).otherwise(block))
     # words of the pass before this slot: whole blocks, less what the short block lacks if it came before
     prime_first = F.col("short_at") < F.col("at")
-    short = plan.where("rest > 0").select(F.col("sid").alias("sid_"), F.explode(F.sequence(F.lit(0).cast("long"), F.least("blocks", F.ceil(F.col("rest") / block) + 1) - 1)).alias("short_at"), "blocks", "source", F.col("passes").alias("pass"))
-    short = short.where(perm(F.col("short_at")) == F.col("blocks") - 1).select("sid_", "short_at")
+    short = plan.where("rest > 0").select(F.col("sid").alias("sid_"), origin(F.col("blocks") - 1, F.col("blocks"), F.lit(seed), F.col("source"), F.col("passes")).alias("short_at"))
     all_ = all_.join(short, F.col("sid") == F.col("sid_"), "left")
     before = F.col("at") * block - F.when(F.coalesce(prime_first, F.lit(False)), block - last).otherwise(0)
     words = F.when(F.col("pass") < F.col("passes"), F.col("full")).otherwise(F.greatest(F.lit(0), F.least(F.col("full"), F.col("rest") - before)))

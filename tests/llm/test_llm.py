@@ -570,3 +570,10 @@ def test_document_frequencies_in_crowded_buckets(spark):
     told = neardup.idf_of(idf, shingle)
     assert told[: soffs[1]] == pytest.approx(math.log(601 / 301) + 1, abs=0.15)
     assert np.median(told[soffs[1] :]) > math.log(601 / 31) + 1
+
+
+def test_origin_undoes_the_permutation(spark):
+    rows = [(n, i) for n in (1, 2, 7, 128, 1000003) for i in range(min(n, 7))] + [(2**33 + 5, 2**33 + 4), (2**61 - 3, 12345678901)]
+    df = spark.createDataFrame(rows, "n long, i long").withColumn("j", mix.origin(F.col("i"), F.col("n"), F.lit(3), F.lit("s")))
+    df = df.withColumn("back", mix.permuted(F.col("j"), F.col("n"), F.lit(3), F.lit("s")))
+    assert all(x.back == x.i and 0 <= x.j < x.n for x in df.collect())
