@@ -110,7 +110,8 @@ def alike(pairs: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, root) of the lines, by h1, that are linked to others than themselves; ``lines`` are the hashed lines of ``docs``."""
     distinct = lines.groupBy("h1").agg(F.first("samples").alias("samples"))
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col("samples")[m] for m in key)) for k, key in enumerate(KEYS)))
+    # the number of the key is in the last bits
+    keys = F.array(*((F.xxhash64(*(F.col("samples")[m] for m in key)).bitwiseAND(F.lit(~15))).bitwiseOR(F.lit(k).cast("long")) for k, key in enumerate(KEYS)))
     members = distinct.select(F.explode(keys).alias("bucket"), F.col("h1").alias("id"))
     # most buckets have one member; SimHashes come along only with the others
     members = cut(members.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n"))
@@ -131,8 +132,11 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("words").alias("y")), "b")
         return alike(both).select("a", "b")
 
-    # a pair may meet in several buckets and is verified once, as link_buckets makes pairs distinct
-    return link_buckets(members, near, lambda a, b, bucket: F.lit(True), verify, ["sim", "samples"])
+    def first_shared(a: str, b: str, bucket: str) -> Column:
+        same = [" AND ".join(f"{a}.samples[{m}] = {b}.samples[{m}]" for m in key) for key in KEYS]
+        return F.expr(f"CASE {' '.join(f'WHEN {x} THEN {k}' for k, x in enumerate(same))} END = ({bucket} & 15)")
+
+    return link_buckets(members, near, first_shared, verify, ["sim", "samples"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
