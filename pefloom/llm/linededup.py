@@ -12,7 +12,8 @@ a share J of the words in common a pair meets with probability 0.90 (J = 0.67, a
 Candidates agree in ``AGREE`` samples and differ in ``BITS_APART`` SimHash bits at most, for which every word votes, and have a third of
 their words in common; then the edit similarity decides. Edits that touch nearly every word leave no word in common and aren't found.
 
-Members are held against their bucket's centre first (``link_buckets``), so a large group of alike lines costs its size. Of each connected
+Members are held against their bucket's centre first (``link_buckets``), so a large group of alike lines costs its size; lines that
+the triangle inequality keeps apart, by their distances from the centre of a large bucket, don't meet. Of each connected
 group only the first occurrence, by (doc_id, line number), stays. Vote counts for the 64 bits are summed in lanes packed into longs.
 
 Null texts have no lines and stay null. Rows with the same doc_id and text share their decisions, so repeated rows all keep an
@@ -45,6 +46,27 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEND_IDS = 2_000_000
 
 
+#: How many edits similar lines of two sizes may have.
+LIMIT = f"CAST(floor({1 - SIMILAR:.6f} * greatest({{}}, {{}}) + 1e-9) AS INT)"
+FAR = "struct<wlo: int, whi: int, clo: int, chi: int, nw: int, nc: int>"
+
+
+def n_letters(words: str) -> Column:
+    return F.expr(f"size({words}) + aggregate({words}, 0, (n, s) -> n + length(s)) - 1")
+
+
+def limit(a: str, b: str) -> Column:
+    return F.expr(LIMIT.format(a, b))
+
+
+def as_letters(words: str) -> Column:
+    return F.expr(f"decode(unhex(array_join(transform({words}, s -> lpad(hex(hash(s) & 32767), 4, '0')), '')), 'UTF-16BE')")
+
+
+def spaced(words: str) -> str:
+    return f"array_join(transform({words}, s -> concat(s, ' ')), '')"
+
+
 def words_of(line: str) -> Column:
     return F.array_remove(F.split(F.lower(F.col(line)), BETWEEN, -1), "")
 
@@ -91,22 +113,37 @@ def alike(pairs: DataFrame) -> DataFrame:
     name a row number, which keeps Spark from moving them below what was computed and so computing it again.
     """
     once = {"at": F.monotonically_increasing_id()}
-    chars = lambda w: F.expr(f"size({w}) + aggregate({w}, 0, (n, s) -> n + length(s)) - 1")
-    bound = lambda a, b: F.expr(f"CAST(floor({1 - SIMILAR:.6f} * greatest({a}, {b}) + 1e-9) AS INT)")
     shared = "array_position(zip_with({0}, {1}, (p, q) -> NOT (p <=> q)), true) - 1"  # -1: equal
     cut_off = lambda w, n: F.expr(f"IF({n} < 0, slice({w}, 1, 0), slice({w}, CAST({n} AS INT) + 1, size({w})))")
-    sized = pairs.where("3 * size(array_intersect(x, y)) >= size(array_union(x, y))").withColumns({"nx": chars("x"), "ny": chars("y")} | once)
-    sized = sized.withColumns({"most": bound("nx", "ny"), "words": bound("size(x)", "size(y)")}).where("at >= 0 AND (abs(nx - ny) <= most OR abs(size(x) - size(y)) <= words)")
+    sized = pairs.where("3 * size(array_intersect(x, y)) >= size(array_union(x, y))").withColumns({"nx": n_letters("x"), "ny": n_letters("y")} | once)
+    sized = sized.withColumns({"most": limit("nx", "ny"), "words": limit("size(x)", "size(y)")}).where("at >= 0 AND (abs(nx - ny) <= most OR abs(size(x) - size(y)) <= words)")
     ends = sized.withColumn("head", F.expr(shared.format("x", "y"))).withColumns({"x": F.reverse(cut_off("x", "head")), "y": F.reverse(cut_off("y", "head"))})
     mid = ends.withColumn("tail", F.expr(f"IF(size(x) = 0 OR size(y) = 0, 0, {shared.format('x', 'y')})")).withColumns({"x": F.reverse(cut_off("x", "tail")), "y": F.reverse(cut_off("y", "tail"))})
-    code = lambda w: F.expr(f"decode(unhex(array_join(transform({w}, s -> lpad(hex(hash(s) & 32767), 4, '0')), '')), 'UTF-16BE')")
-    mid = mid.withColumns({"cx": code("x"), "cy": code("y")})
+    mid = mid.withColumns({"cx": as_letters("x"), "cy": as_letters("y")})
     sure = "greatest(size(x), size(y)) <= words OR levenshtein(cx, cy, words div 4) >= 0"
     told = mid.withColumns({"apart": F.expr(f"CASE WHEN {sure} THEN 0 ELSE levenshtein(cx, cy, 2 * words + 1) END")} | once)
-    spaced = lambda w: f"array_join(transform({w}, s -> concat(s, ' ')), '')"
     return told.where(f"at >= 0 AND apart >= 0 AND (apart <= words OR levenshtein({spaced('x')}, {spaced('y')}, most) >= 0)")
 
 
+def distances(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with far: the least and the most that the edit distance of x and y can be, in words (as ``alike`` compares them) and
+    in letters, and the sizes of y. Beyond twice what similar lines may have, and one, the most is without bound."""
+    sized = pairs.withColumns({"nx": n_letters("x"), "ny": n_letters("y")})
+    bounds = {"most": limit("nx", "ny"), "words": limit("size(x)", "size(y)")}
+    found = sized.withColumns(bounds | {"at": F.monotonically_increasing_id()}).where("at >= 0").withColumns({"cx": as_letters("x"), "cy": as_letters("y"), "sx": F.expr(spaced("x")), "sy": F.expr(spaced("y"))})
+    found = found.withColumns({"dw": F.expr("levenshtein(cx, cy, 2 * words + 1)"), "dc": F.expr("levenshtein(sx, sy, 2 * most + 1)")}).where("at >= 0")
+    least = lambda d, most: F.expr(f"IF({d} < 0, 2 * {most} + 2, {d})")
+    top = lambda d: F.expr(f"IF({d} < 0, {1 << 30}, {d})")
+    return found.withColumn("far", F.struct(least("dw", "words").alias("wlo"), top("dw").alias("whi"), least("dc", "most").alias("clo"), top("dc").alias("chi"), F.size("y").alias("nw"), F.col("ny").cast("int").alias("nc")))
+
+
+def may_be_alike(p: str, q: str) -> Column:
+    """False where lines at the distances p and q from one line are too far from each other, in words and in letters, to be similar:
+    by the triangle inequality the least of one less the most of the other is the least between them."""
+    apart = lambda k: f"greatest({p}.{k}lo - {q}.{k}hi, {q}.{k}lo - {p}.{k}hi)"
+    return F.expr(f"{apart('w')} <= {LIMIT.format(f'{p}.nw', f'{q}.nw')} OR {apart('c')} <= {LIMIT.format(f'{p}.nc', f'{q}.nc')}")
+
+
 def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, root) of the lines, by h1, that are linked to others than themselves; ``lines`` are the hashed lines of ``docs``."""
     distinct = lines.groupBy("h1").agg(F.first("samples").alias("samples"))
@@ -117,10 +154,7 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     members = cut(members.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n"))
     members = members.join(lines.groupBy(F.col("h1").alias("id")).agg(F.first("sim").alias("sim"), F.first("samples").alias("samples")), "id")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return pairs
+    def with_words(pairs: DataFrame) -> DataFrame:
         # one occurrence of each line that is to be compared, and its words from that document
         ids = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
         places = lines.join(ids, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("doc_h", "line_no")).alias("at"))
@@ -129,14 +163,22 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
         texts = docs.where("text IS NOT NULL").select("text").withColumn("h_", F.xxhash64("text")).join(places, "h_")
         texts = texts.withColumn("parts", F.split("text", "\n", -1)).select(F.inline(F.transform("want", lambda w: F.struct(w["h1"].alias("h1"), F.element_at("parts", w["line_no"] + 1).alias("line")))))
         texts = cut(texts.groupBy("h1").agg(F.first("line").alias("line")).select("h1", words_of("line").alias("words")))
-        both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("words").alias("y")), "b")
-        return alike(both).select("a", "b")
+        return pairs.join(texts.select(F.col("h1").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("words").alias("y")), "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        return pairs if pairs.isEmpty() else alike(with_words(pairs)).select("a", "b")
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        empty = pairs.select("a", "b", F.lit(None).cast(FAR).alias("far"))
+        return empty if pairs.isEmpty() else distances(with_words(pairs)).select("a", "b", "far")
 
     def first_shared(a: str, b: str, bucket: str) -> Column:
         same = [" AND ".join(f"{a}.samples[{m}] = {b}.samples[{m}]" for m in key) for key in KEYS]
         return F.expr(f"CASE {' '.join(f'WHEN {x} THEN {k}' for k, x in enumerate(same))} END = ({bucket} & 15)")
 
-    return link_buckets(members, near, first_shared, verify, ["sim", "samples"])
+    return link_buckets(members, near, first_shared, verify, ["sim", "samples"], measure, may_be_alike)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

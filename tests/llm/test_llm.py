@@ -357,6 +357,30 @@ def test_line_dedup_finds_lines_of_edit_similarity(spark):
     assert all(sum(found[n, s] for s in (0, 0.05, 0.1, 0.2)) >= 0.75 * sum(total[n, s] for s in (0, 0.05, 0.1, 0.2)) for n in (5, 8, 15, 30, 60, 120, 200))
 
 
+def test_lines_far_from_the_centre_of_a_large_group(spark):
+    # 150 near copies of one line, 40 lines too far from all of them, and two pairs of those that are similar to each other
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)]
+    base = words[:40]
+
+    def replaced(line, n):
+        line = list(line)
+        for at in r.sample(range(len(line)), n):
+            line[at] = r.choice(words)
+        return line
+
+    lines = [base] + [replaced(base, 2) for _ in range(150)] + [replaced(base, 15) for _ in range(40)]
+    lines += [replaced(lines[-1], 1), replaced(lines[-2], 1)]
+    got = linededup.op5_linededup(docs_of(spark, [" ".join(x) for x in lines])).collect()
+    assert {x.doc_id for x in got if x.n_removed} == {*range(1, 151), 191, 192}
+    pairs = spark.createDataFrame([(lines[0], x) for x in lines[1:]], "x array<string>, y array<string>")
+    far = [x.far for x in linededup.distances(pairs).select("far").collect()]
+    for x, f in zip(lines[1:], far, strict=True):
+        d = sum(p != q for p, q in zip(base, x, strict=True))
+        assert f.wlo <= d <= f.whi and f.clo <= 8 * d and (f.nw, f.nc) == (40, 319)
+    tied = spark.createDataFrame([(a, b) for a in far[:3] for b in far[160:163]] + [(far[0], far[1])], f"p {linededup.FAR}, q {linededup.FAR}")
+    assert [x.c for x in tied.select(linededup.may_be_alike("p", "q").alias("c")).collect()] == [False] * 9 + [True]
+
 
 def test_lanes_hold_long_lines(spark):
     r = random.Random(16)
