@@ -103,16 +103,17 @@ def dsf_expected(pefs: DataFrame, n: int) -> DataFrame:
     return pefs.groupBy("param_index").agg((F.sum("value") / n).alias("fisher"))
 
 
-def sampled_classes(logits: DataFrame, seed: int = 0) -> DataFrame:
-    """(example_id, class_id): one class of each example, drawn from its softmax by a hash of (seed, example_id)."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "example_id"), F.lit(1 << 53)).cast("double") / float(1 << 53)
+def sampled_classes(logits: DataFrame, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """(example_id, class_id): one class of each example, drawn from its softmax by a hash of (seed, example_id), or by ``draw``, a
+    number in [0, 1) of each row."""
+    u = draw if draw is not None else F.pmod(F.xxhash64(F.lit(seed), "example_id"), F.lit(1 << 53)).cast("double") / float(1 << 53)
     upto = F.aggregate(softmax(F.col("logits")), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, p: F.struct((a["s"] + p).alias("s"), (a["n"] + (a["s"] + p <= u).cast("int")).alias("n")))
     return logits.select("example_id", F.least(upto["n"], F.size("logits") - 1).alias("class_id"))
 
 
-def dsf_sampled(gradients: DataFrame, logits: DataFrame, n: int, seed: int = 0) -> DataFrame:
+def dsf_sampled(gradients: DataFrame, logits: DataFrame, n: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
     """(param_index, fisher): the mean over n examples of grad ** 2 of one sampled class each."""
-    own = gradients.join(sampled_classes(logits, seed), ["example_id", "class_id"])
+    own = gradients.join(sampled_classes(logits, seed, draw), ["example_id", "class_id"])
     return own.groupBy("param_index").agg((F.sum(F.col("grad") * F.col("grad")) / n).alias("fisher"))
 
 

@@ -229,6 +229,57 @@ def callback_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_pefs(spark, path, n_values=2).select("example_id", "indices", "values", "pef_norm")
 
 
+@query(f"""WITH {HEAD}, b1 AS (SELECT example_id, label, j, v FROM x UNION ALL SELECT DISTINCT example_id, label, {WIDE}, CAST(1 AS DOUBLE) FROM x),
+d AS (SELECT example_id, c * ({WIDE} + 1) + j AS param_index, p * (1 - p) * v * v AS value FROM p JOIN b1 USING (example_id, label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY value DESC, param_index) AS rank, sqrt(sum(value * value) OVER (PARTITION BY example_id)) AS norm FROM d)
+SELECT example_id, rank, param_index, round(value, 9) AS value, round(norm, 8) AS pef_norm FROM r WHERE rank <= 2""")
+def callback_record_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of ``callback_records``, an entry a row."""
+    e = callback_records(spark, sf_dir).select("example_id", "pef_norm", F.posexplode(F.arrays_zip("indices", "values")).alias("pos", "e"))
+    return e.select("example_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("e.indices").alias("param_index"), F.round("e.values", 9).alias("value"), F.round("pef_norm", 8).alias("pef_norm"))
+
+
+@query(f"""WITH {HEAD}, u AS (SELECT example_id, c, sum(p) OVER (PARTITION BY example_id ORDER BY c) AS upto, ((example_id * 7) % 11 + 0.5::DOUBLE) / 11 AS u, count(*) OVER (PARTITION BY example_id) AS n FROM p),
+s AS (SELECT example_id, least(count(*) FILTER (upto <= u), max(n) - 1) AS c FROM u GROUP BY 1)
+SELECT k.c * {WIDE} + j AS param_index, round(sum(pow((CASE WHEN s.c = k.c THEN 1 ELSE 0 END - k.p) * v, 2)) / (SELECT count(*) FROM embeddings), 9) AS fisher FROM s JOIN p k USING (example_id) JOIN x USING (example_id) GROUP BY 1""")
+def drawn_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data-set Fisher of sampled classes by draws that SQL can state."""
+    x, head, grad = head_of(spark, sf_dir)
+    draw = ((F.col("example_id") * 7) % 11 + 0.5) / 11
+    return P.dsf_sampled(P.gradients_of(x, grad), P.linear_logits(x, head), x.count(), draw=draw).withColumn("fisher", F.round("fisher", 9))
+
+
+@query(ORACLE_SQL["dataset_fisher"])
+def dataset_fisher_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data-set Fisher written and read again."""
+    path = f"{shared_dir(spark)}/dsf-{uuid.uuid4().hex}"
+    S.write_dsf(dataset_fisher(spark, sf_dir), path)
+    return S.read_dsf(spark, path)
+
+
+@query(f"WITH {HEAD} SELECT example_id, label, c AS class_id, round(z, 8) AS logit FROM z")
+def record_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and logits written with records and read without these."""
+    x, head, grad = head_of(spark, sf_dir)
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    S.write_pefs(P.make_pefs(x, grad, "diag", 8).select("example_id", "indices", "values", "pef_norm").join(P.linear_logits(x, head).select("example_id", "label", "logits"), "example_id"), path)
+    return S.read_columns(spark, path, "label", "logits").select("example_id", "label", F.posexplode("logits").alias("class_id", "logit")).withColumn("logit", F.round("logit", 8))
+
+
+@query("SELECT o_orderkey AS example_id, o_orderpriority AS priority FROM orders ORDER BY o_orderkey LIMIT 1200 OFFSET 100")
+def loaded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split of a registered task, skipping its first examples."""
+    path = f"{shared_dir(spark)}/task-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("priority")).write.parquet(f"{path}/train.parquet")
+    S.REGISTRY["orders"] = path
+    return S.load_examples(spark, "orders", "train", 1200, 100)
+
+
+@query("SELECT vec_id AS example_id FROM embeddings ORDER BY vec_id LIMIT 50")
+def baseline_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.baseline_examples(examples(spark, sf_dir), 50)
+
+
 # The matrix.
 
 ORDERS = "a AS (SELECT l_orderkey AS example_id, l_partkey AS param_index, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
@@ -273,6 +324,12 @@ def low_rank_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.lrm_norms(order_matrix(spark, sf_dir, by_line=True)).withColumn("pef_norm", F.round("pef_norm", 6))
 
 
+@query("WITH a AS (SELECT l_orderkey AS example_id, l_linenumber AS c, l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), g AS (SELECT a.example_id, a.c, b.c AS c2, sum(a.v * b.v) AS dot FROM a JOIN a b USING (example_id, k) GROUP BY ALL) SELECT CAST(sum(dot * dot) AS DOUBLE) AS tr_xx, CAST(2 * sum(dot * dot) + sum(dot * dot) FILTER (c = c2) AS DOUBLE) AS legacy FROM g")
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = cut(order_matrix(spark, sf_dir, by_line=True).withColumnRenamed("param_index", "col"))
+    return spark.createDataFrame([(M.tr_xx(a), M.tr_xx(a, legacy=True))], "tr_xx double, legacy double")
+
+
 @query("SELECT vec_id AS row, j AS col, v AS value FROM (SELECT vec_id, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) WHERE abs(v) > 0.2")
 def threshold_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("values"))
@@ -434,14 +491,27 @@ def orthogonal_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.orthogonal_reject(part_dictionary(spark, sf_dir), R, 0, 1.0).withColumn("value", F.round("value", 8))
 
 
-@query()
+@query(f"WITH {PARTS} SELECT CAST(k AS INTEGER) AS component, col, round(h / (n + 1e-12), 9) AS value FROM h JOIN norm USING (k) WHERE k IN (0, 2)")
 def decomposition_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse dictionary written by component and read again for two of them."""
     h = cut(part_dictionary(spark, sf_dir))
     path = f"{shared_dir(spark)}/decomposition-{uuid.uuid4().hex}"
     w, cells = X.sparsify_dictionary(h.select(F.col("col").alias("example_id"), F.col("h").alias("w")), h, R, 0.0)
     S.write_decomposition(path, {"coefficients": w, "dictionary": cells})
-    return S.read_decomposition(spark, path, ["dictionary"], [0, 2])["dictionary"].select("component", "col", "value")
+    return S.read_decomposition(spark, path, ["dictionary"], [0, 2])["dictionary"].select("component", "col", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {PARTS} SELECT CAST(k AS INTEGER) AS component, col, round(h, 9) AS value FROM h WHERE k IN (0, 2)")
+def select_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = part_dictionary(spark, sf_dir).select("col", F.posexplode("h").alias("component", "value"))
+    return T.select_components(cells, [0, 2]).select("component", "col", F.round("value", 9).alias("value"))
+
+
+@query(f"""WITH {PARTS}, c AS (SELECT b.k, sum(a.h * b.h) / ((any_value(x.n) + 1e-12) * (any_value(y.n) + 1e-12)) AS sim FROM h a JOIN h b USING (col) JOIN norm x ON x.k = a.k JOIN norm y ON y.k = b.k WHERE a.k = 0 AND b.k > 0 GROUP BY b.k)
+SELECT col, round(h / (n + 1e-12), 8) AS value FROM h JOIN norm USING (k) WHERE k = 0 AND (SELECT min(abs(sim)) FROM c) > 0.3""")
+def orthogonal_reject_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is rejected where all other components are more similar than the bound."""
+    return T.orthogonal_reject(part_dictionary(spark, sf_dir), R, 0, 0.3).withColumn("value", F.round("value", 8))
 
 
 # Reading components.

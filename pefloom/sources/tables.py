@@ -21,12 +21,16 @@ def flavour(pefs: DataFrame) -> str:
     return "lvrm" if "col_sizes" in names else "lrm" if "col_offsets" in names else "diag"
 
 
+#: Up to so many first rows are taken by sorting within each task; more are numbered.
+SORTED_ROWS = 1000
+
+
 def first_rows(df: DataFrame, take: int | None = None, skip: int = 0, key: str = "example_id") -> DataFrame:
     """Rows skip .. skip + take - 1 in the order of ``key``."""
-    out = df.orderBy(key)
-    if skip:
-        out = out.offset(skip)
-    return out.limit(take) if take is not None else out
+    if take is not None and skip + take <= SORTED_ROWS:
+        return df.orderBy(key).offset(skip).limit(take)
+    numbered = number_rows(df, [key], "row_number_").where(F.col("row_number_") >= skip)
+    return (numbered if take is None else numbered.where(F.col("row_number_") < skip + take)).drop("row_number_")
 
 
 def read_pefs(spark: SparkSession, path: str, n_examples: int | None = None, n_values: int | None = None) -> DataFrame:
