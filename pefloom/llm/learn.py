@@ -15,8 +15,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     """(text, y) of at most ``most`` labelled documents outside the held-out fold, drawn by a hash of doc_id.
 
     ``most`` is the documented bound of the sample; the ids are therefore few enough to broadcast. Null ids and labels
-    are left out; an id with several labels has the largest one.
+    are left out; an id with several labels has the largest one, and one with several texts the least one that isn't null.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")

@@ -234,7 +234,8 @@ class Field:
 
 def tag(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """``docs`` plus base_ and spans_: kind:start:end of the base spans and of all spans, by kind, then start, comma-joined; and
-    counts_, the number of base spans of each kind."""
+    counts_, the number of base spans of each kind. Columns of ``docs`` with these names are replaced."""
+    docs = docs.drop("base_", "spans_", "counts_")
     held = docs.sparkSession.sparkContext.broadcast(Field(statistics(docs, most)))
     names = docs.columns
     text_at = names.index("text")

@@ -86,6 +86,7 @@ def _rows(got: pa.Table) -> list[tuple[np.ndarray, int]]:
     rows = []
     for b in got.to_batches():
         column = b.column(0)
+        column = column.cast(pa.binary())  # offsets of 32 bits, whatever came
         offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
         flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         rows += [(flat[a:z].view(np.int32), y) for a, z, y in zip(offs[:-1], offs[1:], b.column(1).to_pylist(), strict=True)]

@@ -109,7 +109,8 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, default: str =
             old, tokens = b.column(len(names) - 1).to_pylist(), b.column(len(names)).to_pylist()
             yield pa.record_batch([*b.columns[: len(names) - 1], pa.array([v if v is not None else match(t) for v, t in zip(old, tokens, strict=True)], pa.string())], names)
 
-    return plain.withColumn("tokens_", url_tokens()).mapInArrow(run, plain.schema)
+    free = next(c for c in (f"tokens{k}" for k in range(len(names) + 1)) if c not in {n.lower() for n in names})
+    return plain.withColumn(free, url_tokens()).mapInArrow(run, plain.schema)
 
 
 def op7_urlfilter(pages: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pefloom.llm import chat, common, decontaminate, linededup, mix, neardup, pii, quality, tokens, toxicity, urlfilter, vectorjoin
+from pefloom.llm import chat, common, decontaminate, learn, linededup, mix, neardup, pii, quality, tokens, toxicity, urlfilter, vectorjoin
 from pefloom.llm.template import Template, TemplateError, unescape
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -116,6 +116,22 @@ def test_base_spans_match_the_patterns():
     assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a" * 200_000 + "@") == []
 
 
+def test_columns_with_the_names_of_results(spark):
+    df = docs_of(spark, ["mail a.b@example.com", None]).withColumns({"base_": F.lit("x"), "spans_": F.lit(1), "counts_": F.lit(2.0)})
+    rows = {x.doc_id: x for x in pii.tag(df).collect()}
+    assert (rows[0].base_, list(rows[0].counts_), rows[1].base_) == ("email:5:20", [1, 0, 0, 0], "")
+    pages = spark.createDataFrame([(0, "http://a.net/x", "own", "other"), (1, None, None, None)], "page_id long, url string, tokens_ string, tokens0 string")
+    rows = {x.page_id: x for x in urlfilter.judge(pages).collect()}
+    assert (rows[0].tokens_, rows[0].tokens0, rows[0].rule, rows[1].host) == ("own", "other", "net/", "")
+
+
+def test_training_rows_are_bounded_with_repeated_ids(spark):
+    ids = [i for i in range(40) if not held(i)][:12]
+    docs = spark.createDataFrame([(i, t) for i in ids for t in ("b", "a", None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+    assert [tuple(x) for x in learn.training_rows(docs, labels, "toxic", 5).collect()] == [("a", 1)] * 5
+
+
 def test_skip_edges_carry_labels(spark):
     r = random.Random(6)
     texts = [f"call +1 (555) 123-{1000 + i} now {prose(r, 5)}" for i in range(40)] + [f"pay 4111111111111111 or {r.randrange(3000)} in 2024 {prose(r, 5)}x 4111111111111111 thanks" for _ in range(40)]
