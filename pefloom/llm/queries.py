@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pefloom.llm import chat, decontaminate, linededup, mix, neardup, pii, quality, toxicity, urlfilter, vectorjoin
+from pefloom.llm import alignment, chat, decontaminate, linededup, mix, neardup, pieces, pii, quality, toxicity, urlfilter, variants, vectorjoin
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,9 @@ QUERIES = {
     "op8_vectorjoin": _on(vectorjoin.op8_vectorjoin, "embeddings"),
     "op9_neardup": _on(neardup.op9_neardup, "documents"),
     "op10_decontaminate": _on(decontaminate.op10_decontaminate, "documents", "benchmark"),
+    "op11_align": _on(alignment.op11_align, "documents"),
+    "op12_variants": _on(variants.op12_variants, "documents"),
+    "op13_pieces": _on(pieces.op13_pieces, "documents"),
 }
 
 ORACLE_SQL = {
@@ -66,6 +69,26 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(ra
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+own AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS n FROM runs GROUP BY ALL),
+steps AS (
+  SELECT run, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), -1, -1, -1, -1, -1, -1, -1, -1]
+    ELSE [195, -1, -1, -1, -1, -1, -1, -1, -1, unicode(c) - 64, -1, -1, -1, -1, -1, -1, -1, -1] END)) AS x FROM own),
+sums AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], CAST(x AS BIGINT[])), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS h FROM steps),
+told AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM told WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+skips AS (SELECT word, n, left(word, i - 1) AS l, substr(word, i + 1) AS r FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM skips a JOIN skips b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM skips a JOIN words b ON a.l || a.r = b.word
+  UNION SELECT b.word, a.word, a.n FROM skips a JOIN words b ON a.l || a.r = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS m, arg_min(other, (-n, other)) AS other FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+led AS (SELECT word, word AS root, 0 AS far FROM forms UNION ALL SELECT l.word, f.form, far + 1 FROM led l JOIN forms f ON l.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, far) FROM led WHERE led.word = forms.word) AS root, n, n_near, form_n FROM forms""",
 }
 
 
