@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pefloom.llm.common import shared_dir
-from pefloom.llm.pieces import LETTERS, MARK, STOPS, default_model, text_slices, vocabulary
+from pefloom.llm.pieces import LETTERS, MARK, STOPS, default_model, ranges, text_slices, vocabulary
 
 #: White space and controls, besides spaces and line feeds, next to which segments don't end.
 _OTHER = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _REST = rf"[^ \n]*(?:(?<=[{_OTHER}])[ \n]+[^ \n]*)*"
 SEGMENT = re.compile(rf"[ \n]*[{LETTERS}]+(?![^ \n{STOPS}])|[ \n]+{_REST}|[^ \n]{_REST}")
-SLICE_BYTES, KEPT = 2 << 20, 250_000
+SLICE_BYTES, KEPT = 2 << 20, 800_000
 SCHEMA = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, doc_ends array<int>, doc_segs array<int>, doc_times array<int>, seg_ends array<int>, seg_pairs array<int>, seg_times array<int>, pairs array<long>, docs array<int>"
 
 
@@ -62,11 +62,6 @@ def expand(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key >> 24, key & 0xFFFFFF, n
 
 
-def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """first[k], first[k] + 1, ... of sizes[k] numbers, for each k."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-
-
 class Aligner:
     """Both tokenizers, and the segments that a process has aligned."""
 
@@ -89,7 +84,7 @@ class Aligner:
 
     def empty(self) -> None:
         self.at: dict[str, int] = {}
-        self.text: list[str] = []
+        self.text, self.text_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # every segment's groups, each with a semicolon behind it
         self.sums = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, same bytes
         self.ends, self.pair, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -127,19 +122,19 @@ class Aligner:
         self.sums = np.concatenate([self.sums, np.stack([np.bincount(seg_a, minlength=n), np.bincount(seg_b, minlength=n), np.bincount(own, minlength=n), np.bincount(own, size_a * size_b, n).astype(np.int64), same], 1).astype(np.int64)])
         self.pair, self.times = np.concatenate([self.pair, ia[left] << 24 | ib[right]]), np.concatenate([self.times, na[left] * nb[right]])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(own[ga[left]], minlength=n))])
-        self.text += self.texts(a.tolist(), b.tolist(), size_a, size_b, own, n)
+        told = self.told(a.tolist(), b.tolist(), np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist())
+        self.text = np.concatenate([self.text, np.frombuffer("".join(told).encode(), np.uint8)])
+        self.text_ends = np.concatenate([self.text_ends, self.text_ends[-1] + np.cumsum(np.bincount(own, np.fromiter(map(len, told), np.int64, len(told)), n).astype(np.int64))])
         self.at.update(zip(new, range(len(self.at), len(self.at) + n), strict=True))
 
     @staticmethod
-    def texts(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray, own: np.ndarray, n: int) -> list[str]:
-        """Each segment's groups as ``a1,a2|b1;a3|b2``."""
-        a, b, out = [*map(str, a)], [*map(str, b)], [[] for _ in range(n)]
-        end_a, end_b = np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist()
-        i = j = 0
-        for k, p, q in zip(own.tolist(), end_a, end_b, strict=True):
-            out[k].append(f"{','.join(a[i:p])}|{','.join(b[j:q])}")
+    def told(a: list[int], b: list[int], end_a: list[int], end_b: list[int]) -> list[str]:
+        """Each group as ``a1,a2|b1;``."""
+        a, b, out, i, j = [*map(str, a)], [*map(str, b)], [], 0, 0
+        for p, q in zip(end_a, end_b, strict=True):
+            out.append(f"{a[i]}|{b[j]};" if p - i == q - j == 1 else f"{','.join(a[i:p])}|{','.join(b[j:q])};")
             i, j = p, q
-        return [";".join(x) for x in out]
+        return out
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(segments, offsets by text): the stored segments of each text, none where it has no tokens."""
@@ -154,25 +149,30 @@ class Aligner:
         bad = np.bincount(row, self.sums[segs, 4] == 0, len(texts)) > 0
         return segs[~bad[row]], np.concatenate([[0], np.cumsum(np.where(bad, 0, sizes))]).astype(np.int64)
 
-    def groups(self, segs: np.ndarray, at: np.ndarray) -> list[str]:
-        """The groups of each text."""
-        out = [*map(self.text.__getitem__, segs.tolist())]
-        return [";".join(out[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    def groups(self, segs: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The groups of each text, with a semicolon behind each."""
+        many = self.text_ends[segs + 1] - self.text_ends[segs]
+        ends = np.concatenate([[0], np.cumsum(many)])[at].tolist()
+        whole = self.text[ranges(self.text_ends[segs], many)].tobytes()
+        return [whole[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def chunk(self, ids: list, texts: list[str]) -> dict[str, list]:
         """The row of one slice, but for its number."""
         segs, at = self.of(texts)
         n, row = len(texts), np.repeat(np.arange(len(texts)), np.diff(at))
         sums = [np.bincount(row, self.sums[segs, k], n).astype(np.int64) for k in range(4)]
-        sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in self.groups(segs, at)]
-        own, seg = np.unique(segs, return_inverse=True)
+        sha = [hashlib.sha256(g[:-1]).hexdigest() if g else "" for g in self.groups(segs, at)]
+        seen = np.zeros(len(self.sums), bool)
+        seen[segs] = True
+        own, seg = np.flatnonzero(seen), (np.cumsum(seen) - 1)[segs]
         key, times = np.unique(row * max(1, len(own)) + seg, return_counts=True)
         doc, seg = key // max(1, len(own)), key % max(1, len(own))
         size = self.ends[own + 1] - self.ends[own]
         cells = ranges(self.ends[own], size)
         pairs, place = np.unique(self.pair[cells], return_inverse=True)
         ends = np.cumsum(size)
-        linked = np.unique(np.repeat(doc, size[seg]) * max(1, len(pairs)) + place[ranges(ends[seg] - size[seg], size[seg])])
+        linked = np.sort(np.repeat(doc, size[seg]) * max(1, len(pairs)) + place[ranges(ends[seg] - size[seg], size[seg])])
+        linked = linked[np.concatenate([[True], linked[1:] != linked[:-1]])] if len(linked) else linked
         return {"doc_id": ids, "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "sha": sha, "doc_ends": np.searchsorted(doc, np.arange(n), "right"), "doc_segs": seg, "doc_times": times, "seg_ends": ends, "seg_pairs": place, "seg_times": self.times[cells], "pairs": pairs, "docs": np.bincount(linked % max(1, len(pairs)), minlength=len(pairs))}
 
 
@@ -196,7 +196,8 @@ def alignments(docs: DataFrame, a: str | None = None, b: str | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column(1), SLICE_BYTES):
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array((x := aligner(a, b)).groups(*x.of(texts)), pa.string())], ["doc_id", "groups"])
+                x = aligner(a, b)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([g[:-1].decode() for g in x.groups(*x.of(texts))], pa.string())], ["doc_id", "groups"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, groups string")
 

@@ -37,7 +37,7 @@ SEGMENT = re.compile(rf"[ {MARK}]*[{LETTERS}]+(?![^ {MARK}\n{STOPS}])|[ {MARK}]+
 #: Segments of more symbols have an agenda of their own.
 LONG = 48
 #: So many bytes of texts at a time, whole texts; segments kept in a worker before the store is emptied.
-SLICE_BYTES, KEPT = 1 << 20, 250_000
+SLICE_BYTES, KEPT = 1 << 20, 800_000
 
 
 def default_model() -> str:
@@ -177,8 +177,33 @@ class Vocabulary:
         return ids, offsets
 
 
+class Store:
+    """The segments that a process has encoded: their numbers, and the ids of all of them one after another."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, new: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + at[1:]])
+
+    def of(self, segments: list[list[str]], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by text) of texts in segments, each with the ids ``end`` behind it."""
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        own = np.fromiter(map(self.at.__getitem__, chain.from_iterable(segments)), np.int64, int(sizes.sum()))
+        many = self.ends[own + 1] - self.ends[own]
+        upto = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return np.insert(self.ids[ranges(self.ends[own], many)], np.repeat(upto[1:], len(end)), np.tile(end, len(segments)).astype(np.int32)), upto + len(end) * np.arange(len(upto))
+
+
 _vocabularies: dict[str, Vocabulary] = {}
-_stores: dict[str, dict[str, tuple[int, ...]]] = {}
+_stores: dict[str, Store] = {}
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... of sizes[k] numbers, for each k."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
 
 
 def vocabulary(model: str) -> Vocabulary:
@@ -203,21 +228,19 @@ def encoded(docs: DataFrame, model: str | None = None, end: bool = True, check:
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, store = vocabulary(model), _stores.setdefault(model, {})
+        v = vocabulary(model)
         for b in batches:
             for lo, hi, texts in text_slices(b.column(1)):
+                if model not in _stores or len(_stores[model].at) > KEPT:
+                    _stores[model] = Store()
+                store = _stores[model]
                 segments = [v.cut(" " + t) if t else [] for t in texts]
-                if len(store) > KEPT:
-                    store.clear()
-                if new := [*set().union(*segments).difference(store)]:
-                    ids, at = (v.checked if check else v.encode)(new)
-                    ids, at = ids.tolist(), at.tolist()
-                    store.update((s, tuple(ids[at[k] : at[k + 1]])) for k, s in enumerate(new))
-                last = [v.end] if end else []
-                rows = [[*chain.from_iterable(map(store.__getitem__, s)), *last] for s in segments]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), pa.int32())
-                flat = pa.array(np.fromiter(chain.from_iterable(rows), np.int32))
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, flat), pa.array(v.library.decode(rows, num_threads=1), pa.string())], ["doc_id", "ids", "decoded"])
+                if new := [*set().union(*segments).difference(store.at)]:
+                    store.add(new, *(v.checked if check else v.encode)(new))
+                ids, at = store.of(segments, [v.end] if end else [])
+                flat, ends = ids.tolist(), at.tolist()
+                texts = v.library.decode([flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], num_threads=1)
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
