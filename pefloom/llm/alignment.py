@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from pefloom.llm.common import shared_dir
 from pefloom.llm.pieces import LETTERS, MARK, STOPS, default_model, ranges, text_slices, vocabulary
 
+#: So many bytes of texts make a slice; a store of more segments is emptied; so many new segments are aligned at a time.
+SLICE_BYTES, KEPT, AT_ONCE = 2 << 20, 400_000, 20_000
 #: White space and controls, besides spaces and line feeds, next to which segments don't end.
 _OTHER = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _REST = rf"[^ \n]*(?:(?<=[{_OTHER}])[ \n]+[^ \n]*)*"
 SEGMENT = re.compile(rf"[ \n]*[{LETTERS}]+(?![^ \n{STOPS}])|[ \n]+{_REST}|[^ \n]{_REST}")
-SLICE_BYTES, KEPT = 2 << 20, 800_000
 SCHEMA = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, doc_ends array<int>, doc_segs array<int>, doc_times array<int>, seg_ends array<int>, seg_pairs array<int>, seg_times array<int>, pairs array<long>, docs array<int>"
 
 
@@ -141,8 +142,9 @@ class Aligner:
         if len(self.at) > KEPT:
             self.empty()
         found = [SEGMENT.findall(" " + t) if t and MARK not in t else [] for t in texts]
-        if new := [*set().union(*found).difference(self.at)]:
-            self.align(new)
+        new = [*set().union(*found).difference(self.at)]
+        for k in range(0, len(new), AT_ONCE):
+            self.align(new[k : k + AT_ONCE])
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         segs = np.fromiter(map(self.at.__getitem__, chain.from_iterable(found)), np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
