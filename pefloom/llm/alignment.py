@@ -36,7 +36,7 @@ from pefloom.llm.common import shared_dir
 from pefloom.llm.pieces import LETTERS, MARK, STOPS, default_model, ranges, text_slices, vocabulary
 
 #: So many bytes of texts make a slice; a store of more segments is emptied; so many new segments are aligned at a time.
-SLICE_BYTES, KEPT, AT_ONCE = 2 << 20, 400_000, 20_000
+SLICE_BYTES, KEPT, AT_ONCE = 1 << 20, 250_000, 20_000
 #: White space and controls, besides spaces and line feeds, next to which segments don't end.
 _OTHER = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _REST = rf"[^ \n]*(?:(?<=[{_OTHER}])[ \n]+[^ \n]*)*"
