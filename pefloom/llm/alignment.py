@@ -8,9 +8,10 @@ Neither tokenizer has a token across certain places: before a space or line feed
 punctuation mark. Both sides end there, so a group never crosses them, and each distinct segment is tokenised and grouped once in a
 worker, all new segments of a slice side by side. Vocabularies B with pieces across these places are refused.
 
-Pair counts: a slice of documents (``SLICE_BYTES`` of text) keeps its distinct pairs in one row, with the number of its documents that
-have them linked. Only these leave the slice: they are summed by pair, the highest count of each A id is taken (as many rows as vocabulary A has ids), and
-both come back to the slice by its number. So the shuffle has a row for each pair and slice, whatever documents repeat, a pair brings
+Pair counts: a slice of documents (``SLICE_BYTES`` of text) keeps its distinct pairs, with the number of its documents that have them
+linked. Only these leave the slice: they are summed by pair, the highest count of each A id is taken (as many rows as vocabulary A has ids), and
+both come back to the slice, by its number,
+whose documents look them up. So the shuffle has a row for each pair and slice, whatever documents repeat, a pair brings
 one row a slice at most, and nothing is collected. The slices are kept as Parquet in the shared folder meanwhile.
 
 Texts that are null or empty, and those whose tokens' bytes aren't the text's (as those with U+2581, which B reads as a space), have no
@@ -29,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,12 @@ from pefloom.llm.common import shared_dir
 from pefloom.llm.pieces import LETTERS, MARK, STOPS, default_model, ranges, text_slices, vocabulary
 
 #: So many bytes of texts make a slice; a store of more segments is emptied; so many new segments are aligned at a time.
-SLICE_BYTES, KEPT, AT_ONCE = 1 << 20, 250_000, 20_000
+SLICE_BYTES, KEPT, AT_ONCE = 1 << 20, 400_000, 20_000
 #: White space and controls, besides spaces and line feeds, next to which segments don't end.
 _OTHER = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _REST = rf"[^ \n]*(?:(?<=[{_OTHER}])[ \n]+[^ \n]*)*"
 SEGMENT = re.compile(rf"[ \n]*[{LETTERS}]+(?![^ \n{STOPS}])|[ \n]+{_REST}|[^ \n]{_REST}")
-SCHEMA = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, doc_ends array<int>, doc_segs array<int>, doc_times array<int>, seg_ends array<int>, seg_pairs array<int>, seg_times array<int>, pairs array<long>, docs array<int>"
+SCHEMA = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, cells array<int>, pairs array<long>, docs array<int>"
 
 
 def default_tokenizer() -> str:
@@ -158,24 +160,27 @@ class Aligner:
         whole = self.text[ranges(self.text_ends[segs], many)].tobytes()
         return [whole[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
-    def chunk(self, ids: list, texts: list[str]) -> dict[str, list]:
-        """The row of one slice, but for its number."""
+    def chunk(self, texts: list[str]) -> dict[str, np.ndarray | list]:
+        """What one slice yields: sums and digests by text; ``cells`` with offsets, in which each text has its distinct pairs' places
+        in ``pairs``, shifted by 8, with their numbers, in several cells where it is above 255; and how many texts have each pair."""
         segs, at = self.of(texts)
         n, row = len(texts), np.repeat(np.arange(len(texts)), np.diff(at))
-        sums = [np.bincount(row, self.sums[segs, k], n).astype(np.int64) for k in range(4)]
+        sums = {c: np.bincount(row, self.sums[segs, k], n).astype(np.int64) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
         sha = [hashlib.sha256(g[:-1]).hexdigest() if g else "" for g in self.groups(segs, at)]
         seen = np.zeros(len(self.sums), bool)
         seen[segs] = True
         own, seg = np.flatnonzero(seen), (np.cumsum(seen) - 1)[segs]
-        key, times = np.unique(row * max(1, len(own)) + seg, return_counts=True)
-        doc, seg = key // max(1, len(own)), key % max(1, len(own))
         size = self.ends[own + 1] - self.ends[own]
-        cells = ranges(self.ends[own], size)
-        pairs, place = np.unique(self.pair[cells], return_inverse=True)
-        ends = np.cumsum(size)
-        linked = np.sort(np.repeat(doc, size[seg]) * max(1, len(pairs)) + place[ranges(ends[seg] - size[seg], size[seg])])
-        linked = linked[np.concatenate([[True], linked[1:] != linked[:-1]])] if len(linked) else linked
-        return {"doc_id": ids, "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "sha": sha, "doc_ends": np.searchsorted(doc, np.arange(n), "right"), "doc_segs": seg, "doc_times": times, "seg_ends": ends, "seg_pairs": place, "seg_times": self.times[cells], "pairs": pairs, "docs": np.bincount(linked % max(1, len(pairs)), minlength=len(pairs))}
+        pairs, place = np.unique(self.pair[ranges(self.ends[own], size)], return_inverse=True)
+        times, ends = self.times[ranges(self.ends[own], size)], np.cumsum(size)
+        wide, at_cell = max(1, len(pairs)), ranges(ends[seg] - size[seg], size[seg])
+        key, inverse = np.unique(np.repeat(row, size[seg]) * wide + place[at_cell], return_inverse=True)
+        many = np.bincount(inverse, times[at_cell], len(key)).astype(np.int64)
+        doc, cell = np.repeat(key // wide, -(-many // 255)), np.repeat(key % wide, -(-many // 255)) << 8
+        last = np.cumsum(-(-many // 255)) - 1
+        cell |= 255
+        cell[last] += (many - 1) % 255 + 1 - 255
+        return sums | {"groups_sha256": sha, "cells": cell, "cell_at": np.searchsorted(doc, np.arange(n + 1)), "pairs": pairs, "docs": np.bincount(key % wide, minlength=len(pairs))}
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -205,19 +210,19 @@ def alignments(docs: DataFrame, a: str | None = None, b: str | None = None) -> D
 
 
 def chunks(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """One row for each slice of documents: their sums, their distinct segments, these segments' pairs, and the distinct pairs with the
-    number of the slice's documents that have them."""
-    schema = [x.strip().split(" ") for x in SCHEMA.split(",")][1:]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    """A row for each document: the number of its slice, its sums and its cells; the first row of a slice has the slice's pairs as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column(1), SLICE_BYTES):
-                row = aligner(a, b).chunk(batch.column(0).slice(lo, hi - lo).to_pylist(), texts)
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(row[name])], pa.int32()), pa.array(row[name], kinds[kind[6:-1]])) for name, kind in schema]
-                yield pa.record_batch(lists, [name for name, _ in schema])
+                got, n = aligner(a, b).chunk(texts), hi - lo
+                first = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, *[len(x)] * n], pa.int32()), pa.array(x, kind))
+                lists = [pa.ListArray.from_arrays(pa.array(got["cell_at"], pa.int32()), pa.array(got["cells"], pa.int32())), first(got["pairs"], pa.int64()), first(got["docs"], pa.int32())]
+                yield pa.record_batch([pa.array(np.full(n, number)), batch.column(0).slice(lo, n), *(pa.array(got[c]) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(got["groups_sha256"], pa.string()), *lists], [x.split(" ")[0] for x in SCHEMA.split(", ")])
+                number += 1
 
-    return _texts(docs).mapInArrow(run, ", ".join(" ".join(x) for x in schema)).select(F.monotonically_increasing_id().alias("chunk"), "*")
+    return _texts(docs).mapInArrow(run, SCHEMA)
 
 
 def linked(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
@@ -229,28 +234,11 @@ def linked(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
     counts = own.groupBy("pair").agg(F.sum("n").alias("n"))
     best = counts.groupBy(F.shiftrightunsigned("pair", 24).alias("id_a")).agg(F.max("n").alias("most"))  # as many rows as vocabulary A has ids
     told = counts.join(F.broadcast(best), F.shiftrightunsigned("pair", 24) == F.col("id_a")).select("pair", (2 * F.col("n") + (F.col("n") == F.col("most")).cast("int")).alias("told"))
-    back = own.select("chunk", "place", "pair").join(told, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "told"))).alias("cells"))
-    joined = rows.drop("pairs", "docs").join(back.select("chunk", F.col("cells.told").alias("told")), "chunk", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                got = {name: batch.column(name)[k].values for name in batch.schema.names}
-                whole = {name: got[name].to_numpy(zero_copy_only=False).astype(np.int64) for name in ("doc_ends", "doc_segs", "doc_times", "seg_ends", "seg_pairs", "seg_times")}
-                told = got["told"].to_numpy(zero_copy_only=False) if got["told"] is not None else np.zeros(0, np.int64)
-                seg = np.repeat(np.arange(len(whole["seg_ends"])), np.diff(whole["seg_ends"], prepend=0))
-                doc = np.repeat(np.arange(len(whole["doc_ends"])), np.diff(whole["doc_ends"], prepend=0))
-                out = []
-                for cell in (told & 1, told >> 1):
-                    by_seg = np.zeros(len(whole["seg_ends"]), np.int64)
-                    np.add.at(by_seg, seg, whole["seg_times"] * cell[whole["seg_pairs"]])
-                    by_doc = np.zeros(len(whole["doc_ends"]), np.int64)
-                    np.add.at(by_doc, doc, whole["doc_times"] * by_seg[whole["doc_segs"]])
-                    out.append(pa.array(by_doc))
-                yield pa.record_batch([*(got[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *out, got["sha"]], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_ends", "doc_segs", "doc_times", "seg_ends", "seg_pairs", "seg_times", "told"]
-    return joined.select(*columns).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    back = own.select("chunk", "place", "pair").join(told, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "told"))).alias("t"))
+    joined = rows.drop("pairs", "docs").join(back.select("chunk", F.col("t.told").alias("told")), "chunk", "left")
+    total = "coalesce(aggregate(cells, 0L, (s, c) -> s + (c & 255) * {}), 0L)"
+    sums = [F.expr(total.format("(told[shiftright(c, 8)] & 1)")).alias("n_best"), F.expr(total.format("shiftright(told[shiftright(c, 8)], 1)")).alias("count_sum")]
+    return joined.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
 
 
 def op11_align(docs: DataFrame) -> DataFrame:

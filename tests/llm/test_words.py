@@ -117,9 +117,10 @@ def test_alignment(spark):
 def test_groups_of_many_equal_tokens_expand_once():
     x = alignment.aligner(alignment.default_tokenizer(), pieces.default_model())
     text = "".join(chr(0x4E00 + k % 3) for k in range(3000)) + " " * 4000 + "x"
-    c = x.chunk([1], [text])
+    c = x.chunk([text])
     groups = brute_groups(x, text)
     assert c["n_links"].tolist() == [sum(len(a) * len(b) for a, b in groups)] and len(c["pairs"]) == len({(a, b) for p, q in groups for a in p for b in q})
+    assert (c["cells"] & 255).sum() == c["n_links"][0] and c["docs"].tolist() == [1] * len(c["pairs"])
 
 
 def brute_forms(n: dict[str, int]) -> dict[str, tuple]:
