@@ -1,14 +1,15 @@
 """Factorisations of the matrix of Fisher records.
 
 The matrix is (example_id, class_id, col, value), coefficients are (example_id, w ARRAY) for every example of a header, also those without
-entries, and dictionaries are (col, h ARRAY). Products are joins whose sums combine before the shuffle; the matrix is kept
-partitioned by col and by example, so that each step moves only partial sums of length r. Gram matrices are summed in
+entries, and dictionaries are (col, h ARRAY). The matrix is kept in blocks of about as many entries each, by col and by example
+(``blocks``), so that each step moves only dense rows and partial sums of length r, and no hot column makes a long task. Gram matrices are summed in
 the tasks first; r x r matrices are all that reaches the driver. Each step's factors are written to the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pefloom.functions.arrays import vector_sum
+from pefloom.operators.blocks import Layout, lists_of, matrix_of
 from pefloom.operators.matrix import sq_norm, tr_xx
 from pefloom.plans.lineage import cut
 
@@ -25,21 +27,13 @@ TINY = 1e-12
 # Helpers: rows of vectors as matrices, in the tasks.
 
 
-def _matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _lists(x: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.astype(float).ravel()))
-
-
 def map_rows(df: DataFrame, key: str, inputs: list[str], f: Callable[..., np.ndarray], out: str) -> DataFrame:
     """(key, out): f over the matrices made of the array columns ``inputs``, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.record_batch([b.column(0), _lists(f(*(_matrix(c) for c in b.columns[1:])))], [key, out])
+                yield pa.record_batch([b.column(0), lists_of(f(*(matrix_of(c) for c in b.columns[1:])))], [key, out])
 
     return df.select(key, *inputs).mapInArrow(run, f"{key} long, {out} array<double>")
 
@@ -51,9 +45,9 @@ def gram(df: DataFrame, column: str, r: int) -> np.ndarray:
         total = np.zeros((r, r))
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column(0))
+                x = matrix_of(b.column(0))
                 total += x.T @ x
-        yield pa.record_batch([pa.array(np.arange(r)), _lists(total)], ["i", "v"])
+        yield pa.record_batch([pa.array(np.arange(r)), lists_of(total)], ["i", "v"])
 
     rows = df.select(column).mapInArrow(run, "i long, v array<double>").groupBy("i").agg(vector_sum("v", r).alias("v")).collect()
     out = np.zeros((r, r))
@@ -96,27 +90,34 @@ def warm_start(start: DataFrame, given: DataFrame, key: str, out: str) -> DataFr
 
 
 class Matrix:
-    """The matrix, kept by col and by example, with its header of examples and its columns."""
+    """The matrix in blocks by col and by example, with its header of examples and its columns. A layout is made when it is first used."""
 
     def __init__(self, a: DataFrame, header: DataFrame | None = None, columns: DataFrame | None = None):
-        a = cut(a if "class_id" in a.columns else a.withColumn("class_id", F.lit(0)))
-        self.a = a.select("example_id", "class_id", "col", "value")
-        self.by_col, self.by_row = self.a.repartition("col").persist(), self.a.repartition("example_id").persist()
-        self.header = cut((header if header is not None else a).select(F.col("example_id").cast("long")).distinct())
-        self.columns = cut((columns if columns is not None else a).select(F.col("col").cast("long")).distinct())
+        a = a if "class_id" in a.columns else a.withColumn("class_id", F.lit(0))
+        self.a = cut(a.select(F.col("example_id").cast("long"), F.col("class_id").cast("int"), F.col("col").cast("long"), F.col("value").cast("double")))
+        self.header = cut((header if header is not None else self.a).select(F.col("example_id").cast("long")).distinct())
+        self.columns = cut((columns if columns is not None else self.a).select(F.col("col").cast("long")).distinct())
+
+    @cached_property
+    def by_col(self) -> Layout:
+        return Layout(self.a, "col")
+
+    @cached_property
+    def by_row(self) -> Layout:
+        return Layout(self.a, "example_id")
 
     def release(self) -> None:
-        self.by_col.unpersist()
-        self.by_row.unpersist()
+        for name in ("by_col", "by_row"):
+            if name in self.__dict__:
+                self.__dict__[name].release()
 
     def times(self, h: DataFrame, r: int) -> DataFrame:
-        """(example_id, class_id, ah): the product of the matrix with a dictionary."""
-        return self.by_col.join(h, "col").groupBy("example_id", "class_id").agg(F.array(*(F.sum(F.col("value") * F.col("h")[k]) for k in range(r))).alias("ah"))
+        """(example_id, class_id, ah): the product of the matrix with a dictionary (col, h)."""
+        return self.by_col.product(h.select("col", "h"), "h", r, "ah")
 
     def transposed(self, rows: DataFrame, r: int) -> DataFrame:
         """(col, wa): the product of the transposed matrix with (example_id, x) or (example_id, class_id, x) rows."""
-        on = ["example_id", "class_id"] if "class_id" in rows.columns else ["example_id"]
-        return self.by_row.join(rows, on).groupBy("col").agg(F.array(*(F.sum(F.col("value") * F.col("x")[k]) for k in range(r))).alias("wa"))
+        return self.by_row.product(rows.select(*(c for c in ("example_id", "class_id", "x") if c in rows.columns)), "x", r, "wa")
 
 
 def _with(rows: DataFrame, more: DataFrame, key: str, column: str, r: int) -> DataFrame:
@@ -179,12 +180,12 @@ def coefficients(num: DataFrame, square: np.ndarray, start: DataFrame, iters: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, n, logged = _matrix(b.column(1)), _matrix(b.column(2)), []
+                x, n, logged = matrix_of(b.column(1)), matrix_of(b.column(2)), []
                 for step in range(1, iters + 1):
                     x = x * n / (x @ square + eps)
                     if step in steps:
                         logged.append(((x @ square) * x).sum(1) - 2 * (x * n).sum(1))
-                yield pa.record_batch([b.column(0), _lists(x), _lists(np.stack(logged, 1) if logged else np.zeros((len(x), 0)))], ["example_id", "w", "logged"])
+                yield pa.record_batch([b.column(0), lists_of(x), lists_of(np.stack(logged, 1) if logged else np.zeros((len(x), 0)))], ["example_id", "w", "logged"])
 
     return _with(start, num, "example_id", "num", r).select("example_id", "w", "num").mapInArrow(run, "example_id long, w array<double>, logged array<double>")
 
@@ -265,7 +266,7 @@ def _gradient(both: DataFrame, s: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.record_batch([b.column(0), b.column(1), _lists(_matrix(b.column(1)) @ s - _matrix(b.column(2)))], ["col", "h", "grad"])
+                yield pa.record_batch([b.column(0), b.column(1), lists_of(matrix_of(b.column(1)) @ s - matrix_of(b.column(2)))], ["col", "h", "grad"])
 
     return both.select("col", "h", "wa").mapInArrow(run, "col long, h array<double>, grad array<double>")
 

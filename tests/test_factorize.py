@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pefloom.operators import components as T
 from pefloom.operators import factorize as X
+from pefloom.operators.blocks import Layout
 
 R = 3
 
@@ -128,3 +131,39 @@ def test_scaling_and_reading(spark, low):
     ties = vectors(spark, np.ones((4, R)), "example_id", "w")
     assert [r.example_id for r in T.top_examples(ties, 2, [1]).orderBy("rank").collect()] == [0, 1]
     assert [(r.row, r.col, r.example_id) for r in T.top_examples_grid(ties, 2, 2, [0]).orderBy("row", "col").collect()] == [(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 3)]
+
+
+def test_blocks_are_even_on_zipf_columns(spark):
+    """1e5 rows; the hottest column has a third of all entries."""
+    r = np.random.default_rng(11)
+    n, width = 100_000, 4
+    col = np.concatenate([np.zeros(n * width // 3, np.int64), np.minimum(r.zipf(1.3, n * width - n * width // 3), 5000)])
+    r.shuffle(col)
+    row, cls, value = np.repeat(np.arange(n), width), np.tile(np.arange(width) % 2, n), r.normal(size=n * width)
+    df = spark.createDataFrame(pd.DataFrame({"example_id": row, "class_id": cls.astype(np.int32), "col": col, "value": value}))
+    h, x = r.normal(size=(5001, 2)), r.normal(size=(n, 2))
+    for key, dense, size in (("col", spark.createDataFrame(pd.DataFrame({"col": np.arange(5001), "v": h.tolist()})), n), ("example_id", spark.createDataFrame(pd.DataFrame({"example_id": np.arange(n), "v": x.tolist()})), 5001)):
+        layout = Layout(df, key, entries=8000)
+        parts = [r.n for r in layout.rows.groupBy("part").agg(F.count("*").alias("n")).collect()]
+        tasks = [r.n for r in layout.rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(parts) == n * width and max(parts) <= 2.5 * 8000 and max(tasks) <= 3 * np.median(tasks)
+        assert key != "col" or max(layout.bands) > 10
+        got = layout.product(dense, "v", 2, "out").toPandas()
+        want = np.zeros((size, 2, 2))
+        if key == "col":
+            np.add.at(want, (row, cls), value[:, None] * h[col])
+            found = want[got["example_id"], got["class_id"]]
+        else:
+            np.add.at(want[:, 0], col, value[:, None] * x[row])
+            found = want[got["col"], 0]
+        assert np.allclose(np.stack(got["out"]), found) and len(got) == len({*zip(row, cls, strict=True)} if key == "col" else {*col})
+        layout.release()
+
+
+def test_products_of_matrices_without_entries_or_dense_rows(spark):
+    none = spark.createDataFrame([], "example_id long, class_id int, col long, value double")
+    one = spark.createDataFrame([(3, 1, 7, 2.0), (3, 1, 7, 0.5), (4, 0, 8, 1.0)], "example_id long, class_id int, col long, value double")
+    dense = spark.createDataFrame([(7, [1.0, 2.0])], "col long, h array<double>")
+    assert Layout(none, "col").product(dense, "h", 2, "out").isEmpty()
+    assert Layout(one, "col").product(dense.limit(0), "h", 2, "out").isEmpty()
+    assert sorted(map(tuple, Layout(one, "col").product(dense, "h", 2, "out").collect())) == [(3, 1, [2.5, 5.0]), (4, 0, [0.0, 0.0])]
