@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pefloom.functions import arrays as A
 from pefloom.operators.factorize import TINY
+from pefloom.operators.pefs import GradFn, summed_gradients
 
 
 def _of(df: DataFrame, ids: DataFrame | None) -> DataFrame:
@@ -70,6 +71,11 @@ def sign_pattern(gradients: DataFrame, ids: DataFrame | None = None) -> DataFram
     return _of(gradients, ids).groupBy("param_index").agg(F.signum(F.sum("grad")).alias("sign"))
 
 
+def sign_of(examples: DataFrame, grad_fn: GradFn, ids: DataFrame | None = None) -> DataFrame:
+    """(param_index, sign): the sign of the summed gradient of the log-likelihood of the examples' labels, summed up in the tasks."""
+    return summed_gradients(_of(examples, ids), grad_fn, "label").select("param_index", F.signum("total").alias("sign"))
+
+
 def fisher_merge(params: DataFrame, sign: DataFrame, dsf: DataFrame, h: DataFrame, delta: float, lam: float, floor: float = 1e-6, legacy_cap: bool = False) -> DataFrame:
     """(param_index, theta): (w1 theta + w2 (theta - delta s)) / (w1 + w2) with w1 = (1 - lam) f and w2 = lam h; h (param_index, value) and the data
     set's Fisher f are scaled to norm 1 first, and f is held at ``floor`` from below (from above with legacy_cap)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pefloom.operators.pefs import class_gram
+from pefloom.operators.pefs import gram_squares
 from pefloom.sources.tables import flavour, number_rows
 
 
@@ -50,8 +50,7 @@ def normalize_lrm(a: DataFrame, norms: DataFrame, eps: float = 1e-12) -> DataFra
 
 def tr_xx(a: DataFrame, legacy: bool = False) -> float:
     """The sum over examples of the squared inner products of class factors; ``legacy`` adds it once more, and the diagonal again."""
-    square = F.col("dot") * F.col("dot")
-    all_, own = class_gram(a, "col").agg(F.sum(square), F.sum(F.when(F.col("c1") == F.col("c2"), square))).first()
+    all_, own = gram_squares(a, "col").agg(F.sum("squares"), F.sum("own")).first()
     return (2 * all_ + own if legacy else all_) if all_ is not None else 0.0
 
 

@@ -52,16 +52,96 @@ def d_norms(pefs: DataFrame) -> DataFrame:
     return pefs.groupBy("example_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("pef_norm"))
 
 
+#: Distinct parameters that are dense at a time in a class Gram matrix, and entries of an example that are.
+GRAM_COLUMNS, GRAM_ENTRIES = 1 << 12, 1 << 16
+
+
+class _Gram:
+    """The inner products of an example's class factors, from entries that come by rising parameter."""
+
+    def __init__(self):
+        self.classes, self.dots = np.zeros(0, np.int64), np.zeros((0, 0))
+
+    def add(self, classes: np.ndarray, columns: np.ndarray, values: np.ndarray) -> None:
+        """Entries of which no parameter came before or comes again."""
+        seen = np.union1d(self.classes, classes)
+        if len(seen) > len(self.classes):
+            at = np.searchsorted(seen, self.classes)
+            grown = np.zeros((len(seen), len(seen)))
+            grown[np.ix_(at, at)] = self.dots
+            self.classes, self.dots = seen, grown
+        own, place = np.unique(columns, return_inverse=True)
+        row = np.searchsorted(self.classes, classes)
+        for lo in range(0, len(own), GRAM_COLUMNS):
+            cut_ = (place >= lo) & (place < lo + GRAM_COLUMNS)
+            used, at = np.unique(row[cut_], return_inverse=True)
+            dense = np.zeros((len(used), min(GRAM_COLUMNS, len(own) - lo)))
+            np.add.at(dense, (at, place[cut_] - lo), values[cut_])
+            self.dots[np.ix_(used, used)] += dense @ dense.T
+
+
+def _grams(factors: DataFrame, column: str, out: Callable[[list[tuple[int, _Gram]]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``out`` of the Gram matrices of runs of examples. Entries go to their example's task once, in the order of their parameters, and stream
+    through it: a task holds one example's C x C products and the dense entries of some parameters, however many entries it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, now, own = [], None, _Gram()
+        rest: list[tuple[np.ndarray, ...]] = []  # entries of the example ``now`` that weren't added yet
+
+        def flush(whole: bool) -> None:
+            nonlocal rest
+            if rest:
+                c, k, v = (np.concatenate(x) for x in zip(*rest, strict=True))
+                last = len(k) if whole else int(np.searchsorted(k, k[-1]))  # a parameter's entries are added together
+                own.add(c[:last], k[:last], v[:last])
+                rest = [] if whole else [(c[last:], k[last:], v[last:])]
+
+        for b in batches:
+            e, c, k, v = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            at = np.append(np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else [], len(e)).astype(np.int64)
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                if e[i] != now:
+                    if now is not None:
+                        flush(True)
+                        done.append((now, own))
+                    now, own = int(e[i]), _Gram()
+                rest.append((c[i:j], k[i:j], v[i:j]))
+                if sum(len(x[0]) for x in rest) > GRAM_ENTRIES:
+                    flush(False)
+            if sum(len(g.classes) ** 2 for _, g in done) > 1 << 18 or len(done) > 4096:
+                yield out(done)
+                done = []
+        if now is not None:
+            flush(True)
+            yield out([*done, (now, own)])
+
+    rows = factors.select(F.col("example_id").cast("long"), F.col("class_id").cast("long"), F.col(column).cast("long").alias("k"), F.col("value").cast("double"))
+    return rows.repartition("example_id").sortWithinPartitions("example_id", "k").mapInArrow(run, schema)
+
+
 def class_gram(factors: DataFrame, column: str = "param_index") -> DataFrame:
     """(example_id, c1, c2, dot): inner products of the factors of each pair of classes of an example, both orders."""
-    a = factors.select("example_id", column, F.col("class_id").alias("c1"), F.col("value").alias("v1"))
-    b = factors.select("example_id", column, F.col("class_id").alias("c2"), F.col("value").alias("v2"))
-    return a.join(b, ["example_id", column]).groupBy("example_id", "c1", "c2").agg(F.sum(F.col("v1") * F.col("v2")).alias("dot"))
+
+    def out(grams: list[tuple[int, _Gram]]) -> pa.RecordBatch:
+        n = [len(g.classes) for _, g in grams]
+        cells = [np.repeat([e for e, _ in grams], np.square(n)), np.concatenate([np.repeat(g.classes, len(g.classes)) for _, g in grams]), np.concatenate([np.tile(g.classes, len(g.classes)) for _, g in grams])]
+        return pa.record_batch([pa.array(cells[0]), *(pa.array(c.astype(np.int32)) for c in cells[1:]), pa.array(np.concatenate([g.dots.ravel() for _, g in grams]))], ["example_id", "c1", "c2", "dot"])
+
+    return _grams(factors, column, out, "example_id long, c1 int, c2 int, dot double")
+
+
+def gram_squares(factors: DataFrame, column: str = "param_index") -> DataFrame:
+    """(example_id, squares, own): the sums of the squared inner products of all pairs of classes, and of each class with itself."""
+
+    def out(grams: list[tuple[int, _Gram]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([e for e, _ in grams], pa.int64()), pa.array([float((g.dots**2).sum()) for _, g in grams]), pa.array([float((np.diag(g.dots) ** 2).sum()) for _, g in grams])], ["example_id", "squares", "own"])
+
+    return _grams(factors, column, out, "example_id long, squares double, own double")
 
 
 def lrm_norms(factors: DataFrame) -> DataFrame:
     """(example_id, pef_norm): the Frobenius norm of A A^T, from the inner products of the classes' factors."""
-    return class_gram(factors).groupBy("example_id").agg(F.sqrt(F.sum(F.col("dot") * F.col("dot"))).alias("pef_norm"))
+    return gram_squares(factors).select("example_id", F.sqrt("squares").alias("pef_norm"))
 
 
 def _top(pefs: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -203,31 +283,99 @@ def top_k(values: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-values, axis=1, kind="stable")[:, :k]
 
 
-def make_pefs(examples: DataFrame, grad_fn: GradFn, kind: str, k: int) -> DataFrame:
+def _probabilities(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([*values, []]), kind))
+
+
+def make_pefs(examples: DataFrame, grad_fn: GradFn, kind: str, k: int, max_classes: int | None = None, min_prob: float | None = None) -> DataFrame:
     """Sparse records made in the scan's tasks by ``grad_fn``: kind diag gives (indices, values, pef_norm, label, logits), lrm adds
-    col_offsets. Dense gradients live for a few rows at a time and are never written."""
+    col_offsets, lvrm rank and col_sizes. Dense gradients live for a few rows at a time and are never written.
+
+    min_prob leaves out the classes of a lower probability; lrm and lvrm rank the others by falling probability, equal ones by class, if
+    max_classes or, for lvrm alone, min_prob is given, and keep max_classes at most. Records of lvrm have ranks of their own, down to 0.
+    """
+    if kind not in ("diag", "lrm", "lvrm") or kind == "diag" and max_classes is not None or kind == "lrm" and min_prob is not None:
+        raise ValueError(f"records of kind {kind} with max_classes {max_classes} and min_prob {min_prob}")
     columns = ["example_id", "indices", "values", "pef_norm", "label", "logits"]
+    more = {"diag": [], "lrm": ["col_offsets"], "lvrm": ["rank", "col_sizes"]}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 16):
                 part = b.slice(lo, 16)
                 z, g = grad_fn(_features(part.column(2)))
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
+                p = _probabilities(z)
                 n, c, size = g.shape
                 if kind == "diag":
-                    v = np.einsum("nc,ncj->nj", p, g * g)
-                    at, norm, more = top_k(v, k), np.sqrt((v * v).sum(1)), []
-                    kept, param = np.take_along_axis(v, at, 1), at
+                    v = np.einsum("nc,ncj->nj", p if min_prob is None else np.where(p >= min_prob, p, 0.0), g * g)
+                    at, norm, own = top_k(v, k), np.sqrt((v * v).sum(1)), []
+                    kept, param = [*np.take_along_axis(v, at, 1)], [*at]
                 else:
                     a = np.sqrt(p)[:, :, None] * g
+                    rank = np.full(n, c)
+                    if kind == "lvrm" or max_classes is not None:
+                        order = np.argsort(-p, axis=1, kind="stable")[:, :max_classes]
+                        a, q = np.take_along_axis(a, order[:, :, None], 1), np.take_along_axis(p, order, 1)
+                        rank = (q >= (min_prob if min_prob is not None else 0.0)).sum(1)
+                        a[np.arange(a.shape[1]) >= rank[:, None]] = 0.0
                     gram = np.einsum("ncj,nkj->nck", a, a)
                     norm, flat = np.sqrt((gram * gram).sum((1, 2))), a.reshape(n, -1)
-                    at = np.sort(top_k(np.abs(flat), k), axis=1)
-                    kept, param = np.take_along_axis(flat, at, 1), at % size
-                    more = [_lists(np.stack([(at // size < q).sum(1) for q in range(c + 1)], 1).astype(np.int32))]
-                yield pa.record_batch([part.column(0), _lists(param.astype(np.int64)), _lists(kept), pa.array(norm), part.column(1), _lists(z), *more], columns + ["col_offsets"] * len(more))
-
-    schema = "example_id long, indices array<long>, values array<double>, pef_norm double, label int, logits array<double>" + (", col_offsets array<int>" if kind == "lrm" else "")
+                    # factors beyond an example's rank come last and are no entries
+                    size_of = np.abs(flat)
+                    size_of[np.arange(flat.shape[1]) >= rank[:, None] * size] = -1.0
+                    at = [np.sort(x[: min(k, r * size)]) for x, r in zip(top_k(size_of, k), rank, strict=True)]
+                    kept, param = [f[x] for f, x in zip(flat, at, strict=True)], [x % size for x in at]
+                    if kind == "lrm":
+                        own = [_ragged([np.searchsorted(x // size, np.arange(r + 1)) for x, r in zip(at, rank, strict=True)], pa.int32())]
+                    else:
+                        own = [pa.array(rank, pa.int32()), _ragged([np.bincount(x // size, minlength=r) for x, r in zip(at, rank, strict=True)], pa.int32())]
+                yield pa.record_batch([part.column(0), _ragged(param, pa.int64()), _ragged(kept, pa.float64()), pa.array(norm), part.column(1), _lists(z), *own], columns + more)
+
+    schema = "example_id long, indices array<long>, values array<double>, pef_norm double, label int, logits array<double>" + "".join({"rank": ", rank int"}.get(m, f", {m} array<int>") for m in more)
     return examples.select(F.col("example_id").cast("long"), F.col("label").cast("int"), F.col("features").cast("array<double>")).mapInArrow(run, schema)
+
+
+#: Entries of a task's vector that go out in one batch.
+RANGE = 1 << 16
+
+
+def summed_gradients(examples: DataFrame, grad_fn: GradFn, what: str, min_prob: float | None = None, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """(param_index, total) over all examples, without parameters of zeros alone: of the expected grad ** 2 (what "expected"), of that of one
+    class drawn for each example ("sampled": by a hash of seed and example_id, or by ``draw``, a number in [0, 1)), or of the gradient of
+    the label's class ("label"). Each task adds into one vector of the model's size; only that leaves it, range by range."""
+    u = draw if draw is not None else F.pmod(F.xxhash64(F.lit(seed), F.col("example_id").cast("long")), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for lo in range(0, b.num_rows, 16):
+                part = b.slice(lo, 16)
+                z, g = grad_fn(_features(part.column(0)))
+                p, row = _probabilities(z), np.arange(len(z))
+                if what == "expected":
+                    one = np.einsum("nc,ncj->j", p if min_prob is None else np.where(p >= min_prob, p, 0.0), g * g)
+                elif what == "sampled":
+                    own = np.minimum((np.cumsum(p, 1) <= part.column(2).to_numpy()[:, None]).sum(1), p.shape[1] - 1)
+                    one = (g[row, own] ** 2).sum(0)
+                else:
+                    one = g[row, part.column(1).to_numpy()].sum(0)
+                total = one if total is None else total + one
+        if total is not None:
+            for lo in range(0, len(total), RANGE):
+                at = lo + np.flatnonzero(total[lo : lo + RANGE])
+                yield pa.record_batch([pa.array(at), pa.array(total[at])], ["param_index", "total"])
+
+    if what not in ("expected", "sampled", "label"):
+        raise ValueError(what)
+    rows = examples.select(F.col("features").cast("array<double>"), (F.col("label") if what == "label" else F.lit(0)).cast("int").alias("label"), u.cast("double").alias("u"))
+    return rows.mapInArrow(run, "param_index long, total double").groupBy("param_index").agg(F.sum("total").alias("total"))
+
+
+def dsf_of(examples: DataFrame, grad_fn: GradFn, n: int, what: str = "expected", **how) -> DataFrame:
+    """(param_index, fisher): the data set's Fisher, expected or sampled, as the mean over n examples (``summed_gradients``)."""
+    return summed_gradients(examples, grad_fn, what, **how).select("param_index", (F.col("total") / n).alias("fisher"))

@@ -171,8 +171,7 @@ def diagonal_pefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {HEAD}, g AS (SELECT example_id, c * {WIDE} + j AS param_index, p * (1 - p) * v * v AS value FROM p JOIN x USING (example_id, label)), f AS (SELECT param_index, sum(value) / (SELECT count(*) FROM embeddings) AS fisher FROM g GROUP BY 1) SELECT param_index, round(fisher / (sqrt(sum(fisher * fisher) OVER ()) + 1e-12), 8) AS fisher FROM f")
 def dataset_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, head, grad = head_of(spark, sf_dir)
-    d = P.d_pefs(P.gradients_of(x, grad), P.linear_logits(x, head))
-    return P.normalize_dsf(cut(P.dsf_expected(d, x.count()))).withColumn("fisher", F.round("fisher", 8))
+    return P.normalize_dsf(cut(P.dsf_of(x, grad, x.count()))).withColumn("fisher", F.round("fisher", 8))
 
 
 @query(f"""WITH {HEAD}, g AS (SELECT x.example_id, k.c * {WIDE} + j AS param_index, sum(p.p * pow((CASE WHEN p.c = k.c THEN 1 ELSE 0 END - k.p) * v, 2)) AS value
@@ -180,8 +179,8 @@ def dataset_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT example_id, count(*) AS n, round(sqrt(sum(value * value)), 8) AS pef_norm FROM g GROUP BY 1""")
 def diagonal_norms_min_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, head, grad = head_of(spark, sf_dir)
-    d = P.d_pefs(P.gradients_of(x, grad), P.linear_logits(x, head), min_prob=0.101)
-    return d.groupBy("example_id").agg(F.count("*").alias("n"), F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 8).alias("pef_norm"))
+    rows = P.make_pefs(x, grad, "diag", head.size, min_prob=0.101).where("pef_norm > 0")
+    return rows.select("example_id", F.size(F.filter("values", lambda v: v > 0)).cast("long").alias("n"), F.round("pef_norm", 8).alias("pef_norm"))
 
 
 FACTORS = f"a AS (SELECT k.example_id, k.c AS class_id, o.c * {WIDE} + x.j AS param_index, sqrt(k.p) * ((CASE WHEN o.c = k.c THEN 1 ELSE 0 END) - o.p) * x.v AS value FROM p k JOIN p o USING (example_id) JOIN x USING (example_id))"
@@ -202,10 +201,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY abs(value) D
 SELECT e.vec_id AS example_id, CAST(coalesce(n, 0) AS INTEGER) AS rank, param_index, class_id, round(value, 9) AS value FROM embeddings e LEFT JOIN (SELECT DISTINCT example_id, n FROM y) c ON c.example_id = e.vec_id JOIN (SELECT * FROM r WHERE rank <= 6) t ON t.example_id = e.vec_id""")
 def variable_rank_pefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, head, grad = head_of(spark, sf_dir)
-    z = cut(P.linear_logits(x, head))
-    factors = P.lrm_pefs(P.gradients_of(x, grad), z, top_k_classes=3, min_prob=0.1005)
-    ranks = z.select("example_id").join(P.ranked_classes(z, 3, 0.1005).groupBy("example_id").agg(F.count("*").cast("int").alias("rank")), "example_id", "left").na.fill(0, ["rank"])
-    rows = cut(P.sparsify_lvrm(factors, 6, ranks))
+    rows = cut(P.make_pefs(x, grad, "lvrm", 6, max_classes=3, min_prob=0.1005))
     long = M.pefs_to_long(rows).select("example_id", F.col("class_id").cast("long").alias("class_id"), "param_index", F.round("value", 9).alias("value"))
     return rows.select("example_id", "rank").join(long, "example_id")
 
@@ -213,7 +209,7 @@ def variable_rank_pefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sampled_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, head, grad = head_of(spark, sf_dir)
-    return P.dsf_sampled(P.gradients_of(x, grad), P.linear_logits(x, head), x.count(), seed=7)
+    return P.dsf_of(x, grad, x.count(), "sampled", seed=7)
 
 
 @query()
@@ -246,7 +242,7 @@ def drawn_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data-set Fisher of sampled classes by draws that SQL can state."""
     x, head, grad = head_of(spark, sf_dir)
     draw = ((F.col("example_id") * 7) % 11 + 0.5) / 11
-    return P.dsf_sampled(P.gradients_of(x, grad), P.linear_logits(x, head), x.count(), draw=draw).withColumn("fisher", F.round("fisher", 9))
+    return P.dsf_of(x, grad, x.count(), "sampled", draw=draw).withColumn("fisher", F.round("fisher", 9))
 
 
 @query(ORACLE_SQL["dataset_fisher"])
@@ -578,8 +574,7 @@ def perturbation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {HEAD}, g AS (SELECT c * {WIDE} + j AS param_index, sum((CASE WHEN c = label THEN 1 ELSE 0 END - p) * v) AS s FROM p JOIN x USING (example_id, label) GROUP BY 1) SELECT param_index, sign(round(s, 9)) AS sign FROM g".replace("sign(round(s, 9))", "CAST(sign(s) AS DOUBLE)"))
 def sign_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _, grad = head_of(spark, sf_dir)
-    own = P.gradients_of(x, grad).join(x.select("example_id", F.col("label").alias("class_id")), ["example_id", "class_id"])
-    return E.sign_pattern(own)
+    return E.sign_of(x, grad)
 
 
 @query("""WITH t AS (SELECT p_partkey AS param_index, p_retailprice AS theta, p_size AS f, CASE WHEN p_size % 3 = 0 THEN p_size * 2.0 END AS h, CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END AS s FROM part),

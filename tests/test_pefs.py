@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pefloom.functions import arrays as A
+from pefloom.operators import evaluate as E
 from pefloom.operators import matrix as M
 from pefloom.operators import pefs as P
 from pefloom.sources import tables as S
@@ -110,3 +112,75 @@ def test_tables_round_trip(spark, model, tmp_path):
     labelled = rows.withColumn("label", F.lit(0))
     wrong = P.filter_incorrect(labelled).count()
     assert P.fraction_correct(labelled).first()[0] == pytest.approx(1 - wrong / 12)
+
+
+def entries(rows):
+    return {(r.example_id, c, j): v for r in rows for c, (lo, hi) in enumerate(zip(np.cumsum([0, *r.col_sizes[:-1]]), np.cumsum(r.col_sizes), strict=False)) for j, v in zip(r.indices[lo:hi], r.values[lo:hi], strict=True)} if rows else {}
+
+
+def test_records_of_varying_rank_are_made_in_the_tasks(spark, model):
+    _, head, df, _, g, p, grad = model
+    gradients, logits = P.gradients_of(df, grad), P.linear_logits(df, head)
+    for most, least, k in ((2, 0.2, 5), (3, 0.3, 100), (1, 0.0, 3), (3, 0.999, 4), (5, 0.1, 7)):
+        made = P.make_pefs(df, grad, "lvrm", k, max_classes=most, min_prob=least).orderBy("example_id").collect()
+        ranks = [min(most, int((x >= least).sum())) for x in p]
+        assert [r.rank for r in made] == ranks == [len(r.col_sizes) for r in made]
+        long = P.sparsify_lvrm(P.lrm_pefs(gradients, logits, most, least), k, spark.createDataFrame([(i, n) for i, n in enumerate(ranks)], "example_id long, rank int")).orderBy("example_id").collect()
+        a, b = entries(made), entries(long)
+        assert a.keys() == b.keys() and np.allclose([*a.values()], [b[x] for x in a])
+        for i, r in enumerate(made):
+            f = (np.sqrt(p[i])[:, None] * g[i])[np.argsort(-p[i], kind="stable")[: ranks[i]]]
+            assert np.isclose(r.pef_norm, np.linalg.norm(f @ f.T) if ranks[i] else 0.0)
+    low = P.make_pefs(df, grad, "lrm", 6, max_classes=2).orderBy("example_id").collect()
+    want = P.sparsify_lrm(P.lrm_pefs(gradients, logits, top_k_classes=2), 6, 2).orderBy("example_id").collect()
+    assert [(r.indices, r.col_offsets) for r in low] == [(r.indices, r.col_offsets) for r in want]
+    diag = P.make_pefs(df, grad, "diag", 12, min_prob=0.3).collect()
+    for r in diag:
+        v = np.einsum("c,cj->j", np.where(p[r.example_id] >= 0.3, p[r.example_id], 0), g[r.example_id] ** 2)
+        assert np.allclose(r.values, v[r.indices]) and np.isclose(r.pef_norm, np.sqrt((v * v).sum()))
+    for kind, how in (("lrm", {"min_prob": 0.1}), ("diag", {"max_classes": 1}), ("none", {})):
+        with pytest.raises(ValueError, match="records of kind"):
+            P.make_pefs(df, grad, kind, 3, **how)
+
+
+def test_gram_of_a_thousand_classes(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3, 1000, 60)) * (r.uniform(size=(3, 1000, 60)) < 0.2)
+    rows = pd.DataFrame([(int(i), int(c), int(j), float(x[i, c, j])) for i, c, j in np.argwhere(x != 0)], columns=["example_id", "class_id", "param_index", "value"])
+    df = spark.createDataFrame(rows).repartition(5)
+    grams = np.einsum("icj,ikj->ick", x, x)
+    got = {g.example_id: (g.squares, g.own) for g in P.gram_squares(df).collect()}
+    assert all(np.allclose(got[i], ((grams[i] ** 2).sum(), (np.diag(grams[i]) ** 2).sum())) for i in range(3))
+    norms = {g.example_id: g.pef_norm for g in P.lrm_norms(df).collect()}
+    assert all(np.isclose(norms[i], np.linalg.norm(grams[i])) for i in range(3))
+    cells = P.class_gram(df.where("class_id < 7")).toPandas()
+    assert np.allclose(cells["dot"], grams[cells["example_id"], cells["c1"], cells["c2"]]) and len(cells) == 3 * 49
+    assert P.lrm_norms(df.limit(0)).isEmpty()
+
+
+def test_gram_in_parts():
+    r = np.random.default_rng(9)
+    whole, parts = P._Gram(), P._Gram()
+    c, k, v = r.integers(0, 9, 4000), np.sort(r.integers(0, 9000, 4000)), r.normal(size=4000)
+    whole.add(c, k, v)
+    for lo, hi in ((0, 3000), (3000, 3001), (3001, 9000)):
+        own = (k >= lo) & (k < hi)
+        parts.add(c[own], k[own], v[own])
+    x = np.zeros((9, 9000))
+    np.add.at(x, (c, k), v)
+    assert np.allclose(whole.dots, x @ x.T) and np.allclose(parts.dots, x @ x.T)
+
+
+def test_fisher_vectors_are_summed_in_the_tasks(spark, model):
+    _, head, df, _, g, p, grad = model
+    gradients, logits = P.gradients_of(df, grad), P.linear_logits(df, head)
+    total = lambda rows, c: {r.param_index: r[c] for r in rows.collect()}
+    for made, long in ((P.dsf_of(df.repartition(3), grad, 12), P.dsf_expected(P.d_pefs(gradients, logits), 12)), (P.dsf_of(df, grad, 12, "sampled", seed=3), P.dsf_sampled(gradients, logits, 12, 3)), (P.dsf_of(df, grad, 12, min_prob=0.3), P.dsf_expected(P.d_pefs(gradients, logits, 0.3), 12))):
+        a, b = total(made, "fisher"), total(long, "fisher")
+        assert a.keys() == b.keys() and np.allclose([a[x] for x in sorted(a)], [b[x] for x in sorted(a)])
+    ids = spark.createDataFrame([(1,), (4,), (5,)], "example_id long")
+    sign = total(E.sign_of(df, grad, ids), "sign")
+    assert sign == {j: np.sign(v) for j, v in enumerate(sum(g[i, i % 3] for i in (1, 4, 5)))}
+    assert P.summed_gradients(df.limit(0), grad, "expected").isEmpty()
+    # a task sends as many rows as the model has parameters, not one for each example and class
+    assert P.summed_gradients(df.repartition(2), grad, "expected").count() == 12
