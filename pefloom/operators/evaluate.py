@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pefloom.functions import arrays as A
 from pefloom.operators.factorize import TINY
@@ -89,10 +90,41 @@ def fisher_merge(params: DataFrame, sign: DataFrame, dsf: DataFrame, h: DataFram
     return joined.select("param_index", ((w1 * F.col("theta") + w2 * (F.col("theta") - delta * zero("sign"))) / (w1 + w2)).alias("theta"))
 
 
+#: A layout of so many variables at most is looked up in the tasks (some 40 MB); a larger one is joined.
+LAYOUT_ROWS = 1 << 19
+
+
 def locate_params(df: DataFrame, layout: DataFrame) -> DataFrame:
-    """``df`` with the variable each param_index falls in and its place there; layout is (variable, start, end), a row for each variable of the model."""
-    on = (F.col("param_index") >= F.col("start")) & (F.col("param_index") < F.col("end"))
-    return df.join(F.broadcast(layout), on).withColumn("local_index", F.col("param_index") - F.col("start")).drop("start", "end")
+    """``df`` with the variable each param_index falls in and its place there, without rows that fall in none; layout is (variable, start, end), a row
+    for each variable of the model, and no two overlap.
+
+    Layouts are counted. Up to ``LAYOUT_ROWS`` variables every task looks its rows up in the sorted starts. More are joined by buckets, as wide as a variable on
+    average: a variable has a row in each bucket that it reaches, so there are at most twice as many rows as variables.
+    """
+    own = layout.select(F.col("variable").cast("string"), F.col("start").cast("long"), F.col("end").cast("long")).where("start < end")
+    n, low, high = own.agg(F.count("*"), F.min("start"), F.max("end")).first()
+    schema = StructType([*df.schema.fields, StructField("variable", StringType()), StructField("local_index", LongType())])
+    if n > LAYOUT_ROWS:
+        width = max(1, -(-(high - low) // n))
+        spread = own.withColumn("bucket_", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))))
+        rows = df.select(F.struct("*").alias("row_"), F.col("param_index").alias("at_")).withColumn("bucket_", F.expr(f"at_ div {width}"))
+        met = rows.join(spread, "bucket_").where("at_ >= start AND at_ < end")
+        return met.select(*(F.col("row_")[c].alias(c) for c in df.columns), "variable", (F.col("at_") - F.col("start")).alias("local_index"))
+    table = own.orderBy("start").toArrow()
+    names, start, end = table.column("variable").combine_chunks(), table.column("start").to_numpy(), table.column("end").to_numpy()
+    place = df.columns.index("param_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not (n and b.num_rows):
+                continue
+            asked = b.column(place).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+            at = np.searchsorted(start, asked, "right") - 1
+            there = np.flatnonzero((at >= 0) & (asked < end[at]))
+            rows = b.take(pa.array(there))
+            yield pa.record_batch([*rows.columns, names.take(pa.array(at[there])), pa.array(asked[there] - start[at[there]])], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def params_per_variable(df: DataFrame, layout: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -307,14 +308,14 @@ def trim_column_map(column_map: DataFrame, n_cols: int) -> DataFrame:
     return column_map.where(F.col("col") < n_cols)
 
 
-def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: int, iters_g_only: int, iters_new_only: int, iters_joint: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, w_frozen: DataFrame | None = None, init_new: DataFrame | None = None, header: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
+def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: int, iters_g_only: int, iters_new_only: int, iters_joint: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, w_frozen: DataFrame | None = None, init_new: DataFrame | None = None, header: DataFrame | None = None, init_w: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
     """(W, G, losses) with r_new components before the frozen ones: steps of the new G, then of the new W and G, then of all W and the
     new G. The frozen dictionary never moves (F10)."""
     r, columns = r_frozen + r_new, cut(a.select("col").union(g_frozen.select("col")).distinct())
     new = init_new if init_new is not None else init_factors(columns, "col", r_new, "h", "normal", seed + 1, g_scale(r_new, max(1, columns.count())))
     old = _with(new.withColumnRenamed("h", "new_"), g_frozen, "col", "h", r_frozen)
     ids = cut((header if header is not None else a).select(F.col("example_id").cast("long")).distinct())
-    w = init_factors(ids, "example_id", r, "w", "uniform", seed)
+    w = init_w if init_w is not None else init_factors(ids, "example_id", r, "w", "uniform", seed)
     if w_frozen is not None:
         w = w.join(w_frozen.select("example_id", F.col("w").alias("old_")), "example_id", "left").select("example_id", F.when(F.col("old_").isNotNull(), F.concat(F.slice("w", 1, r_new), "old_")).otherwise(F.col("w")).alias("w"))
     fit, losses = LowRank(a, r, w, old.select("col", F.concat("new_", "h").alias("h")), ids, columns), []
@@ -329,10 +330,57 @@ def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: i
     return fit.w, fit.g, losses
 
 
-def orthonormalize(g: DataFrame, r: int) -> DataFrame:
-    """G with orthonormal components, by the Cholesky factor of its Gram matrix."""
-    inverse = np.linalg.inv(np.linalg.cholesky(gram(g, "h", r)))
-    return map_rows(g, "col", ["h"], lambda h: h @ inverse.T, "h")
+#: R factors that one task stacks; components within so much of the others' span count as dependent.
+STACK, DEPENDENT = 16, 1e-13
+
+
+def triangular(df: DataFrame, column: str, r: int) -> np.ndarray:
+    """R of the QR decomposition of the matrix whose rows are the array column, with a diagonal that isn't negative: each task decomposes its own rows,
+    then the r x r factors of ``STACK`` tasks are stacked and decomposed again, until one is left."""
+
+    def qr(rows: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((r, r))
+        x = np.linalg.qr(np.concatenate(rows), mode="r")
+        out[: len(x)] = x
+        return out
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for b in batches:
+            if b.num_rows:
+                own = qr([x for x in (own, matrix_of(b.column(0))) if x is not None])
+        if own is not None:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), lists_of(own.reshape(1, -1))], ["p", "x"])
+
+    def stacked(t: pa.Table) -> pa.Table:
+        at = np.argsort(t.column("p").to_numpy())
+        return pa.table({"p": t.column("p").slice(0, 1), "x": lists_of(qr([*matrix_of(t.column("x"))[at].reshape(-1, r, r)]).reshape(1, -1))})
+
+    factors = cut(df.select(column).mapInArrow(local, "p long, x array<double>"))
+    while (n := factors.count()) > 1:
+        factors = cut(factors.groupBy(F.expr(f"p div {STACK}").alias("q")).applyInArrow(stacked, "p long, x array<double>").select(F.expr(f"p div {STACK}").alias("p"), "x"))
+    if not n:
+        return np.eye(r)
+    out = np.array(factors.first().x).reshape(r, r)
+    return out * np.where(np.diag(out) < 0, -1.0, 1.0)[:, None]
+
+
+def orthonormalize(g: DataFrame, r: int, seed: int = 0) -> DataFrame:
+    """G (col, h) with orthonormal components that span what the first ones span, by tall-skinny QR: twice, as the first pass leaves an error of
+    the condition. A component that depends on those before it is taken by a random one, seeded by col."""
+    g = cut(g)
+    found = triangular(g, "h", r)
+    bad = np.abs(np.diag(found)) <= DEPENDENT * np.maximum(np.linalg.norm(found, axis=0), TINY)
+    if bad.any():
+        drawn = init_factors(g, "col", r, "new_", "normal", seed + 7)
+        keep = F.array(*(F.lit(not b) for b in bad.tolist()))
+        g = cut(g.join(drawn, "col").select("col", F.zip_with(F.arrays_zip(F.col("h").alias("h"), F.col("new_").alias("n")), keep, lambda x, k: F.when(k, x["h"]).otherwise(x["n"])).alias("h")))
+        found = triangular(g, "h", r)
+    for last in (False, True):
+        inverse = np.linalg.inv(found)
+        g = cut(map_rows(g, "col", ["h"], lambda h, inverse=inverse: h @ inverse, "h"))
+        found = np.eye(r) if last else triangular(g, "h", r)
+    return g
 
 
 def fit_stiefel(a: DataFrame, r: int, iters: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, init_g: DataFrame | None = None, header: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
@@ -358,34 +406,54 @@ def fit_stiefel(a: DataFrame, r: int, iters: int, lr: float = 1e-3, mu_eps: floa
 
 
 def hoyer_project(w: DataFrame, r: int, l1: float, l2: float = 1.0) -> DataFrame:
-    """W with every component (a column of n entries) moved to the nearest non-negative vector of L1 norm l1 and L2 norm l2. Each round
-    is one aggregate of r numbers and one pass over the rows; n rounds at most."""
-    n = w.count()
-    if not n:
+    """W with every component (a column of n entries) moved to the nearest non-negative vector of L1 norm l1 and L2 norm l2.
+
+    The nearest vector keeps the m largest entries, stretched about their mean and moved to the mean l1 / m, and sets the others to zero;
+    m is the largest for which the m-th entry stays above zero. One range-partitioned sort of (component, entry) gives counts, sums
+    and squares of each task's entries, the second pass over it runs them on and finds each component's m, whatever n is; r
+    cuts and a row for each task and component are all that reaches the driver. Where so many entries tie for the largest that they can't have both norms,
+they share l1, and the L2 norm is less.
+    """
+    cells = w.select("example_id", F.posexplode("w").alias("k", "x"))
+    tasks = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["k", F.desc("x"), "example_id"]
+    cells = cut(cells.repartitionByRange(tasks, *order).sortWithinPartitions(*order))
+    local = cells.groupBy(F.spark_partition_id().alias("p"), "k").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).collect()
+    if not local:
         return w
-    sums = np.array(w.agg(vector_sum("w", r).alias("s")).first()[0])
-    shift = (l1 - sums) / n
-    rows = cut(w.select("example_id", F.zip_with("w", F.array(*map(F.lit, shift.tolist())), lambda x, c: x + c).alias("s"), F.array_repeat(F.lit(1.0), r).alias("on")))
-    for _ in range(n):
-        total, square, active = (np.array(x, float) for x in rows.agg(vector_sum("s", r).alias("t"), F.array(*(F.sum(F.col("s")[k] * F.col("s")[k]) for k in range(r))).alias("q"), vector_sum("on", r).alias("a")).first())
-        mid = l1 / np.maximum(active, 1)
-        a = square - 2 * mid * total + active * mid * mid
-        b = 2 * (mid * total - active * mid * mid)
-        c = active * mid * mid - l2 * l2
-        grow = np.where(a > 1e-30, (-b + np.sqrt(np.maximum(0.0, b * b - 4 * a * c))) / np.maximum(2 * a, 1e-30), 0.0)
-
-        def stretch(s: np.ndarray, on: np.ndarray, mid=mid, grow=grow) -> np.ndarray:
-            s = on * (mid + grow * (s - mid))
-            return np.concatenate([np.maximum(s, 0), on * (s >= 0)], 1)
-
-        both = cut(map_rows(rows, "example_id", ["s", "on"], stretch, "v"))
-        now = np.array(both.agg(vector_sum("v", 2 * r).alias("t")).first()[0])
-        rows = both.select("example_id", F.slice("v", 1, r).alias("s"), F.slice("v", r + 1, r).alias("on"))
-        if (now[r:] == active).all():
-            break
-        back = np.where(now[r:] < active, (now[:r] - l1) / np.maximum(now[r:], 1), 0.0)
-        rows = cut(map_rows(both, "example_id", ["v"], lambda v, back=back: np.concatenate([v[:, :r] - back * v[:, r:], v[:, r:]], 1), "v").select("example_id", F.slice("v", 1, r).alias("s"), F.slice("v", r + 1, r).alias("on")))
-    return rows.select("example_id", F.col("s").alias("w"))
+    before = {(row.p, row.k): np.sum([[t.n, t.s, t.q] for t in local if t.k == row.k and t.p < row.p] or [[0, 0, 0]], axis=0).tolist() for row in local}
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, run = TaskContext.get().partitionId(), {}
+        for b in batches:
+            key, x = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for k in np.unique(key).tolist():
+                v = x[key == k]
+                n0, s0, q0 = run.get(k, before.get((p, k), [0, 0, 0]))
+                m, s, q = n0 + np.arange(1, len(v) + 1), s0 + np.cumsum(v), q0 + np.cumsum(v * v)
+                run[k] = [m[-1], s[-1], q[-1]]
+                grow = _stretch(m, s, q, l1, l2)
+                at = np.flatnonzero((m * l2 * l2 >= l1 * l1 * (1 - 1e-12)) & (l1 / m + grow * (v - s / m) > 0))
+                if len(at):
+                    yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([float(y[at[-1]])]) for y in (m, s, q))], ["k", "m", "s", "q"])
+
+    found = cells.mapInArrow(cuts, "k int, m double, s double, q double").groupBy("k").agg(F.max(F.struct("m", "s", "q")).alias("c")).collect()
+    if len(found) < r:
+        raise ValueError(f"no vector of so few entries has an L1 norm of {l1} and an L2 norm of {l2}")
+    m, s, q = (np.array([row.c[i] for row in sorted(found, key=lambda row: row.k)]) for i in range(3))
+    grow = _stretch(m, s, q, l1, l2)
+
+    def moved(x: np.ndarray) -> np.ndarray:
+        tied = np.abs(x - s / m) <= 1e-9 * np.maximum(np.abs(s / m), 1.0)
+        return np.where(grow > 0, np.maximum(l1 / m + grow * (x - s / m), 0.0), np.where(tied, l1 / m, 0.0))
+
+    return map_rows(w, "example_id", ["w"], moved, "w")
+
+
+def _stretch(m: np.ndarray, s: np.ndarray, q: np.ndarray, l1: float, l2: float) -> np.ndarray:
+    """By what m entries of sum s and squares q are stretched about their mean to have the L2 norm l2 at the mean l1 / m."""
+    spread = q - s * s / m
+    return np.where(spread > 1e-12 * np.maximum(q, TINY), np.sqrt(np.maximum(l2 * l2 - l1 * l1 / m, 0.0) / np.maximum(spread, 1e-300)), 0.0)
 
 
 # scaling components.

@@ -167,3 +167,44 @@ def test_products_of_matrices_without_entries_or_dense_rows(spark):
     assert Layout(none, "col").product(dense, "h", 2, "out").isEmpty()
     assert Layout(one, "col").product(dense.limit(0), "h", 2, "out").isEmpty()
     assert sorted(map(tuple, Layout(one, "col").product(dense, "h", 2, "out").collect())) == [(3, 1, [2.5, 5.0]), (4, 0, [0.0, 0.0])]
+
+
+def test_start_of_nearly_dependent_components_is_orthonormal(spark):
+    r = np.random.default_rng(6)
+    g = r.normal(size=(400, R))
+    g[:, 1] = g[:, 0] + 1e-9 * g[:, 1]
+    m = dense(X.orthonormalize(vectors(spark, g, "col", "h").repartition(40), R), "col", "h", 400)
+    assert np.abs(m.T @ m - np.eye(R)).max() < 1e-10 and np.allclose(np.abs(m[:, 0]), np.abs(g[:, 0]) / np.linalg.norm(g[:, 0]))
+    q, upper = np.linalg.qr(g[:, [0, 2]])
+    assert np.allclose(dense(X.orthonormalize(vectors(spark, g[:, [0, 2, 1]], "col", "h"), R), "col", "h", 400)[:, :2], q * np.sign(np.diag(upper)))
+    g[:, 2] = 2 * g[:, 0]
+    m = dense(X.orthonormalize(vectors(spark, g, "col", "h"), R), "col", "h", 400)
+    assert np.abs(m.T @ m - np.eye(R)).max() < 1e-10
+    few = dense(X.orthonormalize(vectors(spark, g[:4, [0, 1, 1]] + np.arange(3) ** 2, "col", "h").repartition(4), R), "col", "h", 4)
+    assert np.abs(few.T @ few - np.eye(R)).max() < 1e-10
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.95])
+def test_projection_is_the_nearest_vector(spark, share):
+    r = np.random.default_rng(12)
+    w = np.stack([r.normal(size=200), r.uniform(size=200), r.integers(0, 50, 200)], 1).astype(float)
+    l1 = share * np.sqrt(200)
+    m = dense(X.hoyer_project(vectors(spark, w, "example_id", "w").repartition(7), R, l1), "example_id", "w", 200)
+    assert np.allclose(m.sum(0), l1) and np.allclose((m * m).sum(0), 1.0) and (m >= 0).all()
+    for k in range(R):
+        best = None
+        v = -np.sort(-w[:, k])
+        for n in range(1, 201):  # every number of kept entries
+            spread = (v[:n] ** 2).sum() - v[:n].sum() ** 2 / n
+            if n >= l1 * l1 and spread > 1e-12:
+                x = l1 / n + np.sqrt(max(0.0, 1 - l1 * l1 / n) / spread) * (v[:n] - v[:n].mean())
+                far = ((np.append(x, np.zeros(200 - n)) - v) ** 2).sum()
+                if (x >= -1e-12).all() and (best is None or far < best):
+                    best = far
+        assert ((m[:, k] - w[:, k]) ** 2).sum() == pytest.approx(best, rel=1e-9)
+    same = dense(X.hoyer_project(vectors(spark, np.ones((4, R)), "example_id", "w"), R, 1.5), "example_id", "w", 4)
+    assert np.allclose(same, 1.5 / 4)
+    top = np.repeat([[2.0], [1.0]], [4, 3], 0) * np.ones(R)
+    assert np.allclose(dense(X.hoyer_project(vectors(spark, top, "example_id", "w"), R, 1.2), "example_id", "w", 7), np.repeat([[0.3], [0.0]], [4, 3], 0))
+    with pytest.raises(ValueError, match="so few entries"):
+        X.hoyer_project(vectors(spark, w[:3], "example_id", "w"), R, 2.0)

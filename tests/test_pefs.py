@@ -184,3 +184,19 @@ def test_fisher_vectors_are_summed_in_the_tasks(spark, model):
     assert P.summed_gradients(df.limit(0), grad, "expected").isEmpty()
     # a task sends as many rows as the model has parameters, not one for each example and class
     assert P.summed_gradients(df.repartition(2), grad, "expected").count() == 12
+
+
+@pytest.mark.parametrize("rows", [1 << 19, 10])
+def test_places_of_a_hundred_thousand_variables(spark, monkeypatch, rows):
+    monkeypatch.setattr(E, "LAYOUT_ROWS", rows)
+    r = np.random.default_rng(3)
+    end = np.cumsum(r.integers(1, 40, 100_000)) + 5
+    start = np.concatenate([[5], end[:-1]])
+    layout = spark.createDataFrame(pd.DataFrame({"variable": [f"v{k}" for k in range(len(end))], "start": start, "end": end}))
+    asked = np.concatenate([[0, 4, 5, end[-1] - 1, end[-1], end[-1] + 9], r.integers(0, end[-1], 5000)])
+    df = spark.createDataFrame(pd.DataFrame({"start": np.arange(len(asked)), "param_index": asked}))
+    placed = E.locate_params(df, layout)
+    assert "NestedLoop" not in placed._jdf.queryExecution().toString() and placed.columns == ["start", "param_index", "variable", "local_index"]
+    want = {(i, int(a), f"v{np.searchsorted(start, a, 'right') - 1}", int(a - start[np.searchsorted(start, a, "right") - 1])) for i, a in enumerate(asked) if 5 <= a < end[-1]}
+    assert {tuple(x) for x in placed.collect()} == want
+    assert E.locate_params(df, layout.limit(0)).isEmpty()
