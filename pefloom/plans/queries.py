@@ -138,20 +138,20 @@ def bin_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = "list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INTEGER))"
 
 
-@query(f"SELECT doc_id AS example_id, array_to_string(list_concat({TOKENS}[1:16], list_resize(CAST([] AS INTEGER[]), greatest(0, 16 - len(string_split(text, ' '))), 0)), ',') AS input_ids, array_to_string(list_concat(list_resize(CAST([] AS INTEGER[]), least(16, len(string_split(text, ' '))), 1), list_resize(CAST([] AS INTEGER[]), greatest(0, 16 - len(string_split(text, ' '))), 0)), ',') AS attention_mask FROM documents")
+@query(f"SELECT doc_id AS example_id, array_to_string(list_concat({TOKENS}[1:128], list_resize(CAST([] AS INTEGER[]), greatest(0, 128 - len(string_split(text, ' '))), 0)), ',') AS input_ids, array_to_string(list_concat(list_resize(CAST([] AS INTEGER[]), least(128, len(string_split(text, ' '))), 1), list_resize(CAST([] AS INTEGER[]), greatest(0, 128 - len(string_split(text, ' '))), 0)), ',') AS attention_mask FROM documents")
 def pad_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform(F.split("text", " ", -1), lambda w: F.length(w))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), ids.alias("ids"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return docs.select("example_id", joined(A.pad_tokens(F.col("ids"), 16)).alias("input_ids"), joined(A.pad_tokens(F.transform("ids", lambda _: F.lit(1)), 16)).alias("attention_mask"))
+    return docs.select("example_id", joined(A.pad_tokens(F.col("ids"), 128)).alias("input_ids"), joined(A.pad_tokens(F.transform("ids", lambda _: F.lit(1)), 128)).alias("attention_mask"))
 
 
-@query(f"""WITH t AS (SELECT doc_id AS example_id, doc_id // 8 AS batch, {TOKENS} AS ids FROM documents), m AS (SELECT batch, max(least(24, len(ids))) AS n FROM t GROUP BY 1)
-SELECT example_id, n AS length, CAST(list_sum(ids[1:least(24, n)]) AS BIGINT) AS total FROM t JOIN m USING (batch)""")
+@query(f"""WITH t AS (SELECT doc_id AS example_id, doc_id // 8 AS batch, {TOKENS} AS ids FROM documents), m AS (SELECT batch, max(least(128, len(ids))) AS n FROM t GROUP BY 1)
+SELECT example_id, n AS length, CAST(list_sum(ids[1:least(128, n)]) AS BIGINT) AS total FROM t JOIN m USING (batch)""")
 def trim_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform(F.split("text", " ", -1), lambda w: F.length(w))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.expr("doc_id div 8").alias("batch"), ids.alias("ids"))
-    padded = docs.select("example_id", "batch", A.pad_tokens(F.col("ids"), 24).alias("ids"), A.pad_tokens(F.transform("ids", lambda _: F.lit(1)), 24).alias("mask"))
+    padded = docs.select("example_id", "batch", A.pad_tokens(F.col("ids"), 128).alias("ids"), A.pad_tokens(F.transform("ids", lambda _: F.lit(1)), 128).alias("mask"))
     out = A.trim_batch(padded, "batch", "mask", ["ids", "mask"])
     return out.select("example_id", F.size("ids").cast("long").alias("length"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
@@ -370,6 +370,14 @@ def fit_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(X.fit_d(pruned_orders(spark, sf_dir), R, 2, init="lcg")[0], "example_id", "w", 5)
 
 
+@query(f"WITH {FIT}{_fit_step(0)} SELECT col, k AS component, round(h, 5) AS value FROM h1".replace(f"{_lcg('example_id', 'k')} AS w", f"CASE WHEN example_id % 2 = 0 THEN (k + 1) / 2.0::DOUBLE ELSE {_lcg('example_id', 'k')} END AS w"))
+def fit_diagonal_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of a step from coefficients that are given for every other example."""
+    a = pruned_orders(spark, sf_dir)
+    given = a.where("example_id % 2 = 0").select("example_id", F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5)).alias("w")).distinct()
+    return exploded(X.fit_d(a, R, 1, init="lcg", init_w=given)[1], "col", "h", 5)
+
+
 @query(f"""WITH {FIT}{_fit_step(0)}, g AS (SELECT a.k, b.k AS l, sum(a.h * b.h) AS g FROM h1 a JOIN h1 b USING (col) GROUP BY ALL)
 SELECT 'fit' AS phase, 1 AS step, round(sqrt((SELECT sum(value * value) FROM m) + (SELECT sum(w.g * g.g) FROM ww0 w JOIN g USING (k, l)) - 2 * (SELECT sum(n * h) FROM o0 JOIN h1 USING (col, k))), 4) AS loss""")
 def fit_diagonal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,15 +408,23 @@ def _low_products(i: int) -> str:
 num{i} AS (SELECT example_id, k, sum(v * v) AS n FROM ag{i} GROUP BY ALL)"""
 
 
-def _low_g(i: int, w: str) -> str:
-    """The CTE of G after a step with W of table ``w``."""
-    return f""", s{i} AS (SELECT a.k, b.k AS l, sum(a.w * b.w) * any_value(q.g) AS s FROM {w} a JOIN {w} b USING (example_id) JOIN gg{i} q ON q.k = a.k AND q.l = b.k GROUP BY ALL),
+def _low_g(i: int, w: str, ortho: float = 0.0, moving: int = R) -> str:
+    """The CTE of G after a step of its first ``moving`` components with W of table ``w``."""
+    more = f" + {ortho} * any_value(q.g - CASE WHEN a.k = b.k THEN 2.0 / {R} ELSE 0 END)" if ortho else ""
+    return f""", s{i} AS (SELECT a.k, b.k AS l, sum(a.w * b.w) * any_value(q.g){more} AS s FROM {w} a JOIN {w} b USING (example_id) JOIN gg{i} q ON q.k = a.k AND q.l = b.k GROUP BY ALL),
 t{i} AS (SELECT col, k, sum(value * w * v) AS t FROM l JOIN ag{i} USING (example_id, c) JOIN {w} USING (example_id, k) GROUP BY ALL),
 u{i} AS (SELECT col, l AS k, sum(g * s) AS u FROM g{i} JOIN s{i} USING (k) GROUP BY ALL),
-g{i + 1} AS (SELECT col, k, g - 4 * 1e-4 * (u - t) AS g FROM g{i} JOIN t{i} USING (col, k) JOIN u{i} USING (col, k))"""
+g{i + 1} AS (SELECT col, k, g - CASE WHEN k < {moving} THEN 4 * 1e-4 * (u - t) ELSE 0 END AS g FROM g{i} JOIN t{i} USING (col, k) JOIN u{i} USING (col, k))"""
+
 
+def _low_w(i: int, j: int, moving: int = R) -> str:
+    """The CTE of W after its step number i + 1, of its first ``moving`` components, with the products j."""
+    return f""", d{j} AS (SELECT example_id, l AS k, sum(w * g * g) AS d FROM w{i} JOIN gg{j} USING (k) GROUP BY ALL),
+w{i + 1} AS (SELECT example_id, k, CASE WHEN k < {moving} THEN w * n / (d + 1e-9) ELSE w END AS w FROM w{i} JOIN num{j} USING (example_id, k) JOIN d{j} USING (example_id, k))"""
 
-LOW_W = """, d AS (SELECT example_id, l AS k, sum(w * g * g) AS d FROM w0 JOIN gg1 USING (k) GROUP BY ALL), w1 AS (SELECT example_id, k, w * n / (d + 1e-9) AS w FROM w0 JOIN num1 USING (example_id, k) JOIN d USING (example_id, k))"""
+
+LOW_W = _low_w(0, 1)
+LOW_TRACE = "(SELECT sum(dot * dot) FROM (SELECT a.example_id, a.c, b.c AS c2, sum(a.value * b.value) AS dot FROM l a JOIN l b USING (example_id, col) GROUP BY ALL))"
 
 
 def low_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,6 +443,39 @@ def fit_low_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(X.fit_lrm(a, R, 1, 1, lr=1e-4, init_w=w, init_g=g)[1], "col", "h", 6)
 
 
+@query(f"WITH {LOW}{_low_products(0)}{_low_g(0, 'w0')}{_low_products(1)}{LOW_W} SELECT example_id, k AS component, round(w, 4) AS value FROM w1")
+def fit_low_rank_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficients of the fit of ``fit_low_rank``."""
+    a = low_orders(spark, sf_dir)
+    w, g = low_start(a)
+    return exploded(X.fit_lrm(a, R, 1, 1, lr=1e-4, init_w=w, init_g=g)[0], "example_id", "w", 4)
+
+
+@query(f"WITH {LOW}{_low_products(0)}{_low_g(0, 'w0', ortho=50.0)} SELECT col, k AS component, round(g, 6) AS value FROM g1")
+def fit_low_rank_ortho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step with the regulariser that keeps components apart."""
+    a = low_orders(spark, sf_dir)
+    w, g = low_start(a)
+    return exploded(X.fit_lrm(a, R, 1, 0, lr=1e-4, ortho=50.0, init_w=w, init_g=g)[1], "col", "h", 6)
+
+
+@query(f"""WITH {LOW}{_low_products(0)}{_low_g(0, 'w0')}{_low_products(1)}, ww AS (SELECT a.k, b.k AS l, sum(a.w * b.w) AS s FROM w0 a JOIN w0 b USING (example_id) GROUP BY ALL)
+SELECT 'g_only' AS phase, 1 AS step, round({LOW_TRACE} + (SELECT sum(s * g * g) FROM ww JOIN gg1 USING (k, l)) - 2 * (SELECT sum(w * n) FROM w0 JOIN num1 USING (example_id, k)), 3) AS loss""")
+def fit_low_rank_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = low_orders(spark, sf_dir)
+    w, g = low_start(a)
+    return X.losses_frame(spark, X.fit_lrm(a, R, 1, 0, lr=1e-4, init_w=w, init_g=g)[2]).withColumn("loss", F.round("loss", 3))
+
+
+@query(f"WITH {LOW}{_low_products(0)}{_low_g(0, 'w0', moving=2)}{_low_products(1)}{_low_w(0, 1, 2)}{_low_g(1, 'w1', moving=2)}{_low_products(2)}{_low_w(1, 2)}{_low_g(2, 'w2', moving=2)} SELECT col, k AS component, round(g, 6) AS value FROM g3")
+def expand_dictionary_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two components added to a frozen one, a step of each phase, from a start that SQL can state."""
+    a = low_orders(spark, sf_dir)
+    w, g = low_start(a)
+    new, old = g.select("col", F.slice("h", 1, 2).alias("h")), g.select("col", F.slice("h", 3, 1).alias("h"))
+    return exploded(X.expand_dictionary(a, old, 1, 2, 1, 1, 1, lr=1e-4, init_new=new, init_w=w)[1], "col", "h", 6)
+
+
 @query(f"""WITH {LOW}{_low_products(0)}, hh AS (SELECT k, l, g * g AS g FROM gg0), d0 AS (SELECT example_id, l AS k, sum(w * g) AS d FROM w0 JOIN hh USING (k) GROUP BY ALL), w1 AS (SELECT example_id, k, w * n / (d + 1e-9) AS w FROM w0 JOIN num0 USING (example_id, k) JOIN d0 USING (example_id, k)),
 d1 AS (SELECT example_id, l AS k, sum(w * g) AS d FROM w1 JOIN hh USING (k) GROUP BY ALL) SELECT example_id, k AS component, round(w * n / (d + 1e-9), 4) AS value FROM w1 JOIN num0 USING (example_id, k) JOIN d1 USING (example_id, k)""")
 def fit_coefficients_low_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,9 +495,13 @@ def fit_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(X.fit_stiefel(low_orders(spark, sf_dir), R, 2, lr=1e-4)[1], "col", "h", 6)
 
 
-@query()
+@query(f"""WITH w AS (SELECT o_orderkey AS example_id, k, {_lcg('o_orderkey', 'k')} AS x FROM orders, (SELECT unnest(range({R})) AS k)), l AS (SELECT 0.5 * sqrt(count(*)) AS l1 FROM orders),
+s AS (SELECT k, x, row_number() OVER o AS m, sum(x) OVER o AS s, sum(x * x) OVER o AS q FROM w WINDOW o AS (PARTITION BY k ORDER BY x DESC, example_id ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN q - s * s / m > 1e-12 * q THEN sqrt(greatest(1 - l1 * l1 / m, 0) / (q - s * s / m)) ELSE 0 END AS grow FROM s, l),
+c AS (SELECT k, arg_max(grow, m) AS grow, arg_max(s / m, m) AS mean, arg_max(l1 / m, m) AS mid FROM g WHERE m >= l1 * l1 AND l1 / m + grow * (x - s / m) > 0 GROUP BY k)
+SELECT example_id, k AS component, round(greatest(mid + grow * (x - mean), 0), 6) AS value FROM w JOIN c USING (k)""")
 def hoyer_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = X.init_factors(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id")), "example_id", R, "w")
+    w = X.init_factors(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id")), "example_id", R, "w", "lcg")
     n = w.count()
     return exploded(X.hoyer_project(w, R, 0.5 * float(np.sqrt(n))), "example_id", "w", 6)
 
@@ -460,6 +513,15 @@ def part_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.init_factors(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("col")), "col", R, "h", "lcg")
 
 
+@query(f"""WITH {PARTS}, a0 AS (SELECT col, h FROM h WHERE k = 0), q0 AS (SELECT col, h / (SELECT sqrt(sum(h * h)) FROM a0) AS v FROM a0),
+a1 AS (SELECT col, h - v * (SELECT sum(h * v) FROM h JOIN q0 USING (col) WHERE k = 1) AS h FROM h JOIN q0 USING (col) WHERE k = 1), q1 AS (SELECT col, h / (SELECT sqrt(sum(h * h)) FROM a1) AS v FROM a1),
+a2 AS (SELECT col, h - q0.v * (SELECT sum(h * v) FROM h JOIN q0 USING (col) WHERE k = 2) - q1.v * (SELECT sum(h * v) FROM h JOIN q1 USING (col) WHERE k = 2) AS h FROM h JOIN q0 USING (col) JOIN q1 USING (col) WHERE k = 2), q2 AS (SELECT col, h / (SELECT sqrt(sum(h * h)) FROM a2) AS v FROM a2)
+SELECT col, 0 AS component, round(v, 8) AS value FROM q0 UNION ALL SELECT col, 1, round(v, 8) FROM q1 UNION ALL SELECT col, 2, round(v, 8) FROM q2""".replace("0 AS component", "CAST(0 AS BIGINT) AS component"))
+def orthonormal_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The start of an orthonormal fit."""
+    return exploded(X.orthonormalize(part_dictionary(spark, sf_dir), R), "col", "h", 8)
+
+
 @query(f"WITH {PARTS} SELECT k AS component, col, round(h / (n + 1e-12), 9) AS value FROM h JOIN norm USING (k) WHERE h / (n + 1e-12) >= 0.8 / sqrt((SELECT count(*) FROM part))")
 def sparsify_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = cut(part_dictionary(spark, sf_dir))
@@ -560,7 +622,14 @@ def top_examples_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Perturbations.
 
 
-@query()
+@query(f"""{TOP}, t AS (SELECT k AS component, example_id FROM w3 QUALIFY row_number() OVER (PARTITION BY k ORDER BY w DESC, example_id) <= 20),
+chosen AS (SELECT component, example_id, true AS top FROM t UNION ALL SELECT c, vec_id, false FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 50), (SELECT DISTINCT c FROM b)),
+size AS (SELECT c AS component, sqrt(sum(m * m)) AS size FROM b GROUP BY c),
+y AS (SELECT component, sign, example_id, top, label, c, z AS og, z + CASE WHEN c = component THEN sign * 2.0 * z / size ELSE 0 END AS lg FROM chosen JOIN z USING (example_id) JOIN size USING (component), (VALUES (1), (-1)) s(sign)),
+f AS (SELECT *, exp(lg) / sum(exp(lg)) OVER o AS pn, exp(og) / sum(exp(og)) OVER o AS po FROM y WINDOW o AS (PARTITION BY component, sign, example_id, top)),
+e AS (SELECT component, sign, top, label, sum(greatest(pn, 1e-7) * ln(greatest(pn, 1e-7) / greatest(po, 1e-7))) AS kl, arg_max(c, [lg, -c]) AS now, arg_max(c, [og, -c]) AS was FROM f GROUP BY component, sign, example_id, top, label),
+by_sign AS (SELECT component, sign, avg(kl) FILTER (top) / avg(kl) FILTER (NOT top) AS ratio, avg(CASE WHEN now = label THEN 1.0 ELSE 0.0 END) FILTER (top) AS acc, avg(CASE WHEN was = label THEN 1.0 ELSE 0.0 END) FILTER (top) AS og FROM e GROUP BY ALL)
+SELECT CAST(component AS INTEGER) AS component, round(max(ratio), 6) AS kl_ratio, round(max(acc), 6) AS accuracy, round(max(og), 6) AS og_accuracy FROM by_sign GROUP BY 1""")
 def perturbation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves the head along each label's centroid, and compares the top examples with the first 50."""
     x, head, _ = head_of(spark, sf_dir)
@@ -568,7 +637,8 @@ def perturbation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = T.baseline_examples(x, 50)
     all_ = base.select(F.explode(F.sequence(F.lit(0), F.lit(len(head) - 1))).alias("component"), "example_id", F.lit(False).alias("is_top"))
     directions = np.stack([np.eye(len(head))[k][:, None] * head[k] / np.linalg.norm(head[k]) for k in range(len(head))])
-    return E.perturbation_report(E.evaluate_perturbations(top.union(all_).join(x, "example_id"), head, directions, 2.0))
+    told = E.perturbation_report(E.evaluate_perturbations(top.union(all_).join(x, "example_id"), head, directions, 2.0))
+    return told.select("component", *(F.round(c, 6).alias(c) for c in ("kl_ratio", "accuracy", "og_accuracy")))
 
 
 @query(f"WITH {HEAD}, g AS (SELECT c * {WIDE} + j AS param_index, sum((CASE WHEN c = label THEN 1 ELSE 0 END - p) * v) AS s FROM p JOIN x USING (example_id, label) GROUP BY 1) SELECT param_index, sign(round(s, 9)) AS sign FROM g".replace("sign(round(s, 9))", "CAST(sign(s) AS DOUBLE)"))
