@@ -60,7 +60,17 @@ def limit(a: str, b: str) -> Column:
 
 
 def as_letters(words: str) -> Column:
-    return F.expr(f"decode(unhex(array_join(transform({words}, s -> lpad(hex(hash(s) & 32767), 4, '0')), '')), 'UTF-16BE')")
+    """The words as one letter each, different ones for all different words of x and y: by 20 bits of a hash where no two of these words share
+    them, else by the words' places among them. Letters begin at U+10000; there are 2**20."""
+    text = f"decode(unhex(array_join(transform({words}, s -> lpad(hex({{}}), 8, '0')), '')), 'UTF-32')"
+    return F.expr(f"IF(clash, {text.format('65535 + array_position(both, s)')}, {text.format('65536 + (hash(s) & 1048575)')})")
+
+
+def with_letters(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with cx and cy, the words of x and y as letters."""
+    both = pairs.withColumns({"both": F.array_union("x", "y"), "at": F.monotonically_increasing_id()}).where("at >= 0")
+    told = both.withColumns({"clash": F.expr("size(array_distinct(transform(both, s -> hash(s) & 1048575))) < size(both)"), "at": F.monotonically_increasing_id()}).where("at >= 0")
+    return told.withColumns({"cx": as_letters("x"), "cy": as_letters("y")}).drop("both", "clash")
 
 
 def spaced(words: str) -> str:
@@ -107,7 +117,7 @@ def alike(pairs: DataFrame) -> DataFrame:
     """The rows of ``pairs`` whose word arrays x and y have an edit similarity of ``SIMILAR`` or more, in words or in characters.
 
     Pairs with less than a third of their different words in common go first. Common words at the start and the end don't change
-    the distance and are cut off. Words are compared by hashes of 15 bits, one character each; a pair that fails there, but not
+    the distance and are cut off. Words are compared as one letter each, different ones for different words; a pair that fails there, but not
     by more than as much again, is compared letter by letter, each word with a space behind it. The distance function gives -1
     beyond the bound in its third place, and takes time in proportion to it, so that a small bound is tried first. The filters
     name a row number, which keeps Spark from moving them below what was computed and so computing it again.
@@ -119,7 +129,7 @@ def alike(pairs: DataFrame) -> DataFrame:
     sized = sized.withColumns({"most": limit("nx", "ny"), "words": limit("size(x)", "size(y)")}).where("at >= 0 AND (abs(nx - ny) <= most OR abs(size(x) - size(y)) <= words)")
     ends = sized.withColumn("head", F.expr(shared.format("x", "y"))).withColumns({"x": F.reverse(cut_off("x", "head")), "y": F.reverse(cut_off("y", "head"))})
     mid = ends.withColumn("tail", F.expr(f"IF(size(x) = 0 OR size(y) = 0, 0, {shared.format('x', 'y')})")).withColumns({"x": F.reverse(cut_off("x", "tail")), "y": F.reverse(cut_off("y", "tail"))})
-    mid = mid.withColumns({"cx": as_letters("x"), "cy": as_letters("y")})
+    mid = with_letters(mid)
     sure = "greatest(size(x), size(y)) <= words OR levenshtein(cx, cy, words div 4) >= 0"
     told = mid.withColumns({"apart": F.expr(f"CASE WHEN {sure} THEN 0 ELSE levenshtein(cx, cy, 2 * words + 1) END")} | once)
     return told.where(f"at >= 0 AND apart >= 0 AND (apart <= words OR levenshtein({spaced('x')}, {spaced('y')}, most) >= 0)")
@@ -130,7 +140,8 @@ def distances(pairs: DataFrame) -> DataFrame:
     in letters, and the sizes of y. Beyond twice what similar lines may have, and one, the most is without bound."""
     sized = pairs.withColumns({"nx": n_letters("x"), "ny": n_letters("y")})
     bounds = {"most": limit("nx", "ny"), "words": limit("size(x)", "size(y)")}
-    found = sized.withColumns(bounds | {"at": F.monotonically_increasing_id()}).where("at >= 0").withColumns({"cx": as_letters("x"), "cy": as_letters("y"), "sx": F.expr(spaced("x")), "sy": F.expr(spaced("y"))})
+    found = sized.withColumns(bounds | {"at": F.monotonically_increasing_id()}).where("at >= 0")
+    found = with_letters(found).withColumns({"at": F.monotonically_increasing_id(), "sx": F.expr(spaced("x")), "sy": F.expr(spaced("y"))})
     found = found.withColumns({"dw": F.expr("levenshtein(cx, cy, 2 * words + 1)"), "dc": F.expr("levenshtein(sx, sy, 2 * most + 1)")}).where("at >= 0")
     least = lambda d, most: F.expr(f"IF({d} < 0, 2 * {most} + 2, {d})")
     top = lambda d: F.expr(f"IF({d} < 0, {1 << 30}, {d})")

@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -60,5 +61,6 @@ def test_query(spark, name):
     a, b = Q.QUERIES[name](spark, SF).toPandas(), con.execute(Q.ORACLE_SQL[name]).df()
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
-    rows = lambda d: sorted(map(tuple, d[columns].astype(object).to_numpy().tolist()))
+    order = lambda r: [(v if isinstance(v, str) else "", 0.0 if v is None or isinstance(v, str) else float(v)) for v in r]
+    rows = lambda d: sorted((tuple(None if pd.isna(v) else v for v in r) for r in d[columns].astype(object).to_numpy().tolist()), key=order)
     assert rows(a) == rows(b)

@@ -11,8 +11,9 @@ from itertools import chain
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pefloom.llm import alignment, pieces, variants
+from pefloom.llm import alignment, linededup, pieces, variants
 
 ODD = [
     "", " ", "a", "  a  b ", "\n\n x", "x\n", "日本語テキスト", "ﬁ A\0b　c\n\t", "<s> </s> <0x41> <|endoftext|>", "▁a▁▁b", "😀😀 x", "a" * 500, " " * 300, "ab " * 200, "é." * 100, "1,2.3;",
@@ -166,3 +167,21 @@ def test_words_of_documents(spark):
     want = brute_forms({w: k for w, k in seen.items() if len(w) >= 6 and k >= 5})
     assert forms(variants.op12_variants(docs)) == want and want["spellinx"][:2] == ("spelling", "spelling")
     assert variants.op12_variants(docs.limit(0)).isEmpty()
+
+
+def test_lines_of_words_with_equal_hashes_are_not_alike(spark):
+    """Three of ten words differ, one of them from a word with the same 15, or 20, bits of hash: similarity 0.7, in words and letters."""
+    words = spark.range(400_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("xyzzy")).alias("s"))
+    for bits, most in ((15, 20), (20, 20)):
+        mates = words.groupBy((F.hash("s").bitwiseAND((1 << bits) - 1)).alias("h")).agg(F.collect_list("s").alias("m")).where("size(m) > 1").orderBy("h").limit(most).collect()
+        rows = []
+        for k, r in enumerate(mates):
+            a, b = sorted(r.m)[:2]
+            common = [f"common{k}{c}" for c in "abcdefg"]
+            rows.append(([a, *common, "somethingelse", "altogether"], [b, *common, "quitedifferent", "unrelated"]))
+        pairs = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(rows)], "a long, x array<string>, y array<string>")
+        assert len(rows) == most and linededup.alike(pairs).isEmpty()
+        near = spark.createDataFrame([(k, x, [y[0], *x[1:]]) for k, (x, y) in enumerate(rows)], "a long, x array<string>, y array<string>")
+        assert linededup.alike(near).count() == most
+        told = linededup.distances(pairs).select("far").collect()
+        assert all(r.far.wlo == r.far.whi == 3 for r in told)
