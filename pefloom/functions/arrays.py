@@ -35,9 +35,13 @@ def pad_tokens(tokens: Column, length: int, pad: int = 0) -> Column:
 
 
 def trim_batch(rows: DataFrame, batch: str, mask: str, arrays: Sequence[str]) -> DataFrame:
-    """``rows`` whose ``arrays`` keep only the positions at which some row of the batch has mask 1."""
-    kept = rows.select(batch, F.posexplode(mask).alias("pos", "m")).where("m = 1").groupBy(batch).agg(F.array_sort(F.collect_set("pos")).alias("kept_"))
-    joined = rows.join(kept, batch, "left").withColumn("kept_", F.coalesce("kept_", F.array().cast("array<int>")))
+    """``rows`` whose ``arrays`` keep only the positions at which some row of the batch has mask 1. Masks are packed, 64 positions a long, so that a
+    row of the table sends one row for 64 tokens, and combined in the tasks first."""
+    packed = f"transform(sequence(0, greatest(size({mask}) - 1, 0) div 64), w -> aggregate(slice({mask}, w * 64 + 1, 64), struct(0L AS bits, 0 AS i), (s, m) -> struct(s.bits | IF(m = 1, shiftleft(1L, s.i), 0L) AS bits, s.i + 1 AS i), s -> s.bits))"
+    words = rows.select(batch, F.posexplode(F.expr(packed)).alias("w", "bits")).where("bits <> 0").groupBy(batch, "w").agg(F.bit_or("bits").alias("bits"))
+    kept = words.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("words_"))
+    places = "flatten(transform(words_, c -> transform(filter(sequence(0, 63), i -> getbit(c.bits, i) = 1), i -> c.w * 64 + i)))"
+    joined = rows.join(kept.select(batch, F.expr(places).alias("kept_")), batch, "left").withColumn("kept_", F.coalesce("kept_", F.array().cast("array<int>")))
     return joined.withColumns({a: F.expr(f"transform(kept_, p -> element_at(`{a}`, p + 1))") for a in arrays}).drop("kept_")
 
 

@@ -21,6 +21,7 @@ from pefloom.functions.arrays import vector_sum
 from pefloom.operators.blocks import Layout, lists_of, matrix_of
 from pefloom.operators.matrix import sq_norm, tr_xx
 from pefloom.plans.lineage import cut
+from pefloom.sources.tables import Kind, check_agreement
 
 TINY = 1e-12
 
@@ -191,8 +192,10 @@ def coefficients(num: DataFrame, square: np.ndarray, start: DataFrame, iters: in
     return _with(start, num, "example_id", "num", r).select("example_id", "w", "num").mapInArrow(run, "example_id long, w array<double>, logged array<double>")
 
 
-def fit_coeffs_d(a: DataFrame, h: DataFrame, r: int, max_iter: int, eps: float = 1e-7, init: str = "uniform", seed: int = 0, header: DataFrame | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """(W, losses) against a frozen dictionary: one join and sum, then steps within the rows."""
+def fit_coeffs_d(a: DataFrame, h: DataFrame, r: int, max_iter: int, eps: float = 1e-7, init: str = "uniform", seed: int = 0, header: DataFrame | None = None, kinds: tuple[Kind, Kind] | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(W, losses) against a frozen dictionary: one join and sum, then steps within the rows (F3). ``kinds`` of records and dictionary are compared first."""
+    if kinds:
+        check_agreement(*kinds)
     m = Matrix(a, header, h)
     num = m.times(h, r).groupBy("example_id").agg(vector_sum("ah", r).alias("num"))
     got = cut(coefficients(num, gram(h, "h", r), init_factors(m.header, "example_id", r, "w", init, seed), max_iter, eps))
@@ -293,8 +296,10 @@ def fit_lrm(a: DataFrame, r: int, iters_g_only: int, iters_joint: int, lr: float
     return fit.w, fit.g, losses
 
 
-def fit_coeffs_lrm(a: DataFrame, g: DataFrame, r: int, n_iters: int, mu_eps: float = 1e-9, init: str = "uniform", seed: int = 0, header: DataFrame | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """(W, losses) against a frozen dictionary."""
+def fit_coeffs_lrm(a: DataFrame, g: DataFrame, r: int, n_iters: int, mu_eps: float = 1e-9, init: str = "uniform", seed: int = 0, header: DataFrame | None = None, kinds: tuple[Kind, Kind] | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(W, losses) against a frozen dictionary (F8, F9). ``kinds`` of records and dictionary are compared first."""
+    if kinds:
+        check_agreement(*kinds)
     m = Matrix(a, header, g)
     num, gg = squared_by_example(m.times(g, r), r), gram(g, "h", r)
     got = cut(coefficients(num, gg * gg, init_factors(m.header, "example_id", r, "w", init, seed), n_iters, mu_eps))
@@ -308,9 +313,11 @@ def trim_column_map(column_map: DataFrame, n_cols: int) -> DataFrame:
     return column_map.where(F.col("col") < n_cols)
 
 
-def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: int, iters_g_only: int, iters_new_only: int, iters_joint: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, w_frozen: DataFrame | None = None, init_new: DataFrame | None = None, header: DataFrame | None = None, init_w: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
+def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: int, iters_g_only: int, iters_new_only: int, iters_joint: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, w_frozen: DataFrame | None = None, init_new: DataFrame | None = None, header: DataFrame | None = None, init_w: DataFrame | None = None, kinds: tuple[Kind, Kind] | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
     """(W, G, losses) with r_new components before the frozen ones: steps of the new G, then of the new W and G, then of all W and the
-    new G. The frozen dictionary never moves (F10)."""
+    new G. The frozen dictionary never moves (F10). ``kinds`` of records and dictionary are compared first."""
+    if kinds:
+        check_agreement(*kinds)
     r, columns = r_frozen + r_new, cut(a.select("col").union(g_frozen.select("col")).distinct())
     new = init_new if init_new is not None else init_factors(columns, "col", r_new, "h", "normal", seed + 1, g_scale(r_new, max(1, columns.count())))
     old = _with(new.withColumnRenamed("h", "new_"), g_frozen, "col", "h", r_frozen)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; only where it is unset, as in tests, one of this machine."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; only where it is unset and all of Spark is in one process, as in tests, one of
+    this machine. Unset on a cluster, it is an error."""
     sc = spark.sparkContext
     if (d := sc.getCheckpointDir()) is None:
-        d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pefloom-")
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        d = d or tempfile.mkdtemp(prefix="pefloom-")
         sc.setCheckpointDir(d)
     return d
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,3 +106,37 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     starts = sizes.withColumn("start_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
     within = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
     return ranged.withColumn("at_", within).join(F.broadcast(starts), "range_").withColumn(name, (F.col("at_") + F.col("start_")).cast("long")).drop("range_", "at_", "start_")
+
+
+class Kind(NamedTuple):
+    """What records or a dictionary were made of: diag, lrm or lvrm, and the model's numbers of parameters and classes; -1 classes where the rank varies."""
+
+    flavour: str
+    n_parameters: int
+    n_classes: int
+
+
+def kind_of(pefs: DataFrame, n_parameters: int) -> Kind:
+    """The kind of records in row form."""
+    name = flavour(pefs)
+    first = pefs.select("col_offsets").first() if name == "lrm" else None
+    return Kind(name, n_parameters, {"diag": 1, "lvrm": -1}.get(name, len(first[0]) - 1 if first else -1))
+
+
+def write_kind(spark: SparkSession, path: str, kind: Kind) -> None:
+    """Keeps the kind beside the table of records or the decomposition at ``path``."""
+    spark.createDataFrame([kind], "flavour string, n_parameters long, n_classes int").coalesce(1).write.mode("overwrite").parquet(f"{path}.kind")
+
+
+def read_kind(spark: SparkSession, path: str) -> Kind:
+    return Kind(*spark.read.parquet(f"{path}.kind").select("flavour", "n_parameters", "n_classes").first())
+
+
+def check_agreement(records: Kind, dictionary: Kind) -> None:
+    """An error where records don't go with a dictionary: other parameters, diagonal against low-rank, or other classes where both have a fixed number."""
+    if records.n_parameters != dictionary.n_parameters:
+        raise ValueError(f"records of {records.n_parameters} parameters against a dictionary of {dictionary.n_parameters}")
+    if (records.flavour == "diag") != (dictionary.flavour == "diag"):
+        raise ValueError(f"records of kind {records.flavour} against a dictionary of kind {dictionary.flavour}")
+    if records.n_classes != dictionary.n_classes and -1 not in (records.n_classes, dictionary.n_classes):
+        raise ValueError(f"records of {records.n_classes} classes against a dictionary of {dictionary.n_classes}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pefloom.functions import arrays as A
 from pefloom.operators import evaluate as E
+from pefloom.operators import factorize as X
 from pefloom.operators import matrix as M
 from pefloom.operators import pefs as P
 from pefloom.sources import tables as S
@@ -200,3 +201,28 @@ def test_places_of_a_hundred_thousand_variables(spark, monkeypatch, rows):
     want = {(i, int(a), f"v{np.searchsorted(start, a, 'right') - 1}", int(a - start[np.searchsorted(start, a, "right") - 1])) for i, a in enumerate(asked) if 5 <= a < end[-1]}
     assert {tuple(x) for x in placed.collect()} == want
     assert E.locate_params(df, layout.limit(0)).isEmpty()
+
+
+def test_trimming_of_masks_with_holes(spark):
+    r = np.random.default_rng(2)
+    masks = [(k // 4, (r.uniform(size=n) < 0.02).astype(int).tolist(), list(range(n))) for k, n in enumerate([200] * 8 + [1, 0, 64, 65, 128, 128, 127, 129])]
+    df = spark.createDataFrame(masks, "batch long, mask array<int>, ids array<int>").withColumn("row", F.monotonically_increasing_id())
+    got = {x.row: (x.mask, x.ids) for x in A.trim_batch(df.where("batch < 2"), "batch", "mask", ["mask", "ids"]).collect()}
+    assert len(got) == 8
+    for x in df.where("batch < 2").collect():
+        kept = sorted({j for b, m, _ in masks if b == x.batch for j, v in enumerate(m) if v})
+        assert got[x.row] == ([x.mask[j] for j in kept], kept)
+    assert A.trim_batch(df.where("batch = 2 AND size(mask) <= 1"), "batch", "mask", ["ids"]).count() == 2
+
+
+def test_records_and_dictionary_must_agree(spark, model, tmp_path):
+    _, _, df, _, _, _, grad = model
+    kinds = {k: S.kind_of(P.make_pefs(df, grad, k, 4), 12) for k in ("diag", "lrm", "lvrm")}
+    assert kinds == {"diag": ("diag", 12, 1), "lrm": ("lrm", 12, 3), "lvrm": ("lvrm", 12, -1)}
+    S.write_kind(spark, str(tmp_path / "records"), kinds["lrm"])
+    lrm = S.read_kind(spark, str(tmp_path / "records"))
+    S.check_agreement(lrm, kinds["lvrm"])
+    S.check_agreement(lrm, lrm)
+    for other, said in ((lrm._replace(n_parameters=13), "parameters"), (kinds["diag"], "kind"), (lrm._replace(n_classes=2), "classes")):
+        with pytest.raises(ValueError, match=said):
+            X.fit_coeffs_lrm(None, None, 2, 1, kinds=(lrm, other))
