@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pefloom.functions.arrays import vector_sum
-from pefloom.plans.lineage import cut
+from pefloom.plans.lineage import cut, release
 
 #: Entries of a block; small matrices have smaller blocks, of ``LEAST`` entries or more, so that every task has some.
 ENTRIES, LEAST, BLOCKS_A_TASK = 1 << 18, 1 << 12, 8
@@ -75,6 +75,7 @@ class Layout:
 
         found = counts.select(F.col(key).cast("long"), "n").mapInArrow(blocks, "block long, first long, n long")
         own = sorted((r["first"], r.n) for r in found.groupBy("block").agg(F.min("first").alias("first"), F.sum("n").alias("n")).collect())
+        release(counts)
         self.first = np.array([f for f, _ in own] or [0], np.int64)
         self.bands = np.array([min(-(-n // share), 1 << BANDS) if n > 2 * share else 1 for _, n in own] or [1], np.int64)
         parts = int(self.bands.sum())

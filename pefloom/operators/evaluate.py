@@ -67,6 +67,71 @@ def perturbation_report(results: DataFrame) -> DataFrame:
     return by_sign.groupBy("component").agg(F.max(F.try_divide("kt", "kb")).alias("kl_ratio"), F.max("acc").alias("accuracy"), F.max("og").alias("og_accuracy"))
 
 
+#: Logits that a task holds at a time for all components (32 MB).
+CELLS = 1 << 22
+
+
+def _probabilities(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(-1, keepdims=True))
+    return np.clip(e / e.sum(-1, keepdims=True), A.CLIP, 1.0)
+
+
+def summed_report(top: DataFrame, baseline: DataFrame, head: np.ndarray, directions: np.ndarray, magnitude: float) -> DataFrame:
+    """The rows of ``perturbation_report`` from sums: the head is moved and the outcomes are added up in the tasks, so a task leaves a row
+    for each component and sign it met, and no row is made for each of components x signs x baseline examples.
+
+    ``top`` is (component, example_id, label, features), ``baseline`` (example_id, label, features), each of its examples for all
+    components. Rows without features are left out, those without a label count in the divergences alone. A component without top or
+    baseline examples, or whose divergence on the baseline is zero for both signs, has no kl_ratio. Components that have neither have no row.
+    """
+    r, n_classes = len(directions), len(head)
+    sums_ = ("kl_top", "n_top", "hits", "og_hits", "n_label", "kl_base", "n_base")
+    moves = directions.transpose(2, 0, 1).reshape(directions.shape[2], -1)
+
+    def add(total: np.ndarray, k: np.ndarray, x: np.ndarray, move: np.ndarray, label: np.ndarray, at: int) -> None:
+        """Adds the divergences and hits of rows (..., C) to total[component, sign, at:]."""
+        old = x @ head.T
+        old = np.broadcast_to(old if move.ndim == 2 else old[:, None], move.shape)
+        q, known, true = _probabilities(old), label >= 0, label if move.ndim == 2 else label[:, None]
+        for i, sign in enumerate((1, -1)):
+            new = old + sign * magnitude * move
+            p = _probabilities(new)
+            parts = [(p * np.log(p / q)).sum(-1), np.ones(move.shape[:-1])]
+            if not at:
+                parts += [(known & (new.argmax(-1) == true)).astype(float), (known & (old.argmax(-1) == true)).astype(float), known.astype(float)]
+            for j, part in enumerate(parts):
+                if move.ndim == 2:
+                    np.add.at(total[:, i, at + j], k, part)
+                else:
+                    total[:, i, at + j] += part.sum(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((r, 2, 7))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(0).to_numpy()
+            label = b.column(1).to_numpy()
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for c in np.unique(k[k >= 0]):
+                own = np.flatnonzero(k == c)
+                add(total, k[own], x[own], x[own] @ directions[c].T, label[own], 0)
+            base = np.flatnonzero(k < 0)
+            few = max(1, CELLS // (r * n_classes))
+            for i in range(0, len(base), few):
+                part = x[base[i : i + few]]
+                add(total, k, part, (part @ moves).reshape(len(part), r, n_classes), label[base[i : i + few]], 5)
+        met = np.argwhere((total[:, :, 1] + total[:, :, 6]) > 0)
+        rows = total[met[:, 0], met[:, 1]]
+        yield pa.record_batch([pa.array(met[:, 0].astype(np.int32)), pa.array(met[:, 1].astype(np.int32)), *(pa.array(rows[:, j].copy()) for j in range(7))], ["component", "sign", *sums_])
+
+    columns = [F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("label"), F.col("features").cast("array<double>").alias("features")]
+    rows = top.select(F.col("component").cast("int").alias("component"), *columns).where("component >= 0").union(baseline.select(F.lit(-1).alias("component"), *columns)).where("features IS NOT NULL")
+    sums = rows.mapInArrow(run, "component int, sign int, " + ", ".join(f"{c} double" for c in sums_)).groupBy("component", "sign").agg(*(F.sum(c).alias(c) for c in sums_))
+    ratio = F.try_divide(F.try_divide("kl_top", "n_top"), F.try_divide("kl_base", "n_base"))
+    return sums.groupBy("component").agg(F.max(ratio).alias("kl_ratio"), F.max(F.try_divide("hits", "n_label")).alias("accuracy"), F.max(F.try_divide("og_hits", "n_label")).alias("og_accuracy"))
+
+
 def sign_pattern(gradients: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(param_index, sign): the sign of the gradient summed over the given examples."""
     return _of(gradients, ids).groupBy("param_index").agg(F.signum(F.sum("grad")).alias("sign"))

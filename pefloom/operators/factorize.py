@@ -3,7 +3,9 @@
 The matrix is (example_id, class_id, col, value), coefficients are (example_id, w ARRAY) for every example of a header, also those without
 entries, and dictionaries are (col, h ARRAY). The matrix is kept in blocks of about as many entries each, by col and by example
 (``blocks``), so that each step moves only dense rows and partial sums of length r, and no hot column makes a long task. Gram matrices are summed in
-the tasks first; r x r matrices are all that reaches the driver. Each step's factors are written to the shared folder.
+the tasks first; r x r matrices are all that reaches the driver. Each step's factors are written to the shared folder and those of the step before are
+removed. A fit that is given a folder (``log``) notes its steps there; called again with the same matrix and parameters after its driver was lost, it goes on after the step
+noted last.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pefloom.functions.arrays import vector_sum
 from pefloom.operators.blocks import Layout, lists_of, matrix_of
 from pefloom.operators.matrix import sq_norm, tr_xx
-from pefloom.plans.lineage import cut
+from pefloom.plans.lineage import Steps, cut, release
 from pefloom.sources.tables import Kind, check_agreement
 
 TINY = 1e-12
@@ -109,9 +111,12 @@ class Matrix:
         return Layout(self.a, "example_id")
 
     def release(self) -> None:
+        """Drops the layouts and the copies of the inputs; nothing may read the matrix after that."""
         for name in ("by_col", "by_row"):
             if name in self.__dict__:
                 self.__dict__[name].release()
+        for df in (self.a, self.header, self.columns):
+            release(df)
 
     def times(self, h: DataFrame, r: int) -> DataFrame:
         """(example_id, class_id, ah): the product of the matrix with a dictionary (col, h)."""
@@ -149,22 +154,28 @@ def _finite(loss: float) -> float:
 # diagonal factorisation.
 
 
-def fit_d(a: DataFrame, r: int, max_iter: int, eps: float = 1e-8, init: str = "uniform", seed: int = 0, init_w: DataFrame | None = None, init_h: DataFrame | None = None, log_every: int = 10, header: DataFrame | None = None, l1: float | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
+def fit_d(a: DataFrame, r: int, max_iter: int, eps: float = 1e-8, init: str = "uniform", seed: int = 0, init_w: DataFrame | None = None, init_h: DataFrame | None = None, log_every: int = 10, header: DataFrame | None = None, l1: float | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
     """(W, H, losses) with A ~ W H, both non-negative: multiplicative steps, W first, then H with the new W. ``l1`` projects W to that L1
     norm (and L2 norm 1) by component after its step (F2)."""
-    m = Matrix(a, header)
-    w, h = init_factors(m.header, "example_id", r, "w", init, seed), init_factors(m.columns, "col", r, "h", init, seed + 1)
-    w, h = cut(w if init_w is None else warm_start(w, init_w, "example_id", "w")), cut(h if init_h is None else warm_start(h, init_h, "col", "h"))
-    square, losses = sq_norm(m.a), []
-    for step in range(1, max_iter + 1):
-        w = cut(_multiply(_with(w, m.times(h, r), "example_id", "ah", r), "example_id", "w", "ah", gram(h, "h", r), eps))
+    m, steps = Matrix(a, header), Steps(a.sparkSession, log, fit="diagonal", r=r, eps=eps, init=init, seed=seed, l1=l1)
+    if (noted := steps.last()) is not None:
+        done, (w, h), losses = noted[0], (noted[1]["w"], noted[1]["h"]), noted[2]
+    else:
+        w, h = init_factors(m.header, "example_id", r, "w", init, seed), init_factors(m.columns, "col", r, "h", init, seed + 1)
+        w = steps.keep("w", w if init_w is None else warm_start(w, init_w, "example_id", "w"))
+        h = steps.keep("h", h if init_h is None else warm_start(h, init_h, "col", "h"))
+        done, losses = 0, []
+    square = sq_norm(m.a)
+    for step in range(done + 1, max_iter + 1):
+        w = steps.keep("w", _multiply(_with(w, m.times(h, r), "example_id", "ah", r), "example_id", "w", "ah", gram(h, "h", r), eps))
         if l1 is not None:
-            w = hoyer_project(w, r, l1)
-        wa = cut(m.transposed(w.withColumnRenamed("w", "x"), r))
+            w = steps.keep("w", hoyer_project(w, r, l1))
+        wa = steps.keep("wa", m.transposed(w.withColumnRenamed("w", "x"), r))
         ww = gram(w, "w", r)
-        h = cut(_multiply(_with(h, wa, "col", "wa", r), "col", "h", "wa", ww, eps))
+        h = steps.keep("h", _multiply(_with(h, wa, "col", "wa", r), "col", "h", "wa", ww, eps))
         if step % log_every == 0 or step == max_iter:
             losses.append((step, _finite(loss_d(square, ww, gram(h, "h", r), dot(h.join(wa, "col"), "h", "wa")))))
+        steps.finish(step, ["w", "h"], losses)
     m.release()
     return w, h, losses
 
@@ -226,22 +237,41 @@ def loss_lrm(constant: float, ww: np.ndarray, gg: np.ndarray, cross: float) -> f
 
 
 class LowRank:
-    """The state of a low-rank fit: the matrix, W, G and what both steps share, A G^T and G G^T."""
+    """The state of a low-rank fit: the matrix, W, G and what both steps share, A G^T and G G^T. ``start`` gives (W, G) where ``steps`` hold none."""
 
-    def __init__(self, a: DataFrame, r: int, w: DataFrame | None, g: DataFrame, header: DataFrame | None, columns: DataFrame | None = None):
-        self.m, self.r = Matrix(a, header, columns), r
-        self.w = cut(init_factors(self.m.header, "example_id", r, "w", "uniform") if w is None else w)
+    def __init__(self, m: Matrix, r: int, steps: Steps, start: Callable[[], tuple[DataFrame, DataFrame]]):
+        self.m, self.r, self.steps = m, r, steps
         self.constant = tr_xx(self.m.a)
-        self.set_g(g)
+        self.done, self.losses = 0, []
+        if (noted := steps.last()) is not None:
+            self.done, own, self.losses = noted
+            self.w, self.g, self.ag = own["w"], own["h"], own["ag"]
+            self.gg = gram(self.g, "h", r)
+        else:
+            w, g = start()
+            self.w = steps.keep("w", w)
+            self.set_g(g)
 
     def set_g(self, g: DataFrame) -> None:
-        self.g = cut(g)
-        self.ag = cut(self.m.times(self.g, self.r))
+        self.g = self.steps.keep("h", g)
+        self.ag = self.steps.keep("ag", self.m.times(self.g, self.r))
         self.gg = gram(self.g, "h", self.r)
 
+    def run(self, phases: list[tuple[str, int, Callable[[], None]]], log_every: int) -> None:
+        """All steps of the phases (name in the log, number of steps, step) that aren't done; steps count on over the phases in the folder."""
+        before = 0
+        for phase, iters, step in phases:
+            for i in range(max(1, self.done - before + 1), iters + 1):
+                step()
+                if i % log_every == 0 or i == iters:
+                    self.losses.append((phase, i, self.loss()))
+                self.steps.finish(before + i, ["w", "h", "ag"], self.losses)
+            before += iters
+        self.m.release()
+
     def w_step(self, eps: float, moving: int | None = None) -> None:
         num = squared_by_example(self.ag, self.r)
-        self.w = cut(_multiply(_with(self.w, num, "example_id", "num", self.r), "example_id", "w", "num", self.gg * self.gg, eps, moving))
+        self.w = self.steps.keep("w", _multiply(_with(self.w, num, "example_id", "num", self.r), "example_id", "w", "num", self.gg * self.gg, eps, moving))
 
     def gradient(self, ortho: float = 0.0) -> DataFrame:
         """(col, h, grad): a quarter of the loss's gradient by G, and the regulariser's."""
@@ -280,20 +310,23 @@ def g_scale(r: int, m: int) -> float:
     return 1.0 / float(np.sqrt(r * m / 2.0))
 
 
-def fit_lrm(a: DataFrame, r: int, iters_g_only: int, iters_joint: int, lr: float = 1e-3, lr_g_only: float | None = None, mu_eps: float = 1e-9, ortho: float = 0.0, seed: int = 0, init_w: DataFrame | None = None, init_g: DataFrame | None = None, log_every: int = 10, header: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
+def fit_lrm(a: DataFrame, r: int, iters_g_only: int, iters_joint: int, lr: float = 1e-3, lr_g_only: float | None = None, mu_eps: float = 1e-9, ortho: float = 0.0, seed: int = 0, init_w: DataFrame | None = None, init_g: DataFrame | None = None, log_every: int = 10, header: DataFrame | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
     """(W, G, losses): steps of G with W fixed, then of W and, with the new W, of G. The products of a joint step serve both."""
-    columns = cut(a.select("col").distinct())
-    g = init_g if init_g is not None else init_factors(columns, "col", r, "h", "normal", seed + 1, g_scale(r, max(1, columns.count())))
-    fit, losses = LowRank(a, r, init_w, g, header), []
-    for phase, iters, rate in (("g_only", iters_g_only, lr_g_only if lr_g_only is not None else lr), ("joint", iters_joint, lr)):
-        for step in range(1, iters + 1):
-            if phase == "joint":
-                fit.w_step(mu_eps)
-            fit.g_step(rate, ortho)
-            if step % log_every == 0 or step == iters:
-                losses.append((phase, step, fit.loss()))
-    fit.m.release()
-    return fit.w, fit.g, losses
+    m, first = Matrix(a, header), lr_g_only if lr_g_only is not None else lr
+    steps = Steps(a.sparkSession, log, fit="low rank", r=r, iters_g_only=iters_g_only, rates=[first, lr], mu_eps=mu_eps, ortho=ortho, seed=seed)
+
+    def start() -> tuple[DataFrame, DataFrame]:
+        g = init_g if init_g is not None else init_factors(m.columns, "col", r, "h", "normal", seed + 1, g_scale(r, max(1, m.columns.count())))
+        return init_w if init_w is not None else init_factors(m.header, "example_id", r, "w", "uniform"), g
+
+    fit = LowRank(m, r, steps, start)
+
+    def joint() -> None:
+        fit.w_step(mu_eps)
+        fit.g_step(lr, ortho)
+
+    fit.run([("g_only", iters_g_only, lambda: fit.g_step(first, ortho)), ("joint", iters_joint, joint)], log_every)
+    return fit.w, fit.g, fit.losses
 
 
 def fit_coeffs_lrm(a: DataFrame, g: DataFrame, r: int, n_iters: int, mu_eps: float = 1e-9, init: str = "uniform", seed: int = 0, header: DataFrame | None = None, kinds: tuple[Kind, Kind] | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
@@ -313,28 +346,30 @@ def trim_column_map(column_map: DataFrame, n_cols: int) -> DataFrame:
     return column_map.where(F.col("col") < n_cols)
 
 
-def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: int, iters_g_only: int, iters_new_only: int, iters_joint: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, w_frozen: DataFrame | None = None, init_new: DataFrame | None = None, header: DataFrame | None = None, init_w: DataFrame | None = None, kinds: tuple[Kind, Kind] | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
+def expand_dictionary(a: DataFrame, g_frozen: DataFrame, r_frozen: int, r_new: int, iters_g_only: int, iters_new_only: int, iters_joint: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, w_frozen: DataFrame | None = None, init_new: DataFrame | None = None, header: DataFrame | None = None, init_w: DataFrame | None = None, kinds: tuple[Kind, Kind] | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
     """(W, G, losses) with r_new components before the frozen ones: steps of the new G, then of the new W and G, then of all W and the
     new G. The frozen dictionary never moves (F10). ``kinds`` of records and dictionary are compared first."""
     if kinds:
         check_agreement(*kinds)
-    r, columns = r_frozen + r_new, cut(a.select("col").union(g_frozen.select("col")).distinct())
-    new = init_new if init_new is not None else init_factors(columns, "col", r_new, "h", "normal", seed + 1, g_scale(r_new, max(1, columns.count())))
-    old = _with(new.withColumnRenamed("h", "new_"), g_frozen, "col", "h", r_frozen)
-    ids = cut((header if header is not None else a).select(F.col("example_id").cast("long")).distinct())
-    w = init_w if init_w is not None else init_factors(ids, "example_id", r, "w", "uniform", seed)
-    if w_frozen is not None:
-        w = w.join(w_frozen.select("example_id", F.col("w").alias("old_")), "example_id", "left").select("example_id", F.when(F.col("old_").isNotNull(), F.concat(F.slice("w", 1, r_new), "old_")).otherwise(F.col("w")).alias("w"))
-    fit, losses = LowRank(a, r, w, old.select("col", F.concat("new_", "h").alias("h")), ids, columns), []
-    for phase, log, iters in (("g_only", "g_only", iters_g_only), ("new_only", "joint", iters_new_only), ("joint", "joint", iters_joint)):
-        for step in range(1, iters + 1):
-            if phase != "g_only":
-                fit.w_step(mu_eps, r_new if phase == "new_only" else None)
-            fit.g_step(lr, moving=r_new)
-            if step % 10 == 0 or step == iters:
-                losses.append((log, step, fit.loss()))
-    fit.m.release()
-    return fit.w, fit.g, losses
+    r, m = r_frozen + r_new, Matrix(a, header, a.select("col").union(g_frozen.select("col")))
+    steps = Steps(a.sparkSession, log, fit="expansion", r=[r_new, r_frozen], iters=[iters_g_only, iters_new_only], lr=lr, mu_eps=mu_eps, seed=seed)
+
+    def start() -> tuple[DataFrame, DataFrame]:
+        new = init_new if init_new is not None else init_factors(m.columns, "col", r_new, "h", "normal", seed + 1, g_scale(r_new, max(1, m.columns.count())))
+        old = _with(new.withColumnRenamed("h", "new_"), g_frozen, "col", "h", r_frozen)
+        w = init_w if init_w is not None else init_factors(m.header, "example_id", r, "w", "uniform", seed)
+        if w_frozen is not None:
+            w = w.join(w_frozen.select("example_id", F.col("w").alias("old_")), "example_id", "left").select("example_id", F.when(F.col("old_").isNotNull(), F.concat(F.slice("w", 1, r_new), "old_")).otherwise(F.col("w")).alias("w"))
+        return w, old.select("col", F.concat("new_", "h").alias("h"))
+
+    fit = LowRank(m, r, steps, start)
+
+    def both(moving: int | None) -> None:
+        fit.w_step(mu_eps, moving)
+        fit.g_step(lr, moving=r_new)
+
+    fit.run([("g_only", iters_g_only, lambda: fit.g_step(lr, moving=r_new)), ("joint", iters_new_only, lambda: both(r_new)), ("joint", iters_joint, lambda: both(None))], 10)
+    return fit.w, fit.g, fit.losses
 
 
 #: R factors that one task stacks; components within so much of the others' span count as dependent.
@@ -365,7 +400,8 @@ def triangular(df: DataFrame, column: str, r: int) -> np.ndarray:
 
     factors = cut(df.select(column).mapInArrow(local, "p long, x array<double>"))
     while (n := factors.count()) > 1:
-        factors = cut(factors.groupBy(F.expr(f"p div {STACK}").alias("q")).applyInArrow(stacked, "p long, x array<double>").select(F.expr(f"p div {STACK}").alias("p"), "x"))
+        old, factors = factors, cut(factors.groupBy(F.expr(f"p div {STACK}").alias("q")).applyInArrow(stacked, "p long, x array<double>").select(F.expr(f"p div {STACK}").alias("p"), "x"))
+        release(old)
     if not n:
         return np.eye(r)
     out = np.array(factors.first().x).reshape(r, r)
@@ -390,23 +426,27 @@ def orthonormalize(g: DataFrame, r: int, seed: int = 0) -> DataFrame:
     return g
 
 
-def fit_stiefel(a: DataFrame, r: int, iters: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, init_g: DataFrame | None = None, header: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
+def fit_stiefel(a: DataFrame, r: int, iters: int, lr: float = 1e-3, mu_eps: float = 1e-9, seed: int = 0, init_g: DataFrame | None = None, header: DataFrame | None = None, init_w: DataFrame | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float]]]:
     """(W, G, losses) with G's components kept orthonormal by Cayley steps."""
-    columns = cut(a.select("col").distinct())
-    g = init_g if init_g is not None else init_factors(columns, "col", r, "h", "normal", seed + 1)
-    ids = cut((header if header is not None else a).select(F.col("example_id").cast("long")).distinct())
-    fit, losses = LowRank(a, r, init_factors(ids, "example_id", r, "w", "uniform", seed, 2.0 / r), orthonormalize(g, r), ids), []
-    for step in range(1, iters + 1):
+    m, steps = Matrix(a, header), Steps(a.sparkSession, log, fit="orthonormal", r=r, lr=lr, mu_eps=mu_eps, seed=seed)
+
+    def start() -> tuple[DataFrame, DataFrame]:
+        g = init_g if init_g is not None else init_factors(m.columns, "col", r, "h", "normal", seed + 1)
+        return init_w if init_w is not None else init_factors(m.header, "example_id", r, "w", "uniform", seed, 2.0 / r), orthonormalize(g, r)
+
+    fit = LowRank(m, r, steps, start)
+
+    def step() -> None:
         fit.w_step(mu_eps)
-        both = cut(fit.gradient().select("col", "h", F.transform("grad", lambda x: 4 * x).alias("d")))
+        both = steps.keep("both", fit.gradient().select("col", "h", F.transform("grad", lambda x: 4 * x).alias("d")))
         all_ = gram(both.select(F.concat("h", "d").alias("v")), "v", 2 * r)
         gg, gd, dd = all_[:r, :r], all_[:r, r:], all_[r:, r:]
         vu = np.block([[gd, gg], [-dd, -gd.T]])
-        m = np.linalg.solve(np.eye(2 * r) + lr / 2 * vu, np.concatenate([gg, -gd.T]))
-        fit.set_g(map_rows(both, "col", ["h", "d"], lambda h, d, m=m: h - lr * (d @ m[:r] + h @ m[r:]), "h"))
-        losses.append(("joint", step, fit.loss()))
-    fit.m.release()
-    return fit.w, fit.g, losses
+        x = np.linalg.solve(np.eye(2 * r) + lr / 2 * vu, np.concatenate([gg, -gd.T]))
+        fit.set_g(map_rows(both, "col", ["h", "d"], lambda h, d: h - lr * (d @ x[:r] + h @ x[r:]), "h"))
+
+    fit.run([("joint", iters, step)], 1)
+    return fit.w, fit.g, fit.losses
 
 
 # projection to given norms.
@@ -445,6 +485,7 @@ they share l1, and the L2 norm is less.
                     yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([float(y[at[-1]])]) for y in (m, s, q))], ["k", "m", "s", "q"])
 
     found = cells.mapInArrow(cuts, "k int, m double, s double, q double").groupBy("k").agg(F.max(F.struct("m", "s", "q")).alias("c")).collect()
+    release(cells)
     if len(found) < r:
         raise ValueError(f"no vector of so few entries has an L1 norm of {l1} and an L2 norm of {l2}")
     m, s, q = (np.array([row.c[i] for row in sorted(found, key=lambda row: row.k)]) for i in range(3))

@@ -384,6 +384,14 @@ def fit_diagonal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.losses_frame(spark, X.fit_d(pruned_orders(spark, sf_dir), R, 1, init="lcg")[2]).withColumn("loss", F.round("loss", 4))
 
 
+@query(ORACLE_SQL["fit_diagonal"])
+def fit_diagonal_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of ``fit_diagonal`` as two calls on one folder: the second goes on after the step that the first noted."""
+    a, path = pruned_orders(spark, sf_dir), f"{shared_dir(spark)}/fit-{uuid.uuid4().hex}"
+    X.fit_d(a, R, 1, init="lcg", log=path)
+    return exploded(X.fit_d(a, R, 2, init="lcg", log=path)[0], "example_id", "w", 5)
+
+
 def _coeff_step(i: int) -> str:
     return f""", d{i} AS (SELECT example_id, l AS k, sum(w * g) AS d FROM w{i} JOIN hh USING (k) GROUP BY ALL),
 w{i + 1} AS (SELECT example_id, k, w * coalesce(n, 0) / (d + 1e-7) AS w FROM w{i} LEFT JOIN n USING (example_id, k) JOIN d{i} USING (example_id, k))"""
@@ -495,6 +503,25 @@ def fit_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(X.fit_stiefel(low_orders(spark, sf_dir), R, 2, lr=1e-4)[1], "col", "h", 6)
 
 
+def _cayley(i: int) -> str:
+    """The CTEs of a step of one component of norm 1: W, its gradient d, and G moved along the Cayley curve with a 2 x 2 inverse."""
+    return f""", v{i} AS (SELECT example_id, c, sum(value * g) AS v FROM l JOIN g{i} USING (col) GROUP BY ALL), n{i} AS (SELECT example_id, sum(v * v) AS n FROM v{i} GROUP BY 1), q{i} AS (SELECT sum(g * g) AS q FROM g{i}),
+w{i + 1} AS (SELECT example_id, w * n / (w * q * q + 1e-9) AS w FROM w{i} JOIN n{i} USING (example_id), q{i}), s{i} AS (SELECT sum(w * w) * any_value(q) AS s FROM w{i + 1}, q{i}),
+t{i} AS (SELECT col, sum(value * w * v) AS t FROM l JOIN v{i} USING (example_id, c) JOIN w{i + 1} USING (example_id) GROUP BY 1), d{i} AS (SELECT col, g, 4 * (g * s - t) AS d FROM g{i} JOIN t{i} USING (col), s{i}),
+x{i} AS (SELECT *, (1 + 5e-5 * gd) * (1 - 5e-5 * gd) + 5e-5 * gg * 5e-5 * dd AS det FROM (SELECT sum(g * g) AS gg, sum(g * d) AS gd, sum(d * d) AS dd FROM d{i})),
+g{i + 1} AS (SELECT col, g - 1e-4 * (d * ((1 - 5e-5 * gd) * gg + 5e-5 * gg * gd) + g * (5e-5 * dd * gg - (1 + 5e-5 * gd) * gd)) / det AS g FROM d{i}, x{i})"""
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS example_id, l_linenumber AS c, l_partkey AS col, sum(l_quantity) / 50.0 AS value FROM lineitem GROUP BY ALL), w0 AS (SELECT DISTINCT example_id, {_lcg('example_id', '0')} AS w FROM l),
+start AS (SELECT DISTINCT col, {_lcg('col', '0')} AS g FROM l), g0 AS (SELECT col, g / sqrt(sum(g * g) OVER ()) AS g FROM start){_cayley(0)}{_cayley(1)} SELECT col, 0 AS component, round(g, 6) AS value FROM g2""".replace("0 AS component", "CAST(0 AS BIGINT) AS component"))
+def fit_orthonormal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two Cayley steps of a single component, whose linear system SQL can state."""
+    a = low_orders(spark, sf_dir)
+    w = X.init_factors(a.select("example_id").distinct(), "example_id", 1, "w", "lcg")
+    g = X.init_factors(a.select("col").distinct(), "col", 1, "h", "lcg")
+    return exploded(X.fit_stiefel(a, 1, 2, lr=1e-4, init_w=w, init_g=g)[1], "col", "h", 6)
+
+
 @query(f"""WITH w AS (SELECT o_orderkey AS example_id, k, {_lcg('o_orderkey', 'k')} AS x FROM orders, (SELECT unnest(range({R})) AS k)), l AS (SELECT 0.5 * sqrt(count(*)) AS l1 FROM orders),
 s AS (SELECT k, x, row_number() OVER o AS m, sum(x) OVER o AS s, sum(x * x) OVER o AS q FROM w WINDOW o AS (PARTITION BY k ORDER BY x DESC, example_id ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT *, CASE WHEN q - s * s / m > 1e-12 * q THEN sqrt(greatest(1 - l1 * l1 / m, 0) / (q - s * s / m)) ELSE 0 END AS grow FROM s, l),
@@ -641,6 +668,16 @@ def perturbation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("component", *(F.round(c, 6).alias(c) for c in ("kl_ratio", "accuracy", "og_accuracy")))
 
 
+@query(ORACLE_SQL["perturbation_report"])
+def perturbation_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``perturbation_report`` from sums by component and sign that the tasks make."""
+    x, head, _ = head_of(spark, sf_dir)
+    top = T.top_examples(_label_coefficients(spark, sf_dir), 20).select("component", "example_id").join(x, "example_id")
+    directions = np.stack([np.eye(len(head))[k][:, None] * head[k] / np.linalg.norm(head[k]) for k in range(len(head))])
+    told = E.summed_report(top, T.baseline_examples(x, 50).join(x, "example_id"), head, directions, 2.0)
+    return told.select("component", *(F.round(c, 6).alias(c) for c in ("kl_ratio", "accuracy", "og_accuracy")))
+
+
 @query(f"WITH {HEAD}, g AS (SELECT c * {WIDE} + j AS param_index, sum((CASE WHEN c = label THEN 1 ELSE 0 END - p) * v) AS s FROM p JOIN x USING (example_id, label) GROUP BY 1) SELECT param_index, sign(round(s, 9)) AS sign FROM g".replace("sign(round(s, 9))", "CAST(sign(s) AS DOUBLE)"))
 def sign_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _, grad = head_of(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -208,3 +210,62 @@ def test_projection_is_the_nearest_vector(spark, share):
     assert np.allclose(dense(X.hoyer_project(vectors(spark, top, "example_id", "w"), R, 1.2), "example_id", "w", 7), np.repeat([[0.3], [0.0]], [4, 3], 0))
     with pytest.raises(ValueError, match="so few entries"):
         X.hoyer_project(vectors(spark, w[:3], "example_id", "w"), R, 2.0)
+
+
+def folders(path):
+    return sorted(os.listdir(f"{path}/tables")), sorted(n for n in os.listdir(f"{path}/log") if not n.startswith("."))
+
+
+def test_stopped_fits_go_on_as_if_not_stopped(spark, planted, low, tmp_path, monkeypatch):
+    _, d = planted
+    _, df, w, g = low
+    header = spark.range(20).withColumnRenamed("id", "example_id")
+    wv, gv = vectors(spark, w, "example_id", "w"), vectors(spark, g, "col", "h")
+    fits = {
+        "d": lambda log: X.fit_d(d, R, 3, log_every=1, header=header, log=log),
+        "lrm": lambda log: X.fit_lrm(df, R, 1, 2, init_w=wv, init_g=gv, log_every=1, log=log),
+        "more": lambda log: X.expand_dictionary(df, gv, R, 2, 1, 1, 1, w_frozen=wv, log=log),
+    }
+    finish = X.Steps.finish
+    for name, fit in fits.items():
+        whole = fit(None)
+
+        def lost(self, step, names, losses):
+            tables = os.listdir(f"{path}/tables")
+            assert len({t.partition("-")[0] for t in tables}) * 2 + 1 >= len(tables)  # two steps at most
+            if step == 3:
+                raise ConnectionError
+            finish(self, step, names, losses)
+
+        path = f"{tmp_path}/{name}"
+        monkeypatch.setattr(X.Steps, "finish", lost)
+        with pytest.raises(ConnectionError):
+            fit(path)
+        assert folders(path)[1] == ["000000002"]
+        monkeypatch.setattr(X.Steps, "finish", finish)
+        again = fit(path)
+        tables, log = folders(path)
+        assert log == ["000000003"] and len(tables) == (2 if name == "d" else 3)
+        for i, key, column in ((0, "example_id", "w"), (1, "col", "h")):
+            a, b = ({r[key]: r[column] for r in x[i].collect()} for x in (whole, again))
+            assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-9, atol=1e-12) for k in a)
+        assert [x[:-1] for x in whole[2]] == [x[:-1] for x in again[2]] and np.allclose([x[-1] for x in whole[2]], [x[-1] for x in again[2]])
+    ended = fits["d"](f"{tmp_path}/d")  # nothing left to do
+    assert ended[2] and len(folders(f"{tmp_path}/d")[0]) == 2
+    with pytest.raises(ValueError, match="another loop"):
+        X.fit_d(d, R, 3, eps=1e-3, log=f"{tmp_path}/d")
+
+
+def test_stiefel_steps_follow_the_cayley_curve(spark, low):
+    x, df, w, g = low
+    start = dense(X.orthonormalize(vectors(spark, g, "col", "h"), R), "col", "h", 9)
+    got_w, got, losses = X.fit_stiefel(df, R, 3, lr=1e-2, init_w=vectors(spark, w, "example_id", "w"), init_g=vectors(spark, g, "col", "h"))
+    want, v = start, w.copy()
+    for _ in range(3):
+        products = x @ want
+        v = v * (products**2).sum(1) / (v @ (want.T @ want) ** 2 + 1e-9)
+        slope = 4 * sum((want * u) @ (want.T @ want) * u - a.T @ (a @ want) * u for a, u in zip(x, v, strict=True))
+        skew = slope @ want.T - want @ slope.T
+        want = np.linalg.solve(np.eye(9) + 5e-3 * skew, (np.eye(9) - 5e-3 * skew) @ want)
+    assert np.allclose(dense(got, "col", "h", 9), want) and np.allclose(dense(got_w, "example_id", "w", 10), v)
+    assert losses[-1][2] == pytest.approx(low_loss(x, v, want))

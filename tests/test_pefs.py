@@ -226,3 +226,24 @@ def test_records_and_dictionary_must_agree(spark, model, tmp_path):
     for other, said in ((lrm._replace(n_parameters=13), "parameters"), (kinds["diag"], "kind"), (lrm._replace(n_classes=2), "classes")):
         with pytest.raises(ValueError, match=said):
             X.fit_coeffs_lrm(None, None, 2, 1, kinds=(lrm, other))
+
+
+def test_summed_report_is_the_report_of_all_rows(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    head, directions = r.normal(size=(4, 6)), r.normal(size=(3, 4, 6))
+    x = spark.createDataFrame([(i, int(r.integers(4)), r.normal(size=6).tolist()) for i in range(60)], "example_id long, label int, features array<double>")
+    top = spark.createDataFrame([(k, int(i)) for k in (0, 1) for i in r.choice(60, 12, replace=False)] + [(1, 3), (1, 3)], "component int, example_id long").join(x, "example_id")
+    base = x.where("example_id % 2 = 0").unionByName(x.limit(1)).repartition(5)
+    each = base.select(F.explode(F.array(*map(F.lit, range(3)))).alias("component"), F.lit(False).alias("is_top"), "example_id", "label", "features")
+    want = E.perturbation_report(E.evaluate_perturbations(top.select("component", F.lit(True).alias("is_top"), "example_id", "label", "features").union(each), head, directions, 1.5))
+    monkeypatch.setattr(E, "CELLS", 30)
+    told = E.summed_report(top, base, head, directions, 1.5)
+    rows = lambda df: {t.component: [t.kl_ratio, t.accuracy, t.og_accuracy] for t in df.collect()}
+    a, b = rows(want), rows(told)
+    assert a.keys() == b.keys() == {0, 1, 2} and a[2] == b[2] == [None] * 3 and all(b[k] == pytest.approx(a[k]) for k in (0, 1))
+    odd = base.union(spark.createDataFrame([(91, None, [0.0] * 6), (92, 1, None)], base.schema))
+    same = rows(E.summed_report(top, odd, head, directions, 1.5))
+    assert same[0][1:] == a[0][1:] and same[0][0] != a[0][0]
+    assert rows(E.summed_report(top.limit(0), base.limit(0), head, directions, 1.5)) == {}
+    alone = rows(E.summed_report(top, base.limit(0), head, directions, 1.5))[1]
+    assert alone[0] is None and alone[1:] == pytest.approx(a[1][1:])
