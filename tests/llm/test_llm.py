@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -455,6 +457,49 @@ def test_mined_rules_match_brute_force(spark):
     assert (frozenset("ab"), "block") in {(n, v) for n, v, *_ in got}
 
 
+def test_mined_verdicts_are_those_of_all_rules(spark):
+    """Against all rules by brute force: tokens b and c stand on the same pages, d and e nearly, p is of one verdict alone."""
+    r = random.Random(11)
+    rows = []
+    for i in range(300):
+        t = {x for x in "adgf" if r.random() < 0.5} | ({"b", "c"} if r.random() < 0.4 else set())
+        t |= {"e"} if "d" in t and r.random() < 0.9 else set()
+        bad = "a" in t and "b" in t or r.random() < 0.1
+        rows.append((sorted(t | ({"p"} if not bad and r.random() < 0.5 else set())), "block" if bad else "allow", f"h{r.randint(0, 5)}" if "g" in t else "h0"))
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string, host string")
+    names, base = sorted({t for x in rows for t in x[0]}), {v: sum(x[1] == v for x in rows) for v in ("allow", "block")}
+    for hosts in (1, 3):
+        rules, alike = urlfilter.mine_alike(df, 0.05, 0.8, 1.1, hosts)
+        index = urlfilter.Index(rules, alike)
+        assert rules and alike["c"] == "b"
+        every = {}
+        for k in range(1, len(names) + 1):
+            for need in map(frozenset, itertools.combinations(names, k)):
+                own = [x for x in rows if need <= set(x[0])]
+                for v, n in base.items():
+                    right = sum(x[1] == v for x in own)
+                    if own and right >= 0.05 * 300 and right >= 0.8 * len(own) and right / len(own) * 300 >= 1.1 * n and len({x[2] for x in own}) >= hosts:
+                        every[need, v] = right / len(own)
+        for n in range(len(names) + 1):
+            for page in itertools.combinations(names, n):
+                held = {rules[k][1]: max(rules[j][2] for j in index.holding(list(page)) if rules[j][1] == rules[k][1]) for k in index.holding(list(page))}
+                want = {}
+                for (need, v), c in every.items():
+                    if need <= set(page):
+                        want[v] = max(c, want.get(v, 0))
+                assert held.keys() == want.keys() and all(held[v] == pytest.approx(want[v]) for v in held)
+
+
+def test_template_of_many_segments(spark):
+    """25 segments that stand together on all pages of two hosts count as one."""
+    deep = "/".join(f"s{k}" for k in range(25))
+    urls = [f"http://{h}/{deep}/{'casino' if h == 'bad.net' else 'news'}/{i}" for h in ("bad.net", "good.fr") for i in range(250)]
+    df = spark.createDataFrame([*enumerate(urls), (500, "http://o.io/casino/1"), (501, f"http://o.io/{deep}/x")], "page_id long, url string")
+    start = time.time()
+    got = {x.page_id: x.verdict for x in urlfilter.judge(df, {"bad.net/": "block", "good.fr/": "allow"}, default="none").collect()}
+    assert (got[500], got[501]) == ("block", "none") and time.time() - start < 60
+
+
 # 8: vectors.
 
 
