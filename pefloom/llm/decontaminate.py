@@ -3,7 +3,9 @@
 Document words stream through the automaton, which gives the longest match that ends at each word. Where it reaches the
 window (10 words), the last 10 words are hit and the items that hold them are known from the state; an item of fewer
 words hits as a whole. The automaton is built for parts of about ``PART_WORDS`` words of the benchmark, one on the driver at a time, and
-kept as flat arrays of some 100 bytes a word; the tasks hold all parts, so a benchmark of 10 million words takes 1 GB of each worker.
+kept as flat arrays of some 100 bytes a word. A task holds parts of ``HELD_WORDS`` words at most. A larger benchmark is gone through in groups
+of parts: each group but the first has a pass over the texts of its own, of which only the hit texts' stretches and items leave the tasks,
+and the pass of the first group, over all columns, takes them up by two hashes of the text. An item is never split.
 
 Vectorised numpy first skips what no window can lie in: stretches whose neighbouring words are no neighbours in any item.
 
@@ -15,7 +17,8 @@ are named like those added are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pefloom.llm import tokens
 
 WINDOW = 10
 PART_WORDS = 100_000
+HELD_WORDS = 2_000_000
 
 
 class Automaton:
@@ -178,13 +182,42 @@ def automata(benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_
             yield Automaton(sorted(rows, key=lambda r: (r[0], r[1].tobytes())), window)
 
 
-def _held(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> list:
-    """The parts' automata as broadcasts. Each is pickled to a file and freed before the next one is built."""
-    return [docs.sparkSession.sparkContext.broadcast(part) for part in automata(benchmark, window, part_words)]
+def _held(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, held_words: int = HELD_WORDS) -> list[list]:
+    """The parts' automata as broadcasts, in groups that a task can hold. Each is pickled to a file and freed before the next one is built."""
+    held = [docs.sparkSession.sparkContext.broadcast(part) for part in automata(benchmark, window, part_words)]
+    most = max(1, held_words // part_words)
+    return [held[k : k + most] for k in range(0, len(held), most)] or [[]]
 
 
-def _hits(text: pa.Array, held: list) -> tuple[np.ndarray, dict[int, list[int]], dict[int, list[str]]]:
-    """Of a column of texts: the number of words, and by hit row the hit stretches (word positions start, end, start, end ...) and item names."""
+def _with_others(docs: DataFrame, groups: list[list]) -> DataFrame:
+    """``docs`` and, behind its columns, the hit stretches and the items that ``groups`` find in text; without groups just ``docs``."""
+    if not groups:
+        return docs
+
+    def finder(held: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, spans, items = _hits(b.column(2), held)
+                rows = pa.array(list(spans), pa.int64())
+                found = [pa.array([x[k] for k in spans], pa.list_(t)) for x, t in ((spans, pa.int64()), (items, pa.string()))]
+                yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), *found], ["h1", "h2", "spans", "items"])
+
+        return run
+
+    hashes = (F.xxhash64("text"), F.xxhash64("text", F.lit(1)))
+    texts = docs.where("text IS NOT NULL").select(hashes[0].alias("h1"), hashes[1].alias("h2"), "text")
+    found = reduce(DataFrame.union, (texts.mapInArrow(finder(held), "h1 long, h2 long, spans array<long>, items array<string>") for held in groups))
+    # copies of a text find the same, so a set holds one entry a group at most
+    found = found.groupBy("h1", "h2").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    packed = docs.select(F.struct("*").alias("doc"), hashes[0].alias("h1"), hashes[1].alias("h2")).join(found, ["h1", "h2"], "left")
+    taken = {c.lower() for c in docs.columns}
+    free = [next(c for k in range(len(taken) + 1) if (c := f"{stem}{k}") not in taken) for stem in ("spans", "items")]
+    return packed.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), F.col("spans").alias(free[0]), F.col("items").alias(free[1]))
+
+
+def _hits(text: pa.Array, held: list, others: list[pa.Array] | None = None) -> tuple[np.ndarray, dict[int, list[int]], dict[int, list[str]]]:
+    """Of a column of texts: the number of words, and by hit row the hit stretches (word positions start, end, start, end ...) and item names.
+    ``others``: what other groups found, stretches and items."""
     count, spans, items = np.zeros(len(text), np.int64), {}, {}
     for first, end, data, offs in tokens.slices(text):
         h, _, _, woffs = tokens.words(data, offs)
@@ -195,6 +228,12 @@ def _hits(text: pa.Array, held: list) -> tuple[np.ndarray, dict[int, list[int]],
             hit |= more
             for k, x in named.items():
                 names.setdefault(k, set()).update(x)
+        if others:
+            for k in np.flatnonzero(others[0].slice(first, end - first).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                old = others[0][first + k].as_py()
+                for a, z in zip(old[::2], old[1::2], strict=True):
+                    hit[woffs[k] + a : woffs[k] + z] = True
+                names.setdefault(k, set()).update(others[1][first + k].as_py())
         for k, x in sorted(names.items()):
             spans[first + k] = np.flatnonzero(np.diff(np.concatenate([[0], hit[woffs[k] : woffs[k + 1]].view(np.int8), [0]]))).tolist()
             items[first + k] = sorted(x)
@@ -204,28 +243,30 @@ def _hits(text: pa.Array, held: list) -> tuple[np.ndarray, dict[int, list[int]],
 def find_hits(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` plus hit_spans_ (word positions start, end, start, end ... of maximal hit stretches), hit_items_ (names) and n_words_."""
     docs = docs.drop("hit_spans_", "hit_items_", "n_words_")
-    names, held = docs.columns, _held(docs, benchmark, **how)
+    names, (held, *rest) = docs.columns, _held(docs, benchmark, **how)
+    n = len(names)
     schema = T.StructType([*docs.schema.fields, T.StructField("hit_spans_", T.ArrayType(T.LongType())), T.StructField("hit_items_", T.ArrayType(T.StringType())), T.StructField("n_words_", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count, spans, items = _hits(b.column(names.index("text")), held)
+            count, spans, items = _hits(b.column(names.index("text")), held, b.columns[n:])
             rows = range(b.num_rows)
             more = [pa.array([spans.get(k, []) for k in rows], pa.list_(pa.int64())), pa.array([items.get(k, []) for k in rows], pa.list_(pa.string())), pa.array(count)]
-            yield pa.record_batch([*b.columns, *more], [*names, "hit_spans_", "hit_items_", "n_words_"])
+            yield pa.record_batch([*b.columns[:n], *more], [*names, "hit_spans_", "hit_items_", "n_words_"])
 
-    return docs.mapInArrow(run, schema)
+    return _with_others(docs, rest).mapInArrow(run, schema)
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8, **how) -> DataFrame:
     """``docs`` with hit stretches of over ``max_span`` words cut out of text and n_chars set anew; a document of whose words a
     share above ``max_coverage`` is hit goes. Texts without such stretches stay as they are. Found and removed in one pass."""
-    names, held = docs.columns, _held(docs, benchmark, **how)
+    names, (held, *rest) = docs.columns, _held(docs, benchmark, **how)
+    n = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for b in batches:
-            count, spans, _ = _hits(b.column(at), held)
+            count, spans, _ = _hits(b.column(at), held, b.columns[n:])
             gone, texts = np.zeros(b.num_rows, bool), {}
             for k, old in spans.items():
                 pairs = [(a, z) for a, z in zip(old[::2], old[1::2], strict=True) if z - a > max_span]
@@ -238,7 +279,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_co
                         text.append(raw[here : start[a]])
                         here = end[z - 1]
                     texts[k] = b"".join([*text, raw[here:]]).decode()
-            cols = [*b.columns]
+            cols = b.columns[:n]
             if texts:
                 rows = pa.array([k in texts for k in range(b.num_rows)])
                 cols[at] = pc.replace_with_mask(cols[at], rows, pa.array(texts.values(), cols[at].type))
@@ -248,7 +289,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_co
             out = pa.record_batch(cols, names)
             yield out.filter(pa.array(~gone)) if gone.any() else out
 
-    return docs.mapInArrow(run, docs.schema)
+    return _with_others(docs, rest).mapInArrow(run, docs.schema)
 
 
 def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

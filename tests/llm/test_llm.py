@@ -649,6 +649,21 @@ def test_decontamination(spark, part):
         assert not any(x.contaminated for x in decontaminate.op10_decontaminate(df, bench.where("false")).collect())
 
 
+def test_benchmark_beyond_what_a_task_holds(spark):
+    """Groups of parts find what one group finds, whatever the names of columns, for repeated rows and for items in several groups."""
+    r = random.Random(5)
+    items = [prose(r, r.choice([3, 9, 10, 25, 60]), 40) for _ in range(40)]
+    bench = spark.createDataFrame([(k % 30, t) for k, t in enumerate(items)] + [(None, items[0]), (99, None)], "item_id long, text string")
+    texts = [" ".join([prose(r, 30, 40), *r.sample(items, 3), prose(r, 20, 40)]) for _ in range(40)] + [prose(r, 60, 40) for _ in range(20)] + EDGES
+    df = docs_of(spark, texts + texts[:9]).withColumns({"h1": F.lit("a"), "spans0": F.lit("b"), "Items0": F.lit("c"), "doc": F.lit("d"), "found": F.lit("e")})
+    assert len(decontaminate._held(df, bench, part_words=50, held_words=100)) > 3
+    rows = lambda d: sorted(d.collect(), key=lambda x: x.doc_id)
+    for f in (decontaminate.find_hits, decontaminate.remove_hits):
+        one, many = f(df, bench), f(df, bench, part_words=50, held_words=100)
+        assert one.columns == many.columns and rows(one) == rows(many)
+    assert decontaminate.find_hits(df.where("false"), bench, part_words=50, held_words=100).count() == 0
+
+
 def test_document_frequencies_in_crowded_buckets(spark):
     """Common shingles are told from rare ones where each bucket holds many shingles."""
     r = random.Random(21)
