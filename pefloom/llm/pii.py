@@ -5,15 +5,18 @@ the field. Candidates that a base span covers are observed with its kind. The re
 logistic model of token shape, chain potentials join neighbouring candidates, and skip potentials join each token to the
 previous one with the same key (its digits if there are five at least, else the token itself), however far apart. Loopy
 message passing over all documents of a slice at once, with or without base spans, runs until the messages settle and decides the hidden
-labels; a token whose belief in a kind reaches ``SURE`` adds a span. Linking consecutive like tokens keeps the graph linear in the text.
+labels; a token whose belief in a kind reaches ``SURE`` adds a span. Neighbouring pieces of one number, with nothing but spaces, brackets, dots
+and hyphens between, add one span. Linking consecutive like tokens keeps the graph linear in the text.
 
-All potentials are learned from the base labels of at most ``TRAIN_DOCS`` documents, drawn by a hash of the text. Null and empty
+All potentials are learned from the base labels of at most ``TRAIN_DOCS`` different texts, those of least hash: counts of labels first, then node, chain and skip
+potentials together by the likelihood of each label given its neighbours', of which a share ``HIDE`` is hidden as in a text without base spans. Null and empty
 texts have no spans. Long texts are read whole. Base patterns are scanned in linear time. Repeated rows repeat. An empty
 table gives no rows. Other columns pass through ``tag``.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +29,7 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 4000
 SURE = 0.9
+HIDE = 0.3
 #: A message that moves by less has settled. After so many steps messages move by half only, so that they don't swing.
 SETTLED, DAMPED = 1e-3, 50
 
@@ -38,6 +42,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SEED = re.compile(r"[0-9@]\S*")
+_BETWEEN = re.compile(r"[\s().,-]{0,3}")
+#: Digits that a span joined of pieces has at most, by kind; others aren't joined.
+JOINED = {2: 19, 3: 15}
 _STRIP = ".,;:!?()[]{}\"'|<>*%"
 
 
@@ -129,7 +136,12 @@ class Graph:
             self.doc.append(doc)
             self.span.append((start, end))
             self.shape.append(shape(token))
-            self.label.append(next((k + 1 for s, e, k in spans[at : at + 4] if s < end and e > start), 0))
+            label = 0
+            for s, e, k in itertools.islice(spans, at, None):
+                if label or s >= end:
+                    break
+                label = k + 1 if e > start else 0
+            self.label.append(label)
             if before >= 0:
                 self.chain.append((before, me))
             before = me
@@ -138,27 +150,55 @@ class Graph:
                     self.skip.append((seen[k], me))
                 seen[k] = me
 
+    def surroundings(self) -> np.ndarray:
+        """By node: shape, own label, and the labels of the nodes before and after in the chain and among the like ones; -1: none, or hidden."""
+        shapes, labels, chain, skip = self.arrays()
+        start = np.array([s for s, _ in self.span], np.uint64)
+        told = np.where((start * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(1000) < np.uint64(int(1000 * HIDE)), -1, labels)
+        near = np.full((4, len(shapes)), -1)
+        for k, edges in enumerate((chain, skip)):
+            near[2 * k, edges[:, 1]], near[2 * k + 1, edges[:, 0]] = told[edges[:, 0]], told[edges[:, 1]]
+        return np.stack([shapes, labels, *near])
+
     def arrays(self) -> tuple[np.ndarray, ...]:
         two = lambda x: np.array(x, np.int64).reshape(-1, 2)
         return np.array(self.shape, np.int64), np.array(self.label, np.int64), two(self.chain), two(self.skip)
 
 
+def training_texts(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """(text): the ``most`` different texts with candidates of least hash. Only hashes are put in order, texts stay where they are read."""
+    own = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    last = own.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return own.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("text").alias("text")).select("text")
+
+
 def statistics(docs: DataFrame, most: int = TRAIN_DOCS) -> dict[str, dict]:
-    """Counts of (shape, label), of labels of chain neighbours and of skip neighbours, over ``most`` documents with candidates."""
-    sample = docs.where(F.col("text").rlike("[0-9@]")).select("text").orderBy(F.xxhash64("text"), "text").limit(most)
+    """Counts over ``training_texts``: of (shape, label), of labels of chain neighbours and of skip neighbours, and, joint, of whole ``surroundings``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             g = Graph()
             for d, text in enumerate(b.column("text").to_pylist()):
                 g.add(d, text, base_spans(text))
-            shapes, labels, chain, skip = g.arrays()
-            rows = np.concatenate([np.stack([np.full(len(x), k), x, y]) for k, x, y in ((0, shapes, labels), (1, labels[chain[:, 0]], labels[chain[:, 1]]), (2, labels[skip[:, 0]], labels[skip[:, 1]]))], axis=1)
-            found, n = np.unique(rows, axis=1, return_counts=True)
-            yield pa.record_batch([pa.array(found[0]), pa.array(found[1]), pa.array(found[2]), pa.array(n.astype(np.int64))], ["what", "x", "y", "n"])
-
-    counts = sample.mapInArrow(run, "what long, x long, y long, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).collect()
-    return {name: {(r.x, r.y): r.n for r in counts if r.what == k} for k, name in enumerate(("node", "chain", "skip"))}
+            found, n = np.unique(g.surroundings(), axis=1, return_counts=True)
+            chain, skip = (np.array(x, np.int64).reshape(-1, 2) for x in (g.chain, g.skip))
+            labels = np.array(g.label, np.int64)
+            rows, counts = [found], [n]
+            for k, edges in ((-2, chain), (-3, skip)):  # in the place of shape: pairs of labels
+                pair, m = np.unique(labels[edges], axis=0, return_counts=True)
+                rows.append(np.concatenate([np.full((1, len(pair)), k), pair.T, np.zeros((3, len(pair)), np.int64)]))
+                counts.append(m)
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (*np.concatenate(rows, axis=1), np.concatenate(counts))], [*"abcdef", "n"])
+
+    got = training_texts(docs, most).mapInArrow(run, "a long, b long, c long, d long, e long, f long, n long").groupBy(*"abcdef").agg(F.sum("n").alias("n")).collect()
+    stats: dict[str, dict] = {"node": {}, "chain": {}, "skip": {}, "joint": {}}
+    for *x, n in got:
+        if x[0] >= 0:
+            stats["joint"][tuple(x)] = n
+            stats["node"][x[0], x[1]] = stats["node"].get((x[0], x[1]), 0) + n
+        else:
+            stats["chain" if x[0] == -2 else "skip"][x[1], x[2]] = n
+    return stats
 
 
 class Field:
@@ -180,6 +220,29 @@ class Field:
                 self.node -= rate * g / np.sqrt(squares)
         self.chain = self._pair(stats["chain"], size, 1.0)
         self.skip = self._pair(stats["skip"], size, 5.0)
+        if stats.get("joint"):
+            self._together(stats["joint"], steps, rate / 4)
+
+    def _together(self, counts: dict[tuple[int, ...], int], steps: int, rate: float) -> None:
+        """From the counted potentials on, all together: AdaGrad on the loss of each label given the labels around it, which is convex."""
+        size = len(KINDS) + 1
+        rows = np.array(sorted(counts), np.int64)
+        n = np.array([counts[tuple(r)] for r in rows.tolist()], float)[:, None] / sum(counts.values())
+        x, y = (rows[:, :1] >> np.arange(BITS) & 1).astype(float), np.eye(size)[rows[:, 1]]
+        near = [np.where(rows[:, k : k + 1] >= 0, np.eye(size)[rows[:, k]], 0.0) for k in range(2, 6)]  # before, after, like before, like after
+        all_ = [self.node, self.chain, self.skip]
+        squares, most = [np.full_like(w, 1e-8) for w in all_], (np.inf, 2.0, 5.0)
+        for _ in range(steps):
+            node, chain, skip = all_
+            score = x @ node + near[0] @ chain + near[1] @ chain.T + near[2] @ skip + near[3] @ skip.T
+            e = np.exp(score - score.max(1, keepdims=True))
+            g = n * (e / e.sum(1, keepdims=True) - y)
+            slopes = [x.T @ g, near[0].T @ g + g.T @ near[1], near[2].T @ g + g.T @ near[3]]
+            for w, slope, square, top in zip(all_, slopes, squares, most, strict=True):
+                slope = slope + 1e-5 * w
+                square += slope * slope
+                w -= rate * slope / np.sqrt(square)
+                np.clip(w, -top, top, out=w)
 
     @staticmethod
     def _pair(counts: dict, size: int, most: float) -> np.ndarray:
@@ -232,6 +295,17 @@ class Field:
         return p / p.sum(1, keepdims=True) if n else p
 
 
+def joined(text: str, found: list[Span]) -> list[Span]:
+    """``found``, by start, with neighbouring pieces of one number as one span."""
+    out: list[Span] = []
+    for k, s, e in found:
+        if out and out[-1][0] == k and k in JOINED and s >= out[-1][2] and _BETWEEN.fullmatch(text, out[-1][2], s) and sum(c.isdigit() for c in text[out[-1][1] : e]) <= JOINED[k]:
+            out[-1] = (k, out[-1][1], e)
+        else:
+            out.append((k, s, e))
+    return out
+
+
 def tag(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """``docs`` plus base_ and spans_: kind:start:end of the base spans and of all spans, by kind, then start, comma-joined; and
     counts_, the number of base spans of each kind. Columns of ``docs`` with these names are replaced."""
@@ -255,7 +329,8 @@ def tag(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
             p = held.value.beliefs(shapes, labels, chain, skip)
             for i in np.flatnonzero((labels == 0) & (p[:, 1:].max(1, initial=0) >= SURE)) if len(p) else ():
                 more.setdefault(graph.doc[i], []).append((int(p[i, 1:].argmax()), *graph.span[i]))
-            spans = [sorted([*x, *more.get(d, ())]) for d, x in enumerate(base)]
+            texts = b.column(text_at)
+            spans = [sorted([*x, *joined(texts[d].as_py(), more[d])]) if d in more else x for d, x in enumerate(base)]
             counts = [[sum(k == i for k, _, _ in x) for i in range(len(KINDS))] for x in base]
             yield pa.record_batch([*b.columns, pa.array(map(join, base), pa.string()), pa.array(map(join, spans), pa.string()), pa.array(counts, pa.list_(pa.int64()))], [*b.schema.names, "base_", "spans_", "counts_"])
 
