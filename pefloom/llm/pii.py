@@ -30,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 4000
 SURE = 0.9
 HIDE = 0.3
+#: How strongly pair potentials are held near 0, which few labels tell much about.
+PAIRS = 1e-3
 #: A message that moves by less has settled. After so many steps messages move by half only, so that they don't swing.
 SETTLED, DAMPED = 1e-3, 50
 
@@ -105,10 +107,11 @@ def shape(token: str) -> int:
     digits = sum(c.isdigit() for c in token)
     groups = ("@" in token, "." in token, token.count(".") == 3, token[0] == "+", "-" in token, "/" in token, ":" in token, any(c.isalpha() for c in token), "(" in token or ")" in token)
     sizes = (digits == 0, 1 <= digits <= 3, digits == 4, 5 <= digits <= 7, 8 <= digits <= 11, 12 <= digits <= 15, 16 <= digits <= 19, digits > 19)
-    return sum(1 << k for k, x in enumerate((*groups, *sizes, True)) if x)
+    plain = "".join(c for c in token if "0" <= c <= "9")
+    return sum(1 << k for k, x in enumerate((*groups, *sizes, True, 16 <= len(plain) <= 19 and luhn(plain))) if x)
 
 
-BITS = 18
+BITS = 19
 
 
 def key(token: str) -> str:
@@ -231,15 +234,15 @@ class Field:
         x, y = (rows[:, :1] >> np.arange(BITS) & 1).astype(float), np.eye(size)[rows[:, 1]]
         near = [np.where(rows[:, k : k + 1] >= 0, np.eye(size)[rows[:, k]], 0.0) for k in range(2, 6)]  # before, after, like before, like after
         all_ = [self.node, self.chain, self.skip]
-        squares, most = [np.full_like(w, 1e-8) for w in all_], (np.inf, 2.0, 5.0)
+        squares, most, ridge = [np.full_like(w, 1e-8) for w in all_], (np.inf, 2.0, 5.0), (1e-5, PAIRS, PAIRS)
         for _ in range(steps):
             node, chain, skip = all_
             score = x @ node + near[0] @ chain + near[1] @ chain.T + near[2] @ skip + near[3] @ skip.T
             e = np.exp(score - score.max(1, keepdims=True))
             g = n * (e / e.sum(1, keepdims=True) - y)
             slopes = [x.T @ g, near[0].T @ g + g.T @ near[1], near[2].T @ g + g.T @ near[3]]
-            for w, slope, square, top in zip(all_, slopes, squares, most, strict=True):
-                slope = slope + 1e-5 * w
+            for w, slope, square, top, small in zip(all_, slopes, squares, most, ridge, strict=True):
+                slope = slope + small * w
                 square += slope * slope
                 w -= rate * slope / np.sqrt(square)
                 np.clip(w, -top, top, out=w)
