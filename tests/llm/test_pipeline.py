@@ -51,6 +51,41 @@ def test_stages(spark, tmp_path):
     assert again == {i: (x.size, x.taken) for i, x in kept[4].items()}
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, ties, repeated rows, further columns with clashing names, and empty tables."""
+    r = random.Random(2)
+    d = str(tmp_path)
+    clean = [prose(r, 60) for _ in range(60)]
+    toxic = [prose(r, 30) + " vile scum " + prose(r, 30) for _ in range(60)]
+    item = prose(r, 20)
+    more = ["score", "Predicted", "h1", "root", "id_", "t_", "doc", "removed", "whole", "spans0", "label", "y"]
+    texts = [*enumerate(clean + toxic), (None, prose(r, 50)), (None, None), (200, None), (201, ""), (202, "\n\n"), (203, "!?"), (204, "long " + prose(r, 20000)), (0, clean[0]), (0, prose(r, 40)), (205, prose(r, 30) + " " + item)]
+    rows = [(i, t, None, None if k % 3 else "s", None, *(f"{c}{k}" for c in more)) for k, (i, t) in enumerate(texts)]
+    rows[-1] = (*rows[-1][:4], 5, *rows[-1][5:])
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in more)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(120)] + [(None, None, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    own = {x[5]: x for x in rows}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, d).write.parquet(f"{d}/out/{k}")
+        docs = spark.read.schema(schema).parquet(f"{d}/out/{k}")
+        got = docs.collect()
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert all(tuple(x)[5:] == own[x.score][5:] and x.doc_id == own[x.score][0] for x in got) and len({x.score for x in got}) == len(got)
+        kept = {x.score: x for x in got}
+        assert {f"score{k}" for k in [*range(60), *range(120, 129)]} <= kept.keys() and not any(f"score{k}" in kept for k in range(60, 120))
+    assert kept["score129"].text == " ".join(texts[129][1].split()[:30]) + " " and kept["score129"].n_chars == len(kept["score129"].text)
+    assert kept["score0"].text == kept["score127"].text == clean[0]
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
+    assert len(mixed) == len(got) and all(0 <= x.taken <= 2 * x.size for x in mixed)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/none/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/none/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), f"{d}/none").count() == 0
+    assert corpus_pipeline.drop_toxic(spark, docs, f"{d}/none").count() == corpus_pipeline.drop_benchmark(spark, docs, f"{d}/none").count() == len(got)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query(spark, name):
