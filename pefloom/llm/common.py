@@ -1,15 +1,13 @@
-"""What several operators share: connected components and links within buckets."""
+"""What several operators share: connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pefloom.plans.lineage import cut, shared_dir
 
-__all__ = ["connected_components", "cut", "link_buckets", "shared_dir", "with_root"]
+__all__ = ["connected_components", "cut", "shared_dir", "with_root"]
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -37,46 +35,3 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
 def with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members`` with the column root of its id; an id without links is its own root."""
     return members.join(roots.withColumnRenamed("root", "root_"), "id", "left").withColumn("root", F.coalesce("root_", "id")).drop("root_")
-
-
-#: A member meets some so many others of its bucket before the whole bucket is tried.
-GROUP = 32
-
-
-def link_buckets(members: DataFrame, near: Callable[[str, str], Column], once: Callable[[str, str, str], Column], verify: Callable[[DataFrame], DataFrame], payload: list[str], measure: Callable[[DataFrame], DataFrame], can: Callable[[str, str], Column]) -> DataFrame:
-    """(id, root) of all ids of ``members`` (bucket, id and the payload columns) that some verified pair links.
-
-    A pair of ids is a link if they share a bucket, ``near`` holds between their payloads (prefixes "a" and "b") and ``verify`` keeps
-    it in (a, b). First every member is held against its bucket's centre, the member that shares most buckets with most others:
-    one pair a row, so a large group of alike texts costs its size, not its square. Then buckets are dealt into groups of
-    some ``GROUP`` members by their ids, and those of a group that are still in different components meet: this links most members of
-    a large group that are too far from its centre. The pairs without the centre that are still in different
-    components then and weren't in one group follow. Pairs without the centre meet in the one bucket that ``once`` (a, b,
-    bucket) names, so no link between components is lost; links inside a component would change nothing.
-
-    ``measure`` gives (a, b, far) for pairs (a, b) of a centre and a member of a bucket of more than two groups; ``can`` is null or true
-    where two members at the distances far from one centre may be similar, and only sure of pairs where it is false.
-    """
-    own = Window.partitionBy("bucket")
-    shared = members.withColumn("n", F.count("*").over(own)).where("n > 1")  # few rows: most buckets have one member
-    fame = F.sum("n").over(Window.partitionBy("id"))
-    shared = cut(shared.withColumn("fame", fame).withColumn("b", F.max(F.struct("fame", "id", *payload)).over(own)).select("bucket", "id", *payload, "n", "b"))
-    pack = lambda p: F.struct("id", *payload).alias(p)
-    star = shared.select(pack("a"), "b").where("a.id <> b.id").where(near("a", "b"))
-    edges = cut(verify(star.select(F.col("b.id").alias("a"), F.col("a.id").alias("b")).distinct()))
-    roots = connected_components(edges)
-    big = shared.where(f"n div {GROUP} > 1 AND id <> b.id").select(F.col("b.id").alias("a"), F.col("id").alias("b")).distinct()
-    far = cut(measure(big)).select(F.col("a").alias("hub"), F.col("b").alias("id"), "far")
-    others = shared.where("n > 2 AND id <> b.id").select("bucket", "id", *payload, F.col("b.id").alias("hub"), F.expr(f"pmod(xxhash64(id), greatest(1, n div {GROUP}))").alias("team"))
-    others = cut(others.join(far, ["hub", "id"], "left"))
-    for grouped in (True, False):
-        mixed = with_root(others, roots).withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi")
-        rest = mixed.select("bucket", "team", F.struct("id", "root", "far", *payload).alias("a"))
-        left, right = rest.withColumnRenamed("team", "team_a"), rest.select(F.col("bucket").alias("bucket_b"), F.col("team").alias("team_b"), F.col("a").alias("b"))
-        meet = (F.col("bucket") == F.col("bucket_b")) & (F.col("team_a") == F.col("team_b") if grouped else F.col("team_a") != F.col("team_b"))
-        pairs = left.join(right, meet).where("a.id < b.id AND a.root <> b.root").where(F.coalesce(can("a.far", "b.far"), F.lit(True))).where(near("a", "b")).where(once("a", "b", "bucket"))
-        more = cut(verify(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()))
-        if not more.isEmpty():
-            edges = edges.union(more)
-            roots = connected_components(edges)
-    return roots

@@ -466,6 +466,43 @@ def test_lines_far_from_the_centre_of_a_large_group(spark):
     assert [x.c for x in tied.select(linededup.may_be_alike("p", "q").alias("c")).collect()] == [False] * 9 + [True]
 
 
+def test_lines_unlike_a_large_group_meet_few_of_it(spark):
+    # 60 lines share most of their least words, and so a bucket, with all of 240 near copies, but are like none of them; two of them are alike
+    r = random.Random(18)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(4000)]
+    h = {x.w: x.h for x in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    base = words[:80]
+    least = set(sorted(base, key=lambda w: (h[w] & (1 << 64) - 1) >> 4)[:5])
+
+    def replaced(line, n):
+        line = list(line)
+        for at in r.sample([k for k, w in enumerate(line) if w not in least], n):
+            line[at] = r.choice(words)
+        return line
+
+    lines = [base] + [replaced(base, 4) for _ in range(239)] + [replaced(base, 30) for _ in range(60)]
+    lines.append(replaced(lines[-1], 2))
+    met = []
+    by_words, linededup.by_words = linededup.by_words, lambda pairs: (met.append(pairs.count()), by_words(pairs))[1]
+    try:
+        got = linededup.op5_linededup(docs_of(spark, [" ".join(x) for x in lines])).collect()
+    finally:
+        linededup.by_words = by_words
+    assert {x.doc_id for x in got if x.n_removed} == {*range(1, 240), 300}
+    assert sum(met) < 8 * len(lines)  # 60 * 240 pairs of unlike lines share a bucket
+
+
+def test_line_dedup_shuffles_few_rows_a_line(spark):
+    # lines leave the tasks that read them without an exchange, and for ten buckets each
+    r = random.Random(19)
+    lines = linededup.sampled_lines(docs_of(spark, ["\n".join(prose(r, 40) for _ in range(3)) for _ in range(20)]))
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    keys = lines.select(F.explode(linededup.keys_of()).alias("k")).where("k IS NOT NULL")
+    assert lines.count() == 60 and keys.count() == 600
+    short = linededup.sampled_lines(docs_of(spark, ["alpha", "alpha beta", "alpha beta gamma", "alpha beta gamma delta"]))
+    assert [x.n for x in short.orderBy("doc_id").select(F.size(F.array_compact(linededup.keys_of())).alias("n")).collect()] == [1, 3, 4, 4]
+
+
 def test_lanes_hold_long_lines(spark):
     r = random.Random(16)
     texts = [prose(r, n) for n in (3, 511, 512, 513, 2000)] + ["alpha beta " * 550_000 + "alpha"]
