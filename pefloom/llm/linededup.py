@@ -221,16 +221,20 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     places = lines.join(places, "h1").where("doc_h = h_").groupBy("h1", "h_").agg(F.min("line_no").alias("line_no"))
     places = stored(places.groupBy("h_").agg(F.collect_list(F.struct("h1", "line_no")).alias("want")))
     places = F.broadcast(places) if places.count() <= SEND_IDS // 16 else places
-    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h_")).join(places, "h_").dropDuplicates(["h_"])
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h_")).join(places, "h_")
     texts = texts.withColumn("parts", F.split("text", "\n", -1)).select(F.inline(F.transform("want", lambda w: F.struct(w["h1"].alias("id"), F.element_at("parts", w["line_no"] + 1).alias("line")))))
-    texts = stored(texts.select("id", words_of("line").alias("words")))
+    # copies of a document bring their lines again
+    texts = stored(texts.dropDuplicates(["id"]).select("id", words_of("line").alias("words")))
     known = stored(voted(texts, ["id"]).join(texts.select("id", F.size("words").alias("nw"), n_letters("words").alias("nc")), "id"))
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def with_words(pairs: DataFrame) -> DataFrame:
-        # pairs take few bytes and long, so their number, not their size, is dealt out
-        pairs, own = pairs.repartition(tasks, "a", "b"), texts.select("id", "words")
+        # only lines of these pairs are shuffled; pairs take few bytes and long, so their number, not their size, is dealt out
+        pairs = stored(pairs)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        own = texts.join(F.broadcast(ids) if pairs.count() <= SEND_IDS // 16 else ids, "id", "left_semi")
+        pairs = pairs.repartition(tasks, "a", "b")
         return pairs.join(own.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
 
     sizes = " OR ".join(f"abs(p.{n} - q.{n}) <= {LIMIT.format(f'p.{n}', f'q.{n}')}" for n in ("nw", "nc"))
@@ -248,7 +252,7 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     open_ = stored(mixed.withColumn("pivot", F.max(F.struct(F.coalesce("fame", F.lit(0)), "id")).over(own)["id"]).drop("fame"))
     if open_.isEmpty():
         return roots
-    far = distances(with_words(open_.where(f"n >= {LARGE} AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())).select(F.col("a").alias("pivot"), F.col("b").alias("id"), "far")
+    far = stored(distances(with_words(open_.where(f"n >= {LARGE} AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())).select(F.col("a").alias("pivot"), F.col("b").alias("id"), "far"))
     buckets = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
     rows = stored(open_.where("id <> hub").join(known, "id").join(buckets, "id").join(far, ["pivot", "id"], "left"))
     p, q = (rows.select(F.col("bucket").alias(f"bucket_{s}"), F.struct("id", "root", "sim", "nw", "nc", "far", "buckets").alias(s)) for s in ("p", "q"))
