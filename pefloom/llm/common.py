@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pefloom.plans.lineage import cut, shared_dir
+from pefloom.plans.lineage import Folder, cut, shared_dir
 
-__all__ = ["connected_components", "cut", "shared_dir", "with_root"]
+__all__ = ["Folder", "connected_components", "cut", "shared_dir", "with_root"]
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:

@@ -12,7 +12,7 @@ a key, so that lines meet that have any three in common; lines of up to three wo
 Edits that touch nearly every word leave no word in common and aren't found.
 
 Members are held against their bucket's hub first (``line_groups``), so a large group of alike lines costs its size; lines that
-the triangle inequality keeps apart, by their distances from the pivot of a large bucket, don't meet. Of each connected
+the triangle inequality keeps apart, by their distances from the pivot of a large bucket, don't meet, and lines like the pivot are linked before. Of each connected
 group only the first occurrence, by (doc_id, line number), stays. Only lines that share a bucket with another get a SimHash; its vote counts
 for the 64 bits are summed in lanes packed into longs.
 
@@ -30,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pefloom.llm.common import connected_components, shared_dir, with_root
+from pefloom.llm.common import Folder, connected_components, shared_dir, with_root
 
 #: Similar lines are some 13 bits apart at a fifth of the words replaced, unrelated ones some 32.
 BITS_APART = 24
@@ -39,8 +39,8 @@ SIMILAR = 0.8
 SAMPLES = 5
 #: Members of buckets of so many or more are told apart by their distances from its pivot.
 LARGE = 64
-#: Words of so many bytes are 2**LIFT times as likely to be sampled as shorter ones, which unrelated lines share, and have so many votes.
-TELLING, LIFT, VOTES = 4, 3, 4
+#: Each byte of a word, up to LIFT, makes it twice as likely to be sampled: unrelated lines share short words. Words of TELLING bytes have so many votes.
+TELLING, LIFT, VOTES = 4, 12, 4
 #: Vote counts: so many lanes of so many bits in a long, for lines of fewer than 2**bits votes; no text has 2**31.
 NARROW, WIDE = (5, 11), (2, 31)
 #: What separates words. Fixed values.
@@ -55,12 +55,12 @@ LIMIT = f"CAST(floor({1 - SIMILAR:.6f} * greatest({{}}, {{}}) + 1e-9) AS INT)"
 FAR = "struct<wlo: int, whi: int, clo: int, chi: int, nw: int, nc: int>"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: computed once, compressed, and read by column.
+def stored(df: DataFrame, base: str) -> DataFrame:
+    """``df`` written as Parquet to a folder in ``base`` and read again: computed once, compressed, and read by column.
 
     The driver then collects its garbage, so that Spark's cleaner drops the shuffle files that only the lineage needed.
     """
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{base}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
@@ -99,7 +99,8 @@ def words_of(line: str) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_h, line_no, h1, h2, words) of all lines with words: h1 and h2 stand for the sequence of words."""
     lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("doc_id", "doc_h", "line_no", words_of("line").alias("words")).where("size(words) > 0")
+    # the filter names a row number, as below: split once
+    lines = lines.select("doc_id", "doc_h", "line_no", words_of("line").alias("words"), F.monotonically_increasing_id().alias("at")).where("at >= 0 AND size(words) > 0")
     return lines.select("doc_id", "doc_h", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), "words")
 
 
@@ -108,7 +109,7 @@ def sampled_lines(docs: DataFrame) -> DataFrame:
 
     No word leaves its row, so nothing is shuffled.
     """
-    least = f"slice(sort_array(transform(array_distinct(words), w -> shiftrightunsigned(xxhash64(w), IF(length(w) >= {TELLING}, {LIFT + 1}, 1)))), 1, {SAMPLES})"
+    least = f"slice(sort_array(array_distinct(transform(words, w -> shiftrightunsigned(xxhash64(w), least(octet_length(w), {LIFT}))))), 1, {SAMPLES})"
     lines = lines_of(docs).select("doc_id", "doc_h", "line_no", "h1", "h2", F.expr(least).alias("least"))
     return lines.select("doc_id", "doc_h", "line_no", "h1", "h2", *(F.get("least", F.lit(k)).alias(f"s{k}") for k in range(SAMPLES)))
 
@@ -174,12 +175,13 @@ def alike(pairs: DataFrame) -> DataFrame:
 
 def distances(pairs: DataFrame) -> DataFrame:
     """``pairs`` with far: the least and the most that the edit distance of x and y can be, in words (as ``alike`` compares them) and
-    in letters, and the sizes of y. Beyond twice what similar lines may have, and one, the most is without bound."""
-    sized = pairs.withColumns({"nx": n_letters("x"), "ny": n_letters("y")})
+    in letters, and the sizes of y. Beyond twice what similar lines may have, and one, the most is without bound. like: whether ``alike`` has them."""
+    sized = pairs.withColumns({"nx": n_letters("x"), "ny": n_letters("y"), "third": F.expr("3 * size(array_intersect(x, y)) >= size(array_union(x, y))")})
     bounds = {"most": limit("nx", "ny"), "words": limit("size(x)", "size(y)")}
     found = sized.withColumns(bounds | {"at": F.monotonically_increasing_id()}).where("at >= 0")
     found = with_letters(found).withColumns({"at": F.monotonically_increasing_id(), "sx": F.expr(spaced("x")), "sy": F.expr(spaced("y"))})
     found = found.withColumns({"dw": F.expr("levenshtein(cx, cy, 2 * words + 1)"), "dc": F.expr("levenshtein(sx, sy, 2 * most + 1)")}).where("at >= 0")
+    found = found.withColumn("like", F.expr("third AND dw >= 0 AND (dw <= words OR dc BETWEEN 0 AND most)"))
     least = lambda d, most: F.expr(f"IF({d} < 0, 2 * {most} + 2, {d})")
     top = lambda d: F.expr(f"IF({d} < 0, {1 << 30}, {d})")
     return found.withColumn("far", F.struct(least("dw", "words").alias("wlo"), top("dw").alias("whi"), least("dc", "most").alias("clo"), top("dc").alias("chi"), F.size("y").alias("nw"), F.col("ny").cast("int").alias("nc")))
@@ -201,8 +203,14 @@ def keys_of() -> Column:
     return F.array(*threes, *twos, *ones)
 
 
-def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, root) of the lines, by h1, that are linked to others than themselves; ``lines`` are the sampled lines of ``docs``.
+def several(members: DataFrame) -> DataFrame:
+    """The ``members`` of buckets with more than one root."""
+    own = Window.partitionBy("bucket")
+    return members.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi").drop("lo", "hi")
+
+
+def line_groups(docs: DataFrame, lines: DataFrame, base: str) -> DataFrame:
+    """(id, root) of the lines, by h1, that are linked to others than themselves; ``lines`` are the sampled lines of ``docs``; tables on the way stay in ``base``.
 
     Every line is held against the hubs of its buckets first, the least id of each: a few pairs a line, so that a large group of
     alike lines costs its size, not its square. In the buckets that hold several components then, all pairs of different components
@@ -213,25 +221,25 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     # most buckets have one member; dealt out once, for the buckets' ends and the members of the others
     members = distinct.select(F.explode(keys_of()).alias("bucket"), F.col("h1").alias("id")).where("bucket IS NOT NULL").repartition("bucket")
     ends = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("n")).where("hub < last").drop("last")
-    shared = stored(members.join(ends.hint("shuffle_hash"), "bucket").select("bucket", "id", "hub", "n"))
+    shared = stored(members.join(ends.hint("shuffle_hash"), "bucket").select("bucket", "id", "hub", "n"), base)
 
     # one occurrence of each line that is to be compared, its words from that document, and its SimHash
     ids = shared.select(F.col("id").alias("h1")).distinct()
     places = lines.join(ids, "h1", "left_semi").groupBy("h1").agg(F.max("doc_h").alias("h_"))
     places = lines.join(places, "h1").where("doc_h = h_").groupBy("h1", "h_").agg(F.min("line_no").alias("line_no"))
-    places = stored(places.groupBy("h_").agg(F.collect_list(F.struct("h1", "line_no")).alias("want")))
+    places = stored(places.groupBy("h_").agg(F.collect_list(F.struct("h1", "line_no")).alias("want")), base)
     places = F.broadcast(places) if places.count() <= SEND_IDS // 16 else places
     texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h_")).join(places, "h_")
     texts = texts.withColumn("parts", F.split("text", "\n", -1)).select(F.inline(F.transform("want", lambda w: F.struct(w["h1"].alias("id"), F.element_at("parts", w["line_no"] + 1).alias("line")))))
     # copies of a document bring their lines again
-    texts = stored(texts.dropDuplicates(["id"]).select("id", words_of("line").alias("words")))
-    known = stored(voted(texts, ["id"]).join(texts.select("id", F.size("words").alias("nw"), n_letters("words").alias("nc")), "id"))
+    texts = stored(texts.dropDuplicates(["id"]).select("id", words_of("line").alias("words")), base)
+    known = stored(voted(texts, ["id"]).join(texts.select("id", F.size("words").alias("nw"), n_letters("words").alias("nc")), "id"), base)
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def with_words(pairs: DataFrame) -> DataFrame:
         # only lines of these pairs are shuffled; pairs take few bytes and long, so their number, not their size, is dealt out
-        pairs = stored(pairs)
+        pairs = stored(pairs, base)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         own = texts.join(F.broadcast(ids) if pairs.count() <= SEND_IDS // 16 else ids, "id", "left_semi")
         pairs = pairs.repartition(tasks, "a", "b")
@@ -241,45 +249,56 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     can = near("p.sim", "q.sim") & F.expr(f"({sizes})")
     star = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     p, q = (known.select(F.col("id").alias(c), F.struct("sim", "nw", "nc").alias(s)) for c, s in (("a", "p"), ("b", "q")))
-    told = stored(by_words(with_words(star.join(p, "a").join(q, "b").where(can).select("a", "b"))).select("a", "b", "like"))
+    told = stored(by_words(with_words(star.join(p, "a").join(q, "b").where(can).select("a", "b"))).select("a", "b", "like"), base)
     links = told.where("like").select("a", "b")
     roots = connected_components(links)
 
     # the bucket's pivot is the hub of most linked lines: near to most others, whatever the order of the ids
     own = Window.partitionBy("bucket")
     fame = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("fame"))
-    mixed = with_root(shared, roots).withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo < hi").drop("lo", "hi").join(fame, "id", "left")
-    open_ = stored(mixed.withColumn("pivot", F.max(F.struct(F.coalesce("fame", F.lit(0)), "id")).over(own)["id"]).drop("fame"))
+    mixed = several(with_root(shared, roots)).join(fame, "id", "left")
+    open_ = stored(mixed.withColumn("pivot", F.max(F.struct(F.coalesce("fame", F.lit(0)), "id")).over(own)["id"]).drop("fame", "root"), base)
     if open_.isEmpty():
         return roots
-    far = stored(distances(with_words(open_.where(f"n >= {LARGE} AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())).select(F.col("a").alias("pivot"), F.col("b").alias("id"), "far"))
+    far = stored(distances(with_words(open_.where(f"n >= {LARGE} AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())).select("a", "b", "like", "far"), base)
+    links = stored(links.union(far.where("like").join(p, "a").join(q, "b").where(near("p.sim", "q.sim")).select("a", "b")), base)
+    roots = connected_components(links)
+    open_ = stored(several(with_root(open_, roots)), base)
     buckets = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
-    rows = stored(open_.where("id <> hub").join(known, "id").join(buckets, "id").join(far, ["pivot", "id"], "left"))
+    far = far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "far")
+    rows = stored(open_.where("id <> hub").join(known, "id").join(buckets, "id").join(far, ["pivot", "id"], "left"), base)
     p, q = (rows.select(F.col("bucket").alias(f"bucket_{s}"), F.struct("id", "root", "sim", "nw", "nc", "far", "buckets").alias(s)) for s in ("p", "q"))
     new = F.expr("bucket_p = bucket_q AND p.id < q.id AND p.root <> q.root")
     met = p.repartition(tasks, "p.id").join(q, new & can & F.coalesce(may_be_alike("p.far", "q.far"), F.lit(True)) & F.expr("array_min(array_intersect(p.buckets, q.buckets)) = bucket_p"))
-    more = stored(by_words(with_words(met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))).select("a", "b", "like"))
+    more = stored(by_words(with_words(met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))).select("a", "b", "like"), base)
     # letters are compared, which takes longest, where words decide nothing and no other line links the two
-    root = open_.select("id", "root").distinct()
-    apart = told.where("NOT like").join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b").where("root_a <> root_b")
-    apart = apart.select("a", "b").union(more.where("NOT like").select("a", "b")).distinct()
-    more = stored(alike(with_words(apart)).select("a", "b").union(more.where("like").select("a", "b")))
+    links = stored(links.union(more.where("like").select("a", "b")), base)
+    roots = connected_components(links)
+    root = with_root(open_.select("id").distinct(), roots)
+    apart = told.where("NOT like").select("a", "b").union(more.where("NOT like").select("a", "b")).distinct()
+    apart = apart.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b").where("root_a <> root_b")
+    more = stored(alike(with_words(apart.select("a", "b"))).select("a", "b"), base)
     return roots if more.isEmpty() else connected_components(links.union(more))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_h, removed) of the documents with lines that repeat an earlier one; removed holds their numbers."""
-    lines = stored(sampled_lines(docs))
-    roots = line_groups(docs, lines)
+    """(doc_id, doc_h, removed) of the documents with lines that repeat an earlier one; removed holds their numbers. Only these rows stay on disk."""
+    spark = docs.sparkSession
+    base = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines = stored(sampled_lines(docs), base)
+    roots = line_groups(docs, lines, base)
     # lines said once and not linked need no look-up
     groups = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("id", "h1"), "h1", "left")
     groups = groups.where("n > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "h1").alias("root"))
-    seen = stored(lines.select("doc_id", "doc_h", "line_no", "h1", "h2").join(groups, ["h1", "h2"]).drop("h1", "h2"))
+    seen = stored(lines.select("doc_id", "doc_h", "line_no", "h1", "h2").join(groups, ["h1", "h2"]).drop("h1", "h2"), base)
     # of each group of linked lines, and each line said more than once, the first occurrence stays
     keep = seen.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     gone = seen.join(keep, "root").where(~F.col("keep").eqNullSafe(F.struct("doc_id", "line_no")))
     # repeated rows bring their lines again
-    return gone.groupBy("doc_id", "doc_h").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    found = stored(gone.groupBy("doc_id", "doc_h").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), f"{shared_dir(spark)}/removed-{uuid.uuid4().hex}")
+    # all else that was stored has served
+    Folder(spark, base).remove()
+    return found
 
 
 def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:

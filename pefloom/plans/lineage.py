@@ -39,10 +39,10 @@ def release(df: DataFrame) -> None:
     """Removes the files of ``df``, which ``cut`` made and nothing reads any more."""
     path = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if path.isDefined():
-        _Folder(df.sparkSession, path.get()).remove()
+        Folder(df.sparkSession, path.get()).remove()
 
 
-class _Folder:
+class Folder:
     """A folder of the shared file system, whichever that is."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -53,8 +53,8 @@ class _Folder:
     def names(self) -> list[str]:
         return sorted(f.getPath().getName() for f in self.fs.listStatus(self.at)) if self.fs.exists(self.at) else []
 
-    def sub(self, name: str) -> _Folder:
-        return _Folder(self.spark, f"{self.path}/{name}")
+    def sub(self, name: str) -> Folder:
+        return Folder(self.spark, f"{self.path}/{name}")
 
     def remove(self) -> None:
         self.fs.delete(self.at, True)
@@ -83,7 +83,7 @@ class Steps:
 
     def __init__(self, spark: SparkSession, path: str | None = None, **of):
         self.spark, self.of = spark, json.loads(json.dumps(of))
-        base = _Folder(spark, path or f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}")
+        base = Folder(spark, path or f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}")
         self.tables, self.log, self.at = base.sub("tables"), base.sub("log"), {}
 
     def _read(self, name: str, schema) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -503,6 +504,26 @@ def test_line_dedup_shuffles_few_rows_a_line(spark):
     assert [x.n for x in short.orderBy("doc_id").select(F.size(F.array_compact(linededup.keys_of())).alias("n")).collect()] == [1, 3, 4, 4]
 
 
+def test_lines_that_share_frequent_words_do_not_meet(spark):
+    # unrelated lines of 30 frequent words of four letters and 15 long words of their own share no three samples
+    r = random.Random(20)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    often = [word(4) for _ in range(60)]
+    lines = linededup.sampled_lines(docs_of(spark, [" ".join(r.sample(often, 30) + [word(9) for _ in range(15)]) for _ in range(300)]))
+    buckets = lines.select("doc_id", F.explode(linededup.keys_of()).alias("k")).where("k IS NOT NULL").groupBy("k").count().where("count > 1")
+    assert buckets.count() < 30
+
+
+def test_line_dedup_leaves_only_its_result_on_disk(spark):
+    r = random.Random(21)
+    lines = [prose(r, 40) for _ in range(30)]
+    base = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = {x.name for x in base.iterdir()}
+    found = linededup.repeated_lines(docs_of(spark, lines + [x + " zz" for x in lines]))
+    assert found.count() == 30
+    assert {x.split("-")[0] for x in {x.name for x in base.iterdir()} - before if x.startswith(("lines-", "removed-"))} == {"removed"}
+
+
 def test_lanes_hold_long_lines(spark):
     r = random.Random(16)
     texts = [prose(r, n) for n in (3, 511, 512, 513, 2000)] + ["alpha beta " * 550_000 + "alpha"]
