@@ -7,6 +7,11 @@ buckets a row don't grow with the corpus (3 MB); an estimate is off by some sqrt
 is told apart are shingles in more documents than that, and all rarer ones weigh alike. ``BANDS`` bands of ``ROWS`` samples find pairs of weighted
 Jaccard similarity 0.8 with probability 0.9998; every candidate is verified on the whole texts and linked at ``SIMILAR`` or more.
 
+The shingles that a large group of copies shares lose weight as the group grows, and those that one copy alone has don't, so that near copies within it
+fall below ``SIMILAR`` by weights though nearly all their words agree. With ``plain``, as the query asks, texts are also linked whose shingles by counts
+alone have a Jaccard similarity of ``SIMILAR``; ``PLAIN_BANDS`` more bands of unweighted samples find such pairs with probability 0.98 at 0.8 besides
+those that the weighted bands find.
+
 Texts with the same words are one class before anything is compared, so copies never meet as pairs. Classes in a bucket are
 held against one hub first; only pairs still apart that can be similar follow, so a large group of near copies costs little more
 than its size.
@@ -30,6 +35,7 @@ from pefloom.llm.common import connected_components, cut, with_root
 
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
+PLAIN_BANDS = 8
 DF_BITS, DF_ROWS = 18, 3
 #: Multipliers of the rows' hashes, odd. Fixed values.
 DF_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -126,7 +132,19 @@ def signatures(shingle: np.ndarray, weight: np.ndarray, soffs: np.ndarray, draws
     return out.T
 
 
-def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def plain_signatures(shingle: np.ndarray, soffs: np.ndarray) -> np.ndarray:
+    """Band hashes (rows with shingles, PLAIN_BANDS) by the least hashes of each row's distinct shingles."""
+    starts = soffs[:-1][np.diff(soffs) > 0]
+    out = np.zeros((PLAIN_BANDS, len(starts)), np.uint64)
+    for k in range(PLAIN_BANDS * ROWS):
+        h = (shingle ^ np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD1B54A32D192ED03)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x81DADEF4BC2DD44D)
+        out[k // ROWS] = tokens.mix(out[k // ROWS] * np.uint64(31) + np.minimum.reduceat(h, starts))
+    return out.T
+
+
+def sketches(docs: DataFrame, idf: np.ndarray, plain: bool = False) -> DataFrame:
     """(doc_id, t, h1, h2, bands) of the documents with an id and words; h1 and h2 stand for the sequence of words, t for the text."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -137,8 +155,9 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 shingle, count, soffs, h1, h2 = counted(data, offs)
                 rows = np.flatnonzero(np.diff(soffs))
                 if len(rows):
-                    bands = signatures(shingle, count * idf_of(held.value, shingle), soffs, draws).view(np.int64)
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
+                    bands = signatures(shingle, count * idf_of(held.value, shingle), soffs, draws)
+                    bands = np.concatenate([bands, plain_signatures(shingle, soffs)], 1) if plain else bands
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel().view(np.int64)))
                     at = pa.array(first + rows)
                     yield pa.record_batch([b.column("doc_id").take(at), b.column("t").take(at), pa.array(h1[rows]), pa.array(h2[rows]), flat], ["doc_id", "t", "h1", "h2", "bands"])
 
@@ -146,44 +165,47 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, t long, h1 long, h2 long, bands array<long>")
 
 
-def _unpacked(x: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, weights) of a packed row: shingles, then their counts."""
+def _unpacked(x: bytes, idf: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, weights) of a packed row: shingles, then their counts; with ``plain`` the counts are a second row of weights."""
     n = len(x) // 12
-    shingle = np.frombuffer(x, np.uint64, n)
-    return shingle, np.frombuffer(x, np.int32, n, 8 * n) * idf_of(idf, shingle).astype(float)
+    shingle, count = np.frombuffer(x, np.uint64, n), np.frombuffer(x, np.int32, n, 8 * n).astype(float)
+    weight = count * idf_of(idf, shingle).astype(float)
+    return shingle, np.stack([weight, count] if plain else [weight])
 
 
-def overlap(idf: np.ndarray, a: bytes, b: bytes) -> tuple[float, float, float, np.ndarray, float]:
-    """Of two packed rows: the weight they share, the weight of each, the shingles of b of which a has less, and their largest weight."""
-    (x, wx), (y, wy) = _unpacked(a, idf), _unpacked(b, idf)
+def overlap(idf: np.ndarray, a: bytes, b: bytes, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two packed rows: the weight they share, the weight of each, the shingles of b of which a has less, and their largest weight; all but the
+    shingles by kind of weight."""
+    (x, wx), (y, wy) = _unpacked(a, idf, plain), _unpacked(b, idf, plain)
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    mine = np.where(x[at] == y, wx[at], 0.0)
-    more = mine < wy
-    return np.minimum(mine, wy).sum(), wx.sum(), wy.sum(), y[more], wy[more].max(initial=0.0)
+    mine = np.where(x[at] == y, wx[:, at], 0.0)
+    more = mine[-1] < wy[-1]
+    return np.minimum(mine, wy).sum(1), wx.sum(1), wy.sum(1), y[more], wy[:, more].max(1, initial=0.0)
 
 
 def weighted_jaccard(idf: np.ndarray, a: bytes, b: bytes) -> float:
     both, wa, wb, *_ = overlap(idf, a, b)
-    return both / (wa + wb - both)
+    return float((both / (wa + wb - both))[0])
 
 
 #: A bucket of so many classes or fewer is compared pair by pair.
 SMALL = 8
 
 
-def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def near_components(docs: DataFrame, similar: float = SIMILAR, plain: bool = False) -> DataFrame:
     """(doc_id, t, h1, root) of the documents with an id and words, t standing for the text; root stands for the document's component.
+    Texts are similar by weights or, with ``plain``, by counts.
 
     Every class has a hub, the class that shares most buckets with most others among those it meets; in a group of near copies that is
     nearly the original, and one pair a class links most of them. A pair u, v still apart that has the hub p in common can only be
     similar if shared(u, v) >= s / (1 + s) * (weight(u) + weight(v)), and shared(u, v) <= shared(u, p) + what both have beyond p. Pairs
-    that pass this test, that have different hubs or that lie in small buckets are verified, each in the first bucket it shares,
+    that pass this test by one kind of weight, that have different hubs or that lie in small buckets are verified, each in the first bucket it shares,
     so no link between components is lost.
     """
     docs = docs.select("doc_id", "text")
     idf = idf_table(docs)
     held = docs.sparkSession.sparkContext.broadcast(idf)
-    sketched = cut(sketches(docs, idf))
+    sketched = cut(sketches(docs, idf, plain))
     classes = sketched.groupBy("h1").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     members = classes.select(F.posexplode("bands").alias("k", "band"), F.col("h1").alias("id")).select(F.xxhash64("k", "band").alias("bucket"), "k", "id")
     own = Window.partitionBy("bucket")
@@ -206,21 +228,21 @@ def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         for b in batches:
             out = []
             for x, y, big in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
-                both, wa, wb, beyond, top = overlap(held.value, x.as_py(), y.as_py())
-                out.append((both >= similar * (wa + wb - both), both, wb, top, beyond.view(np.int64) if big else np.zeros(0, np.int64)))
-            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
+                both, wa, wb, beyond, top = overlap(held.value, x.as_py(), y.as_py(), plain)
+                out.append((bool((both >= similar * (wa + wb - both)).any()), both, wb, top, beyond.view(np.int64) if big else np.zeros(0, np.int64)))
+            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.bool_(), *[pa.list_(pa.float64())] * 3, pa.list_(pa.int64())))]
             yield pa.record_batch([*b.columns[:2], *cols], ["a", "b", "like", "both", "weight", "top", "beyond"])
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b, like, both, weight, top, beyond) of the pairs (a, b, big): whether they are similar, what they share, b's weight and what it
-        has beyond a, with the largest weight there."""
+        has beyond a, with the largest weight there; weights by kind."""
         pairs = cut(pairs)
         ids = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
         ids = cut(ids.join(classes.select("h1", "doc_id"), "h1"))
         texts = docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "doc_id").select("h1", "text")
         texts = texts.mapInArrow(pack, "h1 long, packed binary").groupBy("h1").agg(F.first("packed").alias("packed"))
         both = pairs.join(texts.select(F.col("h1").alias("b"), F.col("packed").alias("y")), "b").join(texts.select(F.col("h1").alias("a"), F.col("packed").alias("x")), "a")
-        return cut(both.select("a", "b", "big", "x", "y").mapInArrow(compare, "a long, b long, like boolean, both double, weight double, top double, beyond array<long>"))
+        return cut(both.select("a", "b", "big", "x", "y").mapInArrow(compare, "a long, b long, like boolean, both array<double>, weight array<double>, top array<double>, beyond array<long>"))
 
     first = compared(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b"), "big"))  # a hub also meets itself
     edges = first.where("like").select("a", "b")
@@ -232,8 +254,8 @@ def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     pack_ = lambda p: F.struct("id", "root", "home", "k", "n", "hub", "both", "weight", "top", "beyond", "bands").alias(p)
     new = "a.root <> b.root AND (b.root = a.home OR a.id < b.id) AND a.id <> b.hub AND b.id <> a.hub"
     once = "array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = a.k + 1"
-    beyond = "size(array_intersect(a.beyond, b.beyond))"
-    can = f"least(a.both + {beyond} * a.top, b.both + {beyond} * b.top) * {(1 + similar) / similar * (1 + 1e-9)} >= a.weight + b.weight"
+    can = " OR ".join(f"least(a.both[{i}] + n * a.top[{i}], b.both[{i}] + n * b.top[{i}]) * {(1 + similar) / similar * (1 + 1e-9)} >= a.weight[{i}] + b.weight[{i}]" for i in range(1 + plain))
+    can = f"exists(array(size(array_intersect(a.beyond, b.beyond))), n -> {can})"
     # one of a pair in different components isn't in the centre's
     left, right = rows.where("root <> home").select("bucket", pack_("a")), rows.select("bucket", pack_("b"))
     met = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(f"{new} AND (a.n <= {SMALL} OR a.hub <> b.hub OR {can}) AND {once}"))
@@ -243,9 +265,9 @@ def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return sketched.select("doc_id", "t", "h1").join(roots.withColumnRenamed("id", "h1"), "h1", "left").select("doc_id", "t", "h1", F.coalesce("root", "h1").alias("root"))
 
 
-def components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def components(docs: DataFrame, similar: float = SIMILAR, plain: bool = False) -> DataFrame:
     """(doc_id, component_id, kept) of every document; kept marks the smallest doc_id of its component."""
-    found = cut(near_components(docs, similar))
+    found = cut(near_components(docs, similar, plain))
     named = found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = docs.select("doc_id").join(named, "doc_id", "left")
     return out.select("doc_id", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
@@ -262,6 +284,6 @@ def drop_near(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return docs.join(gone, (docs["doc_id"].cast("long") == gone["id_"]) & (F.xxhash64(docs["text"]) == gone["t_"]), "left_anti")
 
 
-def op9_neardup(docs: DataFrame) -> DataFrame:
+def op9_neardup(docs: DataFrame, plain: bool = False) -> DataFrame:
     """(doc_id, component_id, kept) of every document."""
-    return components(docs)
+    return components(docs, plain=plain)

@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pefloom.llm import chat, common, decontaminate, learn, linededup, mix, neardup, pii, quality, tokens, toxicity, urlfilter, vectorjoin
+from pefloom.llm.queries import QUERIES
 from pefloom.llm.template import Template, TemplateError, unescape
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -709,6 +710,33 @@ def test_near_dedup(spark, monkeypatch):
     assert [(x.component_id, x.kept) for x in neardup.op9_neardup(nameless).collect()] == [(None, True)] * 2
 
 
+def test_near_copies_within_a_large_group_of_copies(spark, monkeypatch, tmp_path):
+    """What many copies share weighs little, so by weights alone near copies with a few words replaced fell out of their group."""
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    r = random.Random(5)
+    hot, other = prose(r, 200), prose(r, 200)
+
+    def vary(text, n):
+        words = text.split()
+        for i in r.sample(range(len(words)), n):
+            words[i] = f"new{r.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [hot] * 40 + [vary(hot, k) for k in (1, 2, 3, 4) for _ in range(25)] + [vary(hot, 60) for _ in range(20)] + [prose(r, 120) for _ in range(400)] + [other, vary(other, 3)] + EDGES
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    bags = [Counter(zip(*(w[i:] for i in range(5)), strict=False)) for w in (WORD.findall(low(t or "")) for t in texts[:-len(EDGES)])]
+
+    def alike(a, b):
+        both = sum((a & b).values())
+        return both >= neardup.SIMILAR * (sum(a.values()) + sum(b.values()) - both)
+
+    assert sum(alike(bags[0], b) for b in bags[40:140]) >= 95
+    got = {x.doc_id: x.component_id for x in QUERIES["op9_neardup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    assert all(got[k] == 0 for k in range(140) if alike(bags[0], bags[k]))
+    assert got[561] == got[560] == 560 and all(got[k] == k for k in range(140, 560))
+
+
 def test_weighted_samples_collide_as_often_as_texts_are_similar():
     r = np.random.default_rng(3)
     shingle = r.integers(1 << 62, size=400).astype(np.uint64)
