@@ -54,6 +54,8 @@ def d_norms(pefs: DataFrame) -> DataFrame:
 
 #: Distinct parameters that are dense at a time in a class Gram matrix, and entries of an example that are.
 GRAM_COLUMNS, GRAM_ENTRIES = 1 << 12, 1 << 16
+#: Products of two entries of one parameter that an example of few entries has at most, and that are summed at a time for many such examples.
+FEW_PRODUCTS, PRODUCTS = 1 << 14, 1 << 20
 
 
 class _Gram:
@@ -80,9 +82,13 @@ class _Gram:
             self.dots[np.ix_(used, used)] += dense @ dense.T
 
 
-def _grams(factors: DataFrame, column: str, out: Callable[[list[tuple[int, _Gram]]], pa.RecordBatch], schema: str) -> DataFrame:
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _grams(factors: DataFrame, column: str, out: Callable[[list[tuple[int, _Gram]]], pa.RecordBatch], schema: str, few: Callable[[Entries], pa.RecordBatch] | None = None) -> DataFrame:
     """``out`` of the Gram matrices of runs of examples. Entries go to their example's task once, in the order of their parameters, and stream
-    through it: a task holds one example's C x C products and the dense entries of some parameters, however many entries it has."""
+    through it: a task holds one example's C x C products and the dense entries of some parameters, however many entries it has. Examples of few
+    entries that lie within a batch are given to ``few``, where there is one, many at a time: (example, class, parameter, value) by example and parameter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, now, own = [], None, _Gram()
@@ -99,7 +105,22 @@ def _grams(factors: DataFrame, column: str, out: Callable[[list[tuple[int, _Gram
         for b in batches:
             e, c, k, v = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             at = np.append(np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else [], len(e)).astype(np.int64)
-            for i, j in zip(at[:-1], at[1:], strict=True):
+            if few is not None and len(at) > 3:
+                inner = slice(at[1], at[-2])  # the first and the last example may have entries in other batches
+                run = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (k[1:] != k[:-1])]))
+                products = np.add.reduceat(np.square(np.diff(np.append(run, len(e)))), np.searchsorted(run, at[:-1]))
+                small = products <= FEW_PRODUCTS
+                small[[0, -1]] = False
+                chunk = np.cumsum(np.where(small, products, 0)) // PRODUCTS
+                by_row = np.repeat(np.where(small, chunk, -1), np.diff(at))[inner]
+                for x in np.unique(by_row[by_row >= 0]):
+                    rows = np.flatnonzero(by_row == x) + inner.start
+                    yield few((e[rows], c[rows], k[rows], v[rows]))
+                own_runs = np.flatnonzero(~small)
+                spans = [*zip(at[own_runs], at[own_runs + 1], strict=True)]
+            else:
+                spans = [*zip(at[:-1], at[1:], strict=True)]
+            for i, j in spans:
                 if e[i] != now:
                     if now is not None:
                         flush(True)
@@ -136,7 +157,22 @@ def gram_squares(factors: DataFrame, column: str = "param_index") -> DataFrame:
     def out(grams: list[tuple[int, _Gram]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([e for e, _ in grams], pa.int64()), pa.array([float((g.dots**2).sum()) for _, g in grams]), pa.array([float((np.diag(g.dots) ** 2).sum()) for _, g in grams])], ["example_id", "squares", "own"])
 
-    return _grams(factors, column, out, "example_id long, squares double, own double")
+    def few(entries: Entries) -> pa.RecordBatch:
+        e, c, k, v = entries
+        ids, example = np.unique(e, return_inverse=True)
+        names, c = np.unique(c, return_inverse=True)
+        begin = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (k[1:] != k[:-1])]))
+        size = np.diff(np.append(begin, len(e)))
+        n = np.repeat(size, size)  # every entry meets all of its example's and parameter's
+        a = np.repeat(np.arange(len(e)), n)
+        b = np.repeat(np.repeat(begin, size), n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        cell, at = np.unique((example[a] * len(names) + c[a]) * len(names) + c[b], return_inverse=True)
+        squares = np.bincount(at, v[a] * v[b], len(cell)) ** 2
+        whose, pair = np.divmod(cell, len(names) ** 2)
+        same = pair // len(names) == pair % len(names)
+        return pa.record_batch([pa.array(ids), pa.array(np.bincount(whose, squares, len(ids))), pa.array(np.bincount(whose, squares * same, len(ids)))], ["example_id", "squares", "own"])
+
+    return _grams(factors, column, out, "example_id long, squares double, own double", few)
 
 
 def lrm_norms(factors: DataFrame) -> DataFrame:

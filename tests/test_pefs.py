@@ -247,3 +247,45 @@ def test_summed_report_is_the_report_of_all_rows(spark, monkeypatch):
     assert rows(E.summed_report(top.limit(0), base.limit(0), head, directions, 1.5)) == {}
     alone = rows(E.summed_report(top, base.limit(0), head, directions, 1.5))[1]
     assert alone[0] is None and alone[1:] == pytest.approx(a[1][1:])
+
+
+def test_grams_of_many_small_examples(spark, monkeypatch):
+    """Examples of few entries had a Gram matrix each, one by one in Python; now only those at a batch's ends and large ones do."""
+    import pyarrow as pa
+
+    class Held:
+        def select(self, *_):
+            return self
+
+        repartition = sortWithinPartitions = select
+
+        def mapInArrow(self, f, _):
+            self.run = f
+            return self
+
+    made = []
+
+    class Counted(P._Gram):
+        def __init__(self):
+            made.append(self)
+            super().__init__()
+
+    monkeypatch.setattr(P, "_Gram", Counted)
+    monkeypatch.setattr(P, "FEW_PRODUCTS", 60)
+    monkeypatch.setattr(P, "PRODUCTS", 500)
+    r = np.random.default_rng(6)
+    e = np.concatenate([np.repeat(np.arange(900) * 3 - 50, r.integers(1, 6, 900)), np.repeat([100, 400, 1000], 300)])
+    c, k, v = r.integers(-2, 5, len(e)), r.integers(0, 4, len(e)), r.normal(size=len(e))
+    order = np.lexsort((k, e))
+    e, c, k, v = e[order], c[order], k[order], v[order]
+    frame = Held()
+    P.gram_squares(frame)
+    batches = [pa.record_batch([pa.array(x[i : i + 700]) for x in (e, c, k, v)], ["example_id", "class_id", "k", "value"]) for i in range(0, len(e), 700)] + [pa.record_batch([pa.array(x[:0]) for x in (e, c, k, v)], ["example_id", "class_id", "k", "value"])]
+    got = [row for b in frame.run(iter(batches)) for row in b.to_pylist()]
+    want = {}
+    for i in np.unique(e):
+        dense = np.zeros((7, 4))
+        np.add.at(dense, (c[e == i] + 2, k[e == i]), v[e == i])
+        want[int(i)] = ((dense @ dense.T) ** 2).sum(), (np.diag(dense @ dense.T) ** 2).sum()
+    assert len(got) == len(want) and all(np.allclose((x["squares"], x["own"]), want[x["example_id"]]) for x in got)
+    assert len(made) <= 3 * len(batches) + 3
