@@ -108,15 +108,19 @@ class Layout:
 
         return dense.mapInArrow(run, schema)
 
-    def product(self, dense: DataFrame, column: str, r: int, out: str) -> DataFrame:
+    def product(self, dense: DataFrame, column: str, r: int, out: str, scale: DataFrame | None = None) -> DataFrame:
         """(other key, out): for each key of the other side the sum over its entries of value * dense vector; dense is (key, [class_id,]
-        column). Entries without a dense row count as zero."""
-        other, key, by_class = self.other, self.key, "class_id" in dense.columns
+        column). Entries without a dense row count as zero. With ``scale`` (key, column) every dense vector of (key, class_id, column) is multiplied, position by
+        position, by its key's vector there, or counts as zero without one; these go to the parts beside the dense rows, with no class."""
+        other, key, by_class, scaled = self.other, self.key, "class_id" in dense.columns, scale is not None
 
         def kernel(entries: pa.Table, rows: pa.Table) -> pa.Table:
             own, value = _long(entries, key), entries.column("value").to_numpy()
+            if scaled:
+                of_key = rows.column("class_id").is_null().to_numpy()
+                factors, rows = rows.filter(pa.array(of_key)), rows.filter(pa.array(~of_key))
             keys, inverse = np.unique(_long(rows, key), return_inverse=True)
-            if not len(keys) or not len(own):
+            if not len(keys) or not len(own) or scaled and not len(factors):
                 return pa.table({**{c: entries.column(c).slice(0, 0) for c in other}, out: lists_of(np.zeros((0, r)))})
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             there = keys[at] == own
@@ -128,13 +132,21 @@ class Layout:
                 there &= code[order][at] == own
             else:
                 order = np.argsort(inverse, kind="stable")
-            x = matrix_of(rows.column(column))[order]
+            x = matrix_of(rows.column(column))
+            if scaled:
+                named = np.argsort(_long(factors, key), kind="stable")
+                at_key = np.minimum(np.searchsorted(_long(factors, key)[named], keys), len(named) - 1)
+                found = _long(factors, key)[named][at_key] == keys
+                x = x * np.where(found[:, None], matrix_of(factors.column(column))[named][at_key], 0.0)[inverse]
+            x = x[order]
             value = np.where(there, value, 0.0)
             begin = starts_of(*(_long(entries, c) for c in other))
             sums = np.stack([np.add.reduceat(value * x[at, k], begin) for k in range(r)], 1)
             return pa.table({**{c: entries.column(c).take(pa.array(begin)) for c in other}, out: lists_of(sums)})
 
         schema = ("example_id long, class_id int" if key == "col" else "col long") + f", {out} array<double>"
+        if scale is not None:
+            dense = dense.select(key, "class_id", column).unionByName(scale.select(key, F.lit(None).cast("int").alias("class_id"), column))
         parts = self.rows.groupBy("part").cogroup(self.placed(dense).groupBy("part")).applyInArrow(kernel, schema)
         return parts.groupBy(*other).agg(vector_sum(out, r).alias(out))
 
